@@ -43,35 +43,56 @@ def main_text(label: Column, props: Column, skip_empty: bool = False) -> Column:
 
 
 def set_default(props: Column, key: str, value: Column, when: Column) -> Column:
+    """Add ``key`` where ``when`` holds, the value is not NULL and the key is missing."""
     missing = when & value.isNotNull() & ~F.map_contains_key(props, key)
-    return F.when(missing, F.map_concat(props, F.create_map(F.lit(key), value))).otherwise(props)
+    return F.map_concat(props, F.when(missing, F.create_map(F.lit(key), value)).otherwise(empty()))
 
 
-def set_prop(props: Column, key: str, value: Column, when: Column) -> Column:
-    """Set ``key`` where ``when`` holds and the value is not NULL."""
-    without = F.map_filter(props, lambda k, v: k != key)
-    return (F.when(when & value.isNotNull(),
-                   F.map_concat(without, F.create_map(F.lit(key), value))).otherwise(props))
+def empty() -> Column:
+    return F.create_map().cast("map<string,string>")
+
+
+def assign(props: Column, values: dict[str, Column]) -> Column:
+    """Set every key whose value is not NULL; all keys in one pass over the map."""
+    entries = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+                                 for k, v in values.items()]), lambda e: e["value"].isNotNull())
+    return F.map_from_entries(F.concat(
+        F.filter(F.map_entries(props), lambda e: ~F.exists(entries, lambda n: n["key"] == e["key"])),
+        entries))
 
 
 def gate(label: Column, props: Column) -> Column:
     """Drop properties whose gate is closed and fill the two defaults."""
-    out = props
+    closed = F.lit(False)
+    shut = {}
     for lab, prop, key, value in GATES:
-        closed = (label == lab) & (F.coalesce(get_prop(props, key), F.lit("")) != value)
-        out = F.when(closed, F.map_filter(out, lambda k, v: k != prop)).otherwise(out)
+        shut[prop] = (label == lab) & (F.coalesce(get_prop(props, key), F.lit("")) != value)
+        closed |= shut[prop]
+
+    def dropped(k: Column) -> Column:
+        out = F.lit(False)
+        for prop, cond in shut.items():
+            out |= (k == prop) & cond
+        return out
+
+    kept = F.when(closed, F.map_filter(props, lambda k, v: ~dropped(k))).otherwise(props)
+    fill = empty()
     for lab, key, value in DEFAULTS:
-        out = set_default(out, key, F.lit(value), label == lab)
-    return out
+        fill = F.when((label == lab) & ~F.map_contains_key(props, key),
+                      F.create_map(F.lit(key), F.lit(value))).otherwise(fill)
+    return F.map_concat(kept, fill)
 
 
 def lexicon_props(label: Column, props: Column, text: Column) -> Column:
     """Properties that follow from the wording alone."""
     feeling = (label == "Reaction") & (get_prop(props, "channel") == "emotional")
-    out = set_prop(props, "valence", valence(text), feeling)
-    out = set_prop(out, "temporality", temporality(text), label == "Situation")
-    out = set_default(out, "kind", F.lit("externalSituation"), label == "Situation")
-    return set_default(out, "modality", F.lit("verbal"), label == "AutomaticThought")
+    unset = lambda key: ~F.map_contains_key(props, key)
+    return assign(props, {
+        "valence": F.when(feeling, valence(text)),
+        "temporality": F.when(label == "Situation", temporality(text)),
+        "kind": F.when((label == "Situation") & unset("kind"), F.lit("externalSituation")),
+        "modality": F.when((label == "AutomaticThought") & unset("modality"), F.lit("verbal")),
+    })
 
 
 def matches(props: Column, filters: dict[str, str]) -> Column:

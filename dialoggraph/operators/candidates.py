@@ -118,7 +118,7 @@ def _session_items(responses: DataFrame, turns: DataFrame, schema: str) -> DataF
                                               .try_cast("bigint"))).alias("turn_index"))
     valid = turns.select("session_id", F.col("turn_index").cast("bigint").alias("turn_index")).distinct()
     return (rows.filter(F.col("turn_index").isNotNull()).dropDuplicates(
-        ["prompt_id", "item", "turn_index"])
+        ["session_id", "prompt_id", "item", "turn_index"])
         .join(valid, ["session_id", "turn_index"], "left_semi"))
 
 
@@ -272,31 +272,32 @@ def classify(cands: DataFrame, answers: DataFrame) -> DataFrame:
              F.max("technique_label").alias("_tl")))
     j = cands.join(a, ["session_id", "cand_id"], "left").withColumn(
         "_a", F.coalesce("_a", F.create_map().cast("map<string,string>")))
-    out, label = F.col("props"), F.col("label")
+    label = F.col("label")
+    answer = lambda prop: P.get_prop(F.col("_a"), prop)
+    given: dict[str, list] = {}
     for lab, prop in O.PROPERTY_PASSES:
-        value = P.get_prop(F.col("_a"), prop)
-        if prop == "isOptional":
-            given = F.when(value.isin("true", "false"), value)
-            out = P.set_prop(out, prop, F.coalesce(given, P.get_prop(out, prop), F.lit("false")), label == lab)
+        if prop in ("category", "isOptional"):
             continue
-        allowed = (label == lab) & value.isin(*O.ENUMS[(lab, prop)])
-        if prop == "category":
-            allowed &= P.get_prop(out, "domain") == "self"
-        out = P.set_prop(out, prop, value, F.coalesce(allowed, F.lit(False)))
-        if prop == "technique":
-            free = F.nullif(F.col("_tl"), F.lit(""))
-            out = P.set_prop(out, "techniqueLabel", free,
-                             F.coalesce(allowed & (value == "other"), F.lit(False)))
-    return j.withColumn("props", out).select(*cands.columns)
+        ok = (label == lab) & answer(prop).isin(*O.ENUMS[(lab, prop)])
+        given.setdefault(prop, []).append(F.when(ok, answer(prop)))
+    values = {prop: F.coalesce(*options) for prop, options in given.items()}
+    domain = F.coalesce(values["domain"], P.get_prop(F.col("props"), "domain"))
+    values["category"] = F.when(
+        (label == "CoreBelief") & (domain == "self")
+        & answer("category").isin(*O.ENUMS[("CoreBelief", "category")]), answer("category"))
+    values["techniqueLabel"] = F.when(values["technique"] == "other", F.nullif(F.col("_tl"), F.lit("")))
+    values["isOptional"] = F.when(label == "Homework", F.coalesce(
+        F.when(answer("isOptional").isin("true", "false"), answer("isOptional")),
+        P.get_prop(F.col("props"), "isOptional"), F.lit("false")))
+    return j.withColumn("props", P.assign(F.col("props"), values)).select(*cands.columns)
 
 
 def prepared(cands: DataFrame) -> DataFrame:
     """Text into its class property, wording-based properties added."""
     label, text = F.col("label"), F.col("text")
-    withtext = F.map_concat(
-        F.map_filter("props", lambda k, v: k != P.text_prop(label)),
-        F.map_from_arrays(F.array(P.text_prop(label)),
-                          F.array(F.coalesce(P.get_prop(F.col("props"), P.text_prop(label)), text))))
+    own = P.text_prop(label)
+    withtext = F.map_concat(F.map_filter("props", lambda k, v: k != own), F.map_from_arrays(
+        F.array(own), F.array(F.coalesce(F.try_element_at("props", own), text))))
     return cands.withColumn("props", P.lexicon_props(label, F.col("props"), text)).withColumn(
         "props", withtext)
 

@@ -27,7 +27,7 @@ def object_lists(nodes: DataFrame, families: DataFrame) -> DataFrame:
     # family first, then graph order: one BIGINT that grows along both
     pos = offered.withColumn("_pos", F.col("family_ord").cast("bigint") * (1 << 48) + F.col("ord"))
     return numbered(pos, ["session_id", "subject_label", "predicate"], ["_pos", "node_id"], "n",
-                    "_pos", (4096, 1 << 20)).select(
+                    "_pos", TURN_BLOCKS).select(
         "session_id", "subject_label", "predicate", "n", F.col("node_id").alias("object_id"), "ord")
 
 
@@ -162,7 +162,7 @@ def retry_subjects(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame,
 def reinforces_lists(nodes: DataFrame) -> DataFrame:
     """Numbered reactions and beliefs per session; the two lists are not crossed."""
     pick = nodes.filter(F.col("label").isin("Reaction", "CoreBelief"))
-    return numbered(pick, ["session_id", "label"], ["ord", "node_id"], "n", "ord", (4096, 1 << 20)).select(
+    return numbered(pick, ["session_id", "label"], ["ord", "node_id"], "n", "ord", TURN_BLOCKS).select(
         "session_id", "label", "n", "node_id",
         P.main_text(F.col("label"), F.col("props")).alias("text"))
 

@@ -14,10 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# (rows of position axis per block, blocks per super-block)
-TURN_BLOCKS = (4096, 4096)
-# minutes, then days, for positions counted in microseconds
-TIME_BLOCKS = (60_000_000, 1440)
+# Positions per block.  A key with 10^11 positions has about 1.5 million block summaries,
+# which one window task scans easily; more sizes add more levels.
+TURN_BLOCKS = (65_536,)
+# One minute, for positions counted in microseconds.
+TIME_BLOCKS = (60_000_000,)
+# Rows folded together, then block results folded together, for state machines.
+STATE_BLOCKS = (4096, 4096)
 
 
 def _window_value(op: str, col: str) -> Column:
@@ -88,7 +91,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
 
 
 def run_states(df: DataFrame, keys: Sequence[str], pos: str, step: str, n_states: int,
-               name: str, start: int = 0, sizes: Sequence[int] = TURN_BLOCKS) -> DataFrame:
+               name: str, start: int = 0, sizes: Sequence[int] = STATE_BLOCKS) -> DataFrame:
     """Run a finite-state machine along ``pos`` and add the state after each row.
 
     ``step`` is an ARRAY<INT> column: the state reached from each of the ``n_states``
