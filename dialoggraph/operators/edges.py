@@ -11,7 +11,7 @@ from ..functions import responses as R
 from ..functions.text import strip, token_set
 from ..session import cut
 from .graph import edge_id, empty_map
-from .ordered import numbered
+from .ordered import TURN_BLOCKS, numbered
 from .simjoin import distinct_sets
 
 

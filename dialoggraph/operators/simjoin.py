@@ -215,17 +215,17 @@ def cosine_pairs(vectors: DataFrame, keys: Sequence[str], gate: float,
     keys = list(keys)
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
     unit = vectors.select(*keys, "id", F.transform("vec", lambda x: x / norm).alias("vec"))
-    # angle to the direction (1, 1, ...) in whole micro-radians, to rank on an integer
+    # angle to the direction (1, 1, ...) in whole nano-radians, to rank on an integer
     flat = (F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)
             / F.sqrt(F.size("vec").cast("double")))
     angled = unit.withColumn("_angle", F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), flat)))
-                             ).withColumn("_micro", F.round(F.col("_angle") * 1e6).cast("bigint"))
-    ranked = numbered(angled, keys, ["_micro", "id"], "_n", "_micro", (1024, 1024))
+                             ).withColumn("_nano", F.round(F.col("_angle") * 1e9).cast("bigint"))
+    ranked = numbered(angled, keys, ["_nano", "id"], "_n", "_nano", (100_000,))
     placed = ranked.withColumn("_b", F.expr(f"(_n - 1) div {block}").cast("int"))
     # a block's angle range; blocks are few (rows / block)
     spans = placed.groupBy(*keys, "_b").agg(F.min("_angle").alias("lo"), F.max("_angle").alias("hi"))
     other = spans.select(*keys, F.col("_b").alias("_j"), F.col("lo").alias("lo_j"))
-    reach = math.acos(max(-1.0, min(1.0, gate))) + 2e-6
+    reach = math.acos(max(-1.0, min(1.0, gate))) + 2e-9
     meetings = (spans.withColumnRenamed("_b", "_i").join(other, keys)
                 .filter((F.col("_j") >= F.col("_i")) & (F.col("lo_j") - F.col("hi") <= reach))
                 .select(*keys, "_i", "_j"))

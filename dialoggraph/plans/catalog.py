@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import turn_queries, candidate_queries  # noqa: F401
+from . import candidate_queries, graph_queries, turn_queries  # noqa: F401
 from .registry import QUERIES
 
 __all__ = ["QUERIES"]
