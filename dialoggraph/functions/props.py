@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import ontology as O
+from .lookup import lookup
 from .lexicon import temporality, valence
 
 # Property kept only while another one has the given value.
@@ -19,10 +20,7 @@ DEFAULTS = [("AutomaticThought", "modality", "verbal"), ("Homework", "isOptional
 
 
 def text_prop(label: Column, mapping: dict[str, str] | None = None) -> Column:
-    out = F.lit(None).cast("string")
-    for l, p in (mapping or O.TEXT_PROP).items():
-        out = F.when(label == l, F.lit(p)).otherwise(out)
-    return out
+    return lookup(mapping or O.TEXT_PROP, label)
 
 
 def get_prop(props: Column, key: str | Column) -> Column:

@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.lookup import lookup
+
 # Node classes in display order, with whether a session may hold several,
 # the property that carries the text, the id prefix and the display layer.
 CLASSES = [
@@ -328,7 +330,4 @@ class Ontology:
 
 def label_rank(col: str = "label"):
     """Position of a class in display order, as a column."""
-    out = F.lit(None).cast("int")
-    for i, l in enumerate(LABELS):
-        out = F.when(F.col(col) == l, F.lit(i)).otherwise(out)
-    return out
+    return lookup({l: i for i, l in enumerate(LABELS)}, F.col(col))

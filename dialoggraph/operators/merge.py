@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .. import ontology as O
 from ..functions import props as P
-from ..functions.text import jaccard, token_set
+from ..functions.lookup import lookup
+from ..functions.text import token_set
 from ..session import cut
 from .graph import Graph, edge_id, empty_map
 from .ordered import TURN_BLOCKS, numbered, running
@@ -174,10 +175,7 @@ def number_nodes(assigned: DataFrame) -> DataFrame:
 
 
 def node_name(label: Column, number: Column) -> Column:
-    prefix = F.lower(label)
-    for l, p in O.ID_PREFIX.items():
-        prefix = F.when(label == l, F.lit(p)).otherwise(prefix)
-    return F.concat(prefix, F.lit("_"), number.cast("string"))
+    return F.concat(lookup(O.ID_PREFIX, label, F.lower(label)), F.lit("_"), number.cast("string"))
 
 
 def fold_props(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -311,9 +309,7 @@ def upsert_edges(asserted: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def highest_suffix(nodes: DataFrame) -> DataFrame:
     """Largest number in use per session and class, so that new ids never collide."""
-    prefix = F.lower("label")
-    for l, p in O.ID_PREFIX.items():
-        prefix = F.when(F.col("label") == l, F.lit(p)).otherwise(prefix)
+    prefix = lookup(O.ID_PREFIX, F.col("label"), F.lower("label"))
     rest = F.when(F.col("node_id").startswith(F.concat(prefix, F.lit("_"))),
                   F.substr("node_id", F.length(prefix) + 2))
     number = F.when(rest.rlike(r"^\d+$"), rest.try_cast("bigint"))

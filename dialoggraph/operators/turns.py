@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import ontology as O
+from ..functions.lookup import lookup
 from ..functions.text import cut_text, strip
 from ..session import cut
 from .ordered import TURN_BLOCKS, numbered, running
@@ -18,11 +19,7 @@ TURN_OVERLAP = 5
 
 def normal_speaker(c: Column) -> Column:
     """client / patient / therapist spellings to the two speakers; others unchanged."""
-    key = F.lower(strip(c))
-    out = c
-    for spelling, speaker in O.SPEAKERS.items():
-        out = F.when(key == spelling, F.lit(speaker)).otherwise(out)
-    return out
+    return lookup(O.SPEAKERS, F.lower(strip(c)), c)
 
 
 def speaker_tag(c: Column) -> Column:

@@ -11,8 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lookup import lookup
 from ..operators.ordered import TIME_BLOCKS, numbered
 from ..operators.turns import client_turn_numbers
+from ..session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +42,9 @@ def positioned_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def client_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live form: both speakers share the number of the client's turn."""
     numbered_msgs = client_turn_numbers(messages(spark, sf_dir), "turn_index")
-    return numbered_msgs.filter(F.col("role").isin("user", "assistant")).filter(
+    return cut(numbered_msgs.filter(F.col("role").isin("user", "assistant")).filter(
         "turn_index > 0").select("session_id", "turn_index", speaker_of_role().alias("speaker"),
-                                 "text", "pos")
+                                 "text", "pos"))
 
 
 @dataclass(frozen=True)
@@ -81,6 +83,8 @@ EVENT_LABEL = {"error": "Problem", "view": "Situation", "click": "AutomaticThoug
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a turn: session = user, turn = order in time, label by type.
 
+    The numbered table is written once; everything built on it reads that table.
+
     event_id, session_id, turn_index, label, text, event_type, value.
     """
     e = table(spark, sf_dir, "events").select(
@@ -89,11 +93,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").alias("k"))
     e = e.withColumn("_pos", F.unix_micros("ts"))
     e = numbered(e, ["session_id"], ["ts", "event_id"], "turn_index", "_pos", TIME_BLOCKS)
-    label = F.lit(None).cast("string")
-    for kind, l in EVENT_LABEL.items():
-        label = F.when(F.col("event_type") == kind, F.lit(l)).otherwise(label)
-    return e.select("event_id", "session_id", "turn_index", label.alias("label"),
-                    F.concat_ws(" ", "event_type", "k").alias("text"), "event_type", "value", "k")
+    return cut(e.select("event_id", "session_id", "turn_index",
+                        lookup(EVENT_LABEL, F.col("event_type")).alias("label"),
+                        F.concat_ws(" ", "event_type", "k").alias("text"), "event_type", "value", "k"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

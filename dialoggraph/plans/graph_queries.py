@@ -45,7 +45,23 @@ def jaccard_pairs(spark, d):
                 F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common")), 6).alias("similarity")))
 
 
-@query("M2 M6")
+@query("M2 M6", f"""
+WITH RECURSIVE {_SETS_SQL},
+sim AS (SELECT lang, a AS id, b AS other FROM pairs UNION ALL SELECT lang, b, a FROM pairs UNION ALL SELECT lang, id, id FROM sets),
+nb AS (SELECT lang, id, list(other) AS others FROM sim GROUP BY lang, id),
+docs AS (SELECT t.lang, t.doc_id, coalesce(s.id, -1 - t.doc_id) AS id, row_number() OVER (PARTITION BY t.lang ORDER BY t.doc_id) AS pos
+   FROM tok t LEFT JOIN sets s ON s.lang = t.lang AND s.s = t.s),
+w AS (SELECT DISTINCT lang, CAST(0 AS BIGINT) AS pos, [CAST(NULL AS STRUCT(head BIGINT, cur BIGINT))][1:0] AS st, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS head FROM docs
+  UNION ALL
+  SELECT x.lang, x.pos, CASE WHEN x.at IS NULL THEN list_append(x.st, {{'head': x.doc_id, 'cur': x.id}})
+      ELSE list_concat(list_append(x.st[1:x.at - 1], {{'head': x.st[x.at].head, 'cur': x.id}}), x.st[x.at + 1:len(x.st)]) END,
+    x.doc_id, coalesce(x.st[x.at].head, x.doc_id)
+  FROM (SELECT w.lang, d.pos, w.st, d.doc_id, d.id,
+          list_position(list_transform(w.st, lambda c: list_contains(nb.others, c.cur)), true) AS at
+        FROM w JOIN docs d ON d.lang = w.lang AND d.pos = w.pos + 1 LEFT JOIN nb ON nb.lang = d.lang AND nb.id = d.id) x),
+a AS (SELECT lang, doc_id, head FROM w WHERE pos > 0),
+n AS (SELECT lang, head, row_number() OVER (PARTITION BY lang ORDER BY head) AS node_no FROM a WHERE doc_id = head)
+SELECT a.lang AS session_id, a.doc_id, a.head AS first_doc, n.node_no FROM a JOIN n USING (lang, head)""")
 def greedy_merge(spark, d):
     """Ordered merge of whole documents within a language (one session and class per language)."""
     c = A.documents(spark, d).select(F.col("lang").alias("session_id"), F.lit("Problem").alias("label"),

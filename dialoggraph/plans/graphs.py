@@ -12,10 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ontology as O
+from ..functions import props as P
+from ..functions.lookup import lookup
+from ..operators.candidates import rule_candidates
 from ..operators.graph import Graph, edge_id, empty_map
 from ..operators.merge import node_name
 from ..operators.ordered import numbered
 from ..operators.turns import utterance_nodes
+from ..session import cut
 from . import adapters as A
 
 # Property given to event nodes by class, and its values (picked by k modulo their number).
@@ -28,8 +32,22 @@ EVENT_FAMILIES = [(i, s, p, o) for i, (s, p, o) in enumerate(O.FAMILIES)
                   if {s, o} <= set(A.EVENT_LABEL.values())]
 
 
-def _by_k(values: list[str]) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(F.col("k").cast("int"), F.lit(len(values))))
+def event_props() -> Column:
+    """Text and, for three classes, one property picked by k."""
+    label = F.col("label")
+    values = lookup_list({l: vs for l, (_, vs) in EVENT_PROP.items()}, label)
+    prop = lookup({l: p for l, (p, _) in EVENT_PROP.items()}, label)
+    picked = F.get(values, F.pmod(F.col("k").cast("int"), F.size(values)))
+    return F.map_from_entries(F.filter(F.array(
+        F.struct(P.text_prop(label).alias("key"), F.col("text").alias("value")),
+        F.struct(F.coalesce(prop, F.lit("")).alias("key"), picked.alias("value"))),
+        lambda e: e["value"].isNotNull()))
+
+
+def lookup_list(mapping: dict[str, list[str]], key: Column) -> Column:
+    """Constant lists by key."""
+    entries = [x for k, vs in mapping.items() for x in (F.lit(k), F.array(*[F.lit(v) for v in vs]))]
+    return F.try_element_at(F.create_map(*entries), key)
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,30 +57,22 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("turn_index").alias("head"), F.max("turn_index").alias("last_turn"))
     named = numbered(heads, ["session_id", "label"], ["head"], "node_no", "head")
     named = named.withColumn("node_id", node_name(F.col("label"), F.col("node_no")))
-    return ev.join(named.select("session_id", "label", "text", "head", "last_turn", "node_id"),
-                   ["session_id", "label", "text"])
+    return cut(ev.join(named.select("session_id", "label", "text", "head", "last_turn", "node_id"),
+                       ["session_id", "label", "text"]))
 
 
 def event_nodes(rows: DataFrame) -> DataFrame:
-    own = F.lit(None).cast("string")
-    for l, p in O.TEXT_PROP.items():
-        own = F.when(F.col("label") == l, F.lit(p)).otherwise(own)
-    props = F.create_map(own, F.col("text"))
-    for label, (prop, values) in EVENT_PROP.items():
-        props = F.when(F.col("label") == label, F.create_map(
-            own, F.col("text"), F.lit(prop), _by_k(values))).otherwise(props)
     nodes = rows.groupBy("session_id", "node_id", "label", "text", "k").agg(
         F.first("head").alias("ord"), F.first("last_turn").alias("last_turn"))
-    return nodes.select("session_id", "node_id", "label", props.alias("props"),
+    return nodes.select("session_id", "node_id", "label", event_props().alias("props"),
                         F.lit("found").alias("status"), F.col("last_turn").cast("int").alias("turn_acquired"),
                         F.col("ord").cast("bigint").alias("ord"))
 
 
 def event_links(rows: DataFrame) -> DataFrame:
     """Assertions between consecutive events whose classes have a relation."""
-    pred = F.lit(None).cast("string")
-    for i, s, p, o in reversed(EVENT_FAMILIES):
-        pred = F.when((F.col("s_label") == s) & (F.col("o_label") == o), F.lit(p)).otherwise(pred)
+    relation = {f"{s}|{o}": p for _, s, p, o in reversed(EVENT_FAMILIES)}
+    pred = lookup(relation, F.concat_ws("|", "s_label", "o_label"))
     a = rows.select("session_id", (F.col("turn_index") + 1).alias("turn_index"),
                     F.col("node_id").alias("subject_id"), F.col("label").alias("s_label"))
     b = rows.select("session_id", "turn_index", F.col("node_id").alias("object_id"),
@@ -220,7 +230,6 @@ CANDS_SQL = (TURNS_SQL + "," + sentences_sql("turns", "session_id, turn_index, s
 
 
 def dialogue_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.candidates import rule_candidates
     return rule_candidates(A.client_turns(spark, sf_dir), A.FIXTURE_RULES)
 
 
@@ -228,13 +237,10 @@ def dialogue_nodes(spark: SparkSession, sf_dir: str) -> Graph:
     """One node per (class, turn) that has a candidate, its first sentence as text, and
     the utterances; used where quotes matter more than merging."""
     turns = A.client_turns(spark, sf_dir)
-    from ..operators.candidates import rule_candidates
     c = rule_candidates(turns, A.FIXTURE_RULES)
     first = c.groupBy("session_id", "label", "turn_index").agg(
         F.min_by("text", F.struct("sent_no", "speaker")).alias("text"))
-    own = F.lit(None).cast("string")
-    for l, p in O.TEXT_PROP.items():
-        own = F.when(F.col("label") == l, F.lit(p)).otherwise(own)
+    own = P.text_prop(F.col("label"))
     nodes = first.select(
         "session_id", node_name(F.col("label"), F.col("turn_index")).alias("node_id"), "label",
         F.create_map(own, F.col("text")).alias("props"), F.lit("found").alias("status"),

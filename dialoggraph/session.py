@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,10 +44,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written copy.
+    """Write ``df`` to the checkpoint folder and go on from the written table.
 
     Used between the rounds of iterative operators, where the plan would otherwise
-    grow with every round, and where a lost executor must not restart round one.
+    grow with every round, and for tables that several branches of a plan read.  A lost
+    executor costs a re-read, not a re-run, and the file sizes tell the optimizer which
+    side of a later join is small.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

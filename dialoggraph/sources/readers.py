@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ontology as O
+from ..functions.lookup import lookup
 from ..functions.props import get_prop
 from ..functions.text import strip
 from ..operators.graph import Graph, edge_id, empty_map
@@ -129,10 +130,7 @@ def read_property_graph(nodes: DataFrame, rels: DataFrame) -> Graph:
                 .filter("turn_index is not null")
                 .select("session_id", F.col("start_id").alias("owner_id"), F.col("turn_index").alias("pos"),
                         "turn_index").distinct())
-    predicate = F.lit(None).cast("string")
-    for p, r in O.REL_TYPE.items():
-        predicate = F.when(F.col("rel_type") == r, F.lit(p)).otherwise(predicate)
-    typed = rels.withColumn("predicate", predicate).filter("predicate is not null")
+    typed = rels.withColumn("predicate", lookup({r: p for p, r in O.REL_TYPE.items()}, F.col("rel_type"))).filter("predicate is not null")
     ident = edge_id("start_id", "predicate", "end_id")
     out_edges = typed.select(
         "session_id", ident.alias("edge_id"), F.col("start_id").alias("subject_id"), "predicate",

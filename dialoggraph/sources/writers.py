@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import ontology as O
+from ..functions.lookup import lookup
 from ..functions.props import get_prop
 from ..operators.graph import Graph, evidence_arrays
 from ..operators.guard import log_rows
@@ -54,9 +55,7 @@ def display_nodes(nodes: DataFrame) -> DataFrame:
     keys = ["content", "description", "statement", "taskDescription", "text"]
     preview = F.substring(F.coalesce(*[F.nullif(get_prop(F.col("props"), k), F.lit("")) for k in keys],
                                      F.lit("")), 1, 25)
-    layer = F.lit("field")
-    for l, v in O.LAYER.items():
-        layer = F.when(F.col("label") == l, F.lit(v)).otherwise(layer)
+    layer = lookup(O.LAYER, F.col("label"), F.lit("field"))
     return nodes.select(
         "session_id", F.col("node_id").alias("id"),
         F.when((F.col("status") == "found") & (preview != ""),
@@ -91,9 +90,7 @@ def property_graph_tables(graph: Graph, ontology: O.Ontology) -> dict[str, DataF
     spark = graph.nodes.sparkSession
     g = graph.found()
     tree = ontology.hierarchy(spark)
-    rel = F.lit(None).cast("string")
-    for p, r in O.REL_TYPE.items():
-        rel = F.when(F.col("predicate") == p, F.lit(r)).otherwise(rel)
+    rel = lookup(O.REL_TYPE, F.col("predicate"))
     instances = g.nodes.select(
         "session_id", F.col("node_id").alias("id"), "label",
         F.map_filter("props", lambda k, v: v.isNotNull()).alias("props"), "turn_acquired")
