@@ -1,6 +1,7 @@
 """All registered queries."""
 
-from . import candidate_queries, graph_queries, turn_queries  # noqa: F401
+from . import (  # noqa: F401
+    candidate_queries, graph_queries, guard_queries, question_queries, turn_queries)
 from .registry import QUERIES
 
 __all__ = ["QUERIES"]

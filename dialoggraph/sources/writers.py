@@ -28,22 +28,19 @@ def graph_documents(graph: Graph, part_rows: int = PART_ROWS) -> DataFrame:
     edges = evidence_arrays(numbered(g.edges, ["session_id"], ["ord", "edge_id"], "_n", "ord"),
                             g.edge_evidence, "edge_id")
     part = F.expr(f"cast((_n - 1) div {int(part_rows)} as int)")
-    node = F.struct(F.col("_n"), F.struct(
-        F.col("node_id").alias("id"), "label", F.col("props").alias("properties"), "evidence").alias("d"))
+    node = F.struct("_n", F.to_json(F.struct(
+        F.col("node_id").alias("id"), "label", F.col("props").alias("properties"), "evidence")).alias("d"))
     lifted = F.nullif(get_prop(F.col("props"), "reportedIntensity"), F.lit(""))
-    edge = F.struct(F.col("_n"), F.struct(
+    edge = F.struct("_n", F.to_json(F.struct(
         F.col("predicate").alias("type"), F.col("subject_id").alias("from"), F.col("object_id").alias("to"),
-        "evidence", lifted.alias("reportedIntensity")).alias("d"))
-    n = nodes.groupBy("session_id", part.alias("part")).agg(F.transform(
-        F.array_sort(F.collect_list(node)), lambda x: x["d"]).alias("nodes"))
-    e = edges.groupBy("session_id", part.alias("part")).agg(F.transform(
-        F.array_sort(F.collect_list(edge)), lambda x: x["d"]).alias("edges"))
-    empty_n = n.schema["nodes"].dataType.simpleString()
-    empty_e = e.schema["edges"].dataType.simpleString()
-    both = n.join(e, ["session_id", "part"], "full_outer")
-    return both.select("session_id", "part", F.to_json(F.struct(
-        "session_id", "part", F.coalesce("nodes", F.array().cast(empty_n)).alias("nodes"),
-        F.coalesce("edges", F.array().cast(empty_e)).alias("edges"))).alias("doc"))
+        "evidence", lifted.alias("reportedIntensity"))).alias("d"))
+    listed = lambda rows, item, name: rows.groupBy("session_id", part.alias("part")).agg(F.array_join(
+        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["d"]), ",").alias(name))
+    both = listed(nodes, node, "_nodes").join(listed(edges, edge, "_edges"), ["session_id", "part"], "full_outer")
+    return both.select("session_id", "part", F.concat(
+        F.expr("substring(to_json(struct(session_id, part)), 1, length(to_json(struct(session_id, part))) - 1)"),
+        F.lit(',"nodes":['), F.coalesce("_nodes", F.lit("")), F.lit('],"edges":['),
+        F.coalesce("_edges", F.lit("")), F.lit("]}")).alias("doc"))
 
 
 def write_graph_json(graph: Graph, path: str) -> None:
