@@ -31,7 +31,7 @@ def lines(c: Column) -> Column:
 def token_set(c: Column) -> Column:
     """Distinct lower-cased whitespace tokens, sorted."""
     words = F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+")
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
+    return F.sort_array(F.array_distinct(F.filter(words, lambda w: w != "")))
 
 
 def jaccard(a: Column, b: Column) -> Column:

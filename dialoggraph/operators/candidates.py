@@ -19,6 +19,8 @@ from ..functions.text import lines, sentences, strip
 from .ordered import numbered
 
 MAX_SPLITS = 4
+# Turns covered by one bullet of prior evidence.
+PRIOR_TURNS = 65_536
 
 
 # ── from text ─────────────────────────────────────────────────────────────
@@ -151,7 +153,7 @@ def drop_repeats(cands: DataFrame, keys: Sequence[str], order: str) -> DataFrame
     ``min_by`` pre-aggregates before the shuffle, so many copies cost one row per task.
     """
     folded = F.lower(strip(F.col("text")))
-    ev = F.array_sort(F.array_distinct("evidence")).cast("string")
+    ev = F.sort_array(F.array_distinct("evidence")).cast("string")
     kept = cands.groupBy(*keys, folded.alias("_t"), ev.alias("_e")).agg(
         F.min_by(F.struct(*cands.columns), order).alias("_row"))
     return kept.select("_row.*")
@@ -307,21 +309,23 @@ def prepared(cands: DataFrame) -> DataFrame:
 def prior_lines(nodes: DataFrame, evidence: DataFrame, adjacency: DataFrame) -> DataFrame:
     """Bullets of prior entities per (session, target class), same class and adjacent ones.
 
-    One row per bullet: session_id, target, kind, prior_ord, label, ord, line.
+    One row per bullet: session_id, target, kind, prior_ord, label, ord, piece, line.  An
+    entity supported over a very long stretch has one bullet per stretch of turns.
     """
-    turns = (evidence.groupBy("session_id", F.col("owner_id").alias("node_id"))
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_set("turn_index")),
+    turns = (evidence.groupBy("session_id", F.col("owner_id").alias("node_id"),
+                              F.expr(f"turn_index div {PRIOR_TURNS}").alias("piece"))
+             .agg(F.array_join(F.transform(F.sort_array(F.collect_set("turn_index")),
                                            lambda t: t.cast("string")), ", ").alias("_turns")))
     base = nodes.join(turns, ["session_id", "node_id"], "left").select(
-        "session_id", "label", "ord",
+        "session_id", "label", "ord", F.coalesce("piece", F.lit(0)).cast("bigint").alias("piece"),
         F.concat(F.lit("  - '"), P.main_text(F.col("label"), F.col("props")), F.lit("' (turns ["),
                  F.coalesce("_turns", F.lit("")), F.lit("])")).alias("line"))
     same = base.filter(F.col("label").isin(*O.SESSION_PASS_CLASSES)).select(
         "session_id", F.col("label").alias("target"), F.lit("same").alias("kind"),
-        F.lit(0).alias("prior_ord"), "label", "ord", "line")
+        F.lit(0).alias("prior_ord"), "label", "ord", "piece", "line")
     near = base.join(F.broadcast(adjacency.select(F.col("label").alias("target"), "prior_ord",
                                                   F.col("prior_label").alias("label"))), "label").select(
-        "session_id", "target", F.lit("adjacent").alias("kind"), "prior_ord", "label", "ord", "line")
+        "session_id", "target", F.lit("adjacent").alias("kind"), "prior_ord", "label", "ord", "piece", "line")
     return same.unionByName(near)
 
 

@@ -208,7 +208,7 @@ def reframe_links(nodes: DataFrame) -> DataFrame:
     occ = sides.select("session_id", "label", "ord", "tokens", F.explode("tokens").alias("token"))
     freq = occ.groupBy("session_id", "token").agg(F.count(F.lit(1)).alias("_df"))
     ranked = (occ.join(freq, ["session_id", "token"]).groupBy("session_id", "label", "ord")
-              .agg(F.array_sort(F.collect_list(F.struct("_df", "token"))).alias("_t")))
+              .agg(F.sort_array(F.collect_list(F.struct("_df", "token"))).alias("_t")))
     size = F.size("_t")
     pre = ranked.select("session_id", "label", "ord", size.alias("size"), F.explode(F.transform(
         F.slice("_t", F.lit(1), size - F.floor(size / 5).cast("int")), lambda x: x["token"])).alias("token"))

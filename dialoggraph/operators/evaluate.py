@@ -16,7 +16,7 @@ def conformance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         return df.select("session_id", F.lit(kind).alias("kind"), F.col(ref).alias("ref"),
                          detail.cast("string").alias("detail"))
 
-    same = lambda a, b: F.array_sort(F.map_entries(a)) == F.array_sort(F.map_entries(b))
+    same = lambda a, b: F.sort_array(F.map_entries(a)) == F.sort_array(F.map_entries(b))
     gated = nodes.withColumn("_g", P.gate(F.col("label"), F.col("props"))).filter(
         ~same(F.col("props"), F.col("_g")))
     unnamed = nodes.filter((F.col("label") == "Intervention")

@@ -12,6 +12,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 NODE_COLS = ["session_id", "node_id", "label", "props", "status", "turn_acquired", "ord"]
 EDGE_COLS = ["session_id", "edge_id", "subject_id", "predicate", "object_id", "props",
              "status", "ord"]
@@ -42,11 +44,23 @@ def empty_map() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
-def evidence_arrays(owners: DataFrame, evidence: DataFrame, owner: str) -> DataFrame:
-    """Owners with an ordered ``evidence`` array, for exchange formats that need one."""
-    arrays = (evidence.groupBy("session_id", "owner_id")
-              .agg(F.array_sort(F.collect_list(F.struct("pos", "turn_index"))).alias("_e"))
-              .select("session_id", F.col("owner_id").alias(owner),
+# Most evidence turns listed in one row of an exchange format.
+EVIDENCE_ROW = 10_000
+
+
+def evidence_arrays(owners: DataFrame, evidence: DataFrame, owner: str,
+                    max_turns: int = EVIDENCE_ROW) -> DataFrame:
+    """Owners with ordered ``evidence`` arrays, for exchange formats that need them.
+
+    An owner with more turns than fit one array is repeated with the next ones; ``more``
+    counts those repeats (0 on the first row).
+    """
+    placed = numbered(evidence, ["session_id", "owner_id"], ["pos", "turn_index"], "_n", "pos")
+    arrays = (placed.groupBy("session_id", F.col("owner_id").alias(owner),
+                             F.expr(f"(_n - 1) div {int(max_turns)}").alias("more"))
+              .agg(F.sort_array(F.collect_list(F.struct("_n", "turn_index"))).alias("_e"))
+              .select("session_id", owner, "more",
                       F.transform("_e", lambda x: x["turn_index"].cast("int")).alias("evidence")))
     return (owners.join(arrays, ["session_id", owner], "left")
+            .withColumn("more", F.coalesce("more", F.lit(0)))
             .withColumn("evidence", F.coalesce("evidence", F.array().cast("array<int>"))))

@@ -103,37 +103,38 @@ def assign_nodes(cands: DataFrame, guard_category: bool = True,
     cands: session_id, label, ord (unique per session and label), text, props.  A
     candidate with no token resembles nothing and is a node of its own.
     """
-    base = cands.select(*KEY, F.col("ord").cast("bigint").alias("ord"),
-                        token_set(F.col("text")).alias("tokens"),
-                        F.nullif(P.get_prop(F.col("props"), "domain"), F.lit("")).alias("domain"),
-                        F.nullif(P.get_prop(F.col("props"), "category"), F.lit("")).alias("category"))
-    sets = cut(distinct_sets(base, KEY, "tokens", "ord"))
+    tokens = token_set(F.col("text"))
+    marked = cands.select(*KEY, F.col("ord").cast("bigint").alias("ord"), tokens.alias("tokens"),
+                          F.nullif(P.get_prop(F.col("props"), "domain"), F.lit("")).alias("domain"),
+                          F.nullif(P.get_prop(F.col("props"), "category"), F.lit("")).alias("category"))
+    # from here on a text is its digest; the words themselves exist once per distinct set
+    digest = F.unhex(F.sha2(F.array_join("tokens", "\u0001"), 256))
+    base = cut(marked.select(*KEY, "ord", "domain", "category", digest.alias("sig"),
+                             (F.size("tokens") == 0).alias("blank")))
+    sets = cut(distinct_sets(marked, KEY, "tokens", "ord").withColumn("sig", digest))
     links = similarity_links(sets, KEY, *THRESHOLD, **({} if hot is None else {"hot": hot}))
-    roots = components(links, KEY).select(*KEY, F.col("id").alias("set_id"), "root")
-    sized = sets.join(roots, [*KEY, "set_id"], "left").withColumn(
-        "root", F.coalesce("root", F.col("set_id")))
-    linked = sized.join(roots.select(*KEY, "set_id"), [*KEY, "set_id"], "left_semi") \
-        .select(*KEY, "tokens", "root")
+    roots = cut(components(links, KEY).select(*KEY, F.col("id").alias("set_id"), "root"))
+    linked = sets.join(roots, [*KEY, "set_id"]).select(*KEY, "sig", "tokens", "root")
     # beliefs with categories can part company even over one text, so they are folded too
     if guard_category:
         parted = (base.filter((F.col("label") == "CoreBelief") & F.col("category").isNotNull())
-                  .groupBy(*KEY, "tokens").agg(F.min("category").alias("_c1"), F.max("category").alias("_c2"))
-                  .filter("_c1 <> _c2").select(*KEY, "tokens"))
-        alone = sized.join(linked, [*KEY, "tokens"], "left_anti")
+                  .groupBy(*KEY, "sig").agg(F.min("category").alias("_c1"), F.max("category").alias("_c2"))
+                  .filter("_c1 <> _c2").select(*KEY, "sig"))
         linked = linked.unionByName(
-            alone.join(parted, [*KEY, "tokens"], "left_semi").select(*KEY, "tokens", "root"))
+            sets.join(parted, [*KEY, "sig"], "left_semi").join(roots, [*KEY, "set_id"], "left_anti")
+            .select(*KEY, "sig", "tokens", F.col("set_id").alias("root")))
     linked = cut(linked)
-    single = (sized.join(linked.select(*KEY, "tokens"), [*KEY, "tokens"], "left_anti")
-              .select(*KEY, "tokens", F.col("set_id").alias("head")))
-    easy = base.join(single, [*KEY, "tokens"]).select(*KEY, "ord", "head")
-    blank = base.filter(F.size("tokens") == 0).select(*KEY, "ord", F.col("ord").alias("head"))
-    hard = base.join(linked, [*KEY, "tokens"])
+    single = (sets.join(linked.select(*KEY, "sig"), [*KEY, "sig"], "left_anti")
+              .select(*KEY, "sig", F.col("set_id").alias("head")))
+    easy = base.filter("not blank").join(single, [*KEY, "sig"]).select(*KEY, "ord", "head")
+    blank = base.filter("blank").select(*KEY, "ord", F.col("ord").alias("head"))
+    hard = base.join(linked, [*KEY, "sig"])
     return easy.unionByName(blank).unionByName(_fold(hard, guard_category, fold_rows))
 
 
 def _fold(hard: DataFrame, guard_category: bool, fold_rows: int) -> DataFrame:
     comp = [*KEY, "root"]
-    marked = hard.withColumn("_sig", F.struct("tokens", "domain", "category"))
+    marked = hard.withColumn("_sig", F.struct("sig", "domain", "category"))
     lagged = running(marked, comp, ["ord"], {"_prev": ("last", "_sig")}, "ord", TURN_BLOCKS,
                      inclusive=False)
     lagged = lagged.withColumn("_new_run", (~F.coalesce(F.col("_sig").eqNullSafe(F.col("_prev")),
@@ -339,14 +340,14 @@ def context_summary(nodes: DataFrame, state: DataFrame) -> DataFrame:
     totals = shown.groupBy("session_id", "label").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("session_id", "label").orderBy("ord")
     five = shown.withColumn("_r", F.row_number().over(w)).filter("_r <= 5")
-    lists = five.groupBy("session_id", "label").agg(F.array_join(F.transform(F.array_sort(
+    lists = five.groupBy("session_id", "label").agg(F.array_join(F.transform(F.sort_array(
         F.collect_list(F.struct("_r", "t"))), lambda x: x["t"]), " | ").alias("items"))
     rows = lists.join(totals, ["session_id", "label"]).select(
         "session_id", O.label_rank().alias("r"), F.concat(
             F.lit("  "), "label", F.lit(": "), "items",
             F.when(F.col("n") > 5, F.concat(F.lit(" (+"), (F.col("n") - 5).cast("string"),
                                             F.lit(" more)"))).otherwise("")).alias("line"))
-    body = rows.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(
+    body = rows.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(
         F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), "\n").alias("body"))
     return state.join(body, "session_id", "left").select("session_id", F.concat_ws(
         "\n", F.concat(F.lit("Session phase: "), "phase"),

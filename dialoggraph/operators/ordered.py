@@ -104,7 +104,7 @@ def run_states(df: DataFrame, keys: Sequence[str], pos: str, step: str, n_states
     blk = "_sb0"
     rows = (df.withColumn(blk, F.expr(f"`{pos}` div {int(sizes[0])}"))
             .groupBy(*keys, blk)
-            .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"),
+            .agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"),
                                                       F.col(step).alias("f")))).alias("_rows")))
     walked = rows.join(entry, [*keys, blk]).withColumn(
         "_states", _walk("_rows", F.col("_entry")))
@@ -132,7 +132,7 @@ def _entry_states(df, keys, pos, step, identity, start, sizes, level) -> DataFra
     blk, size = f"_sb{level}", int(sizes[0])
     maps = (df.withColumn(blk, F.expr(f"`{pos}` div {size}"))
             .groupBy(*keys, blk)
-            .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"),
+            .agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"),
                                                       F.col(step).alias("f")))).alias("_rows"))
             .withColumn("_map", F.aggregate(
                 "_rows", identity,
@@ -147,7 +147,7 @@ def _entry_states(df, keys, pos, step, identity, start, sizes, level) -> DataFra
         upper = None
         grouped = maps
     lists = grouped.groupBy(*group).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(blk).alias("p"),
+        F.sort_array(F.collect_list(F.struct(F.col(blk).alias("p"),
                                              F.col("_map").alias("f")))).alias("_rows"))
     if upper is not None:
         lists = lists.join(upper, group)

@@ -219,7 +219,7 @@ def result_sizes(result: ResultSet, sessions: DataFrame) -> DataFrame:
 
 def _joined(lines: DataFrame) -> DataFrame:
     """Lines (session_id, o1, o2, line) to one text per session; a fixed number per session."""
-    return lines.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+    return lines.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
         F.struct("o1", "o2", "line"))), lambda x: x["line"]), "\n").alias("answer"))
 
 
@@ -232,7 +232,7 @@ def render(result: ResultSet, sessions: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     if result.intent == "count":
         body = result.counts.groupBy("session_id").agg(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("label", "n"))),
+            F.sort_array(F.collect_list(F.struct("label", "n"))),
             lambda x: F.concat(x["label"], F.lit("="), x["n"].cast("string"))), ", ").alias("c"))
         body = body.select("session_id", F.concat(F.lit("Counts: "), "c").alias("answer"))
         empty = "Nothing matched in this session's graph."

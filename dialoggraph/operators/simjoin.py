@@ -34,27 +34,60 @@ def distinct_sets(df: DataFrame, keys: Sequence[str], tokens: str, order: str) -
             .agg(F.min(order).alias("set_id"), F.count(F.lit(1)).alias("n")))
 
 
+# 64-bit words in the parity bitmap of a set.
+BITMAP_WORDS = 16
+
+
 def _prefixes(sets: DataFrame, keys: Sequence[str], num: int, den: int) -> DataFrame:
     """Every set with its rarest tokens: two sets above the threshold share one of them.
 
     A set of s tokens that overlaps another by more than num/den of the union shares at
     least floor(num*s/den)+1 tokens with it, so s - floor(num*s/den) of its tokens in any
     fixed global order are enough.  Rare tokens first keeps the buckets small.
+
+    Each row also carries the token's place in that order, the set's size and a parity
+    bitmap (every token flips one bit), from which a pair's overlap is bounded cheaply.
     """
     occ = sets.select(*keys, "set_id", F.explode("tokens").alias("token"))
     freq = occ.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+    word = F.expr(f"pmod(shiftright(xxhash64(token), 6), {BITMAP_WORDS})")
+    bit = F.expr("shiftleft(1L, cast(xxhash64(token) & 63 as int))")
     ranked = (occ.join(freq, "token").groupBy(*keys, "set_id")
-              .agg(F.array_sort(F.collect_list(F.struct("_df", "token"))).alias("_t")))
+              .agg(F.sort_array(F.collect_list(F.struct("_df", "token"))).alias("_t"),
+                   F.array(*[F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("bigint")))
+                             for w in range(BITMAP_WORDS)]).alias("bits")))
     size = F.size("_t")
     keep = size - F.floor(size * num / den).cast("int")
-    return ranked.select(*keys, "set_id", size.alias("size"), F.explode(
-        F.transform(F.slice("_t", F.lit(1), keep), lambda x: x["token"])).alias("token"))
+    return ranked.select(*keys, "set_id", size.alias("size"), "bits", F.posexplode(
+        F.transform(F.slice("_t", F.lit(1), keep), lambda x: x["token"])).alias("at", "token"))
 
 
 def _bucket_sizes(prefixes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return prefixes.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("_in_bucket"))
 
 
+def _meetings(pre: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
+    """Pairs (a < b) that share a prefix token and may still exceed the threshold.
+
+    Two upper bounds on the overlap are checked where the pair meets: by place (tokens
+    before, at and after the shared one) and by bitmap (each differing bit is a token the
+    two do not share).  Neither can lose a pair; what is left is close to the result.
+    """
+    side = lambda n: pre.select(*keys, "token", F.col("set_id").alias(n), F.col("size").alias(f"size_{n}"),
+                                F.col("at").alias(f"at_{n}"), F.col("bits").alias(f"bits_{n}"))
+    total = F.col("size_a") + F.col("size_b")
+    place = (F.least("at_a", "at_b") + 1
+             + F.least(F.col("size_a") - F.col("at_a") - 1, F.col("size_b") - F.col("at_b") - 1))
+    differing = sum((F.bit_count(F.get("bits_a", F.lit(w)).bitwiseXOR(F.get("bits_b", F.lit(w))))
+                     for w in range(BITMAP_WORDS)), F.lit(0))
+    lo, hi = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    return (side("a").join(side("b"), [*keys, "token"])
+            .filter((F.col("a") < F.col("b")) & (lo * den > hi * num)
+                    & (place * (num + den) > total * num)
+                    & ((total - differing) * (num + den) > total * (2 * num)))
+            .select(*keys, "a", "b").distinct())
+
+
 def similar_pairs(sets: DataFrame, keys: Sequence[str], num: int, den: int) -> DataFrame:
     """All pairs of distinct sets with Jaccard > num/den: keys, a, b (a < b), common, sizes.
 
@@ -62,14 +95,7 @@ def similar_pairs(sets: DataFrame, keys: Sequence[str], num: int, den: int) -> D
     ``similarity_links`` where only connectivity is needed.
     """
     keys = list(keys)
-    pre = _prefixes(sets, keys, num, den)
-    left = pre.select(*keys, "token", F.col("set_id").alias("a"), F.col("size").alias("size_a"))
-    right = pre.select(*keys, "token", F.col("set_id").alias("b"), F.col("size").alias("size_b"))
-    lo, hi = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    met = (left.join(right, [*keys, "token"])
-           .filter((F.col("a") < F.col("b")) & (lo * den > hi * num))
-           .select(*keys, "a", "b").distinct())
-    return _verified(met, sets, keys, num, den)
+    return _verified(_meetings(_prefixes(sets, keys, num, den), keys, num, den), sets, keys, num, den)
 
 
 def _verified(met: DataFrame, sets: DataFrame, keys, num, den) -> DataFrame:
@@ -91,22 +117,15 @@ def similarity_links(sets: DataFrame, keys: Sequence[str], num: int, den: int,
     links in proportion to its size and never its square.
     """
     keys = list(keys)
-    pre = _prefixes(sets, keys, num, den)
-    sizes = _bucket_sizes(pre, keys)
-    hot_buckets = cut(sizes.filter(F.col("_in_bucket") > hot))
+    pre = cut(_prefixes(sets, keys, num, den))
+    hot_buckets = cut(_bucket_sizes(pre, keys).filter(F.col("_in_bucket") > hot))
     if hot_buckets.isEmpty():
-        return similar_pairs(sets, keys, num, den).select(*keys, "a", "b")
+        return _verified(_meetings(pre, keys, num, den), sets, keys, num, den).select(*keys, "a", "b")
     cold = pre.join(hot_buckets, [*keys, "token"], "left_anti")
-    left = cold.select(*keys, "token", F.col("set_id").alias("a"), F.col("size").alias("size_a"))
-    right = cold.select(*keys, "token", F.col("set_id").alias("b"), F.col("size").alias("size_b"))
-    lo, hi = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    met = (left.join(right, [*keys, "token"])
-           .filter((F.col("a") < F.col("b")) & (lo * den > hi * num))
-           .select(*keys, "a", "b").distinct())
-    links = _verified(met, sets, keys, num, den).select(*keys, "a", "b")
+    links = _verified(_meetings(cold, keys, num, den), sets, keys, num, den).select(*keys, "a", "b")
 
     n_blocks = F.ceil(F.col("_in_bucket") / block).cast("int")
-    members = (pre.join(hot_buckets, [*keys, "token"])
+    members = (pre.drop("bits", "at", "size").join(hot_buckets, [*keys, "token"])
                .withColumn("_nb", n_blocks)
                .withColumn("_b", F.pmod(F.xxhash64("set_id"), F.col("_nb")).cast("int"))
                .join(sets.select(*keys, "set_id", "tokens"), [*keys, "set_id"]))

@@ -56,16 +56,26 @@ def evidence_window(evidence: DataFrame, turns: DataFrame, width: int = 1) -> Da
         "session_id", "owner_id", "turn_index", speaker_tag(F.col("speaker")).alias("tag"), "text")
 
 
-def render_windows(window: DataFrame, owners: DataFrame) -> DataFrame:
-    """One text per owner, '(none)' where nothing was found."""
-    texts = window.groupBy("session_id", "owner_id").agg(
-        F.array_sort(F.collect_list(F.struct(
+# Most turns rendered into one text.
+WINDOW_TURNS = 4096
+
+
+def render_windows(window: DataFrame, owners: DataFrame, max_turns: int = WINDOW_TURNS) -> DataFrame:
+    """Window texts: session_id, owner_id, piece, context; '(none)' where nothing was found.
+
+    An owner with more turns than fit one text gets further pieces, so that no task has
+    to hold an unbounded window.
+    """
+    placed = numbered(window, ["session_id", "owner_id"], ["turn_index"], "_n", "turn_index")
+    texts = placed.groupBy("session_id", "owner_id", F.expr(f"(_n - 1) div {int(max_turns)}").alias("piece")).agg(
+        F.sort_array(F.collect_list(F.struct(
             "turn_index",
             F.concat(F.lit("turn "), F.col("turn_index").cast("string"), F.lit(" | "),
                      F.col("tag"), F.lit(": "), F.col("text")).alias("line")))).alias("_l"))
     joined = owners.select("session_id", "owner_id").join(texts, ["session_id", "owner_id"], "left")
-    return joined.select("session_id", "owner_id", F.coalesce(
-        F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), F.lit("(none)")).alias("context"))
+    return joined.select("session_id", "owner_id", F.coalesce("piece", F.lit(0)).cast("bigint").alias("piece"),
+                         F.coalesce(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"),
+                                    F.lit("(none)")).alias("context"))
 
 
 def exchanges(turns: DataFrame) -> DataFrame:
@@ -232,7 +242,7 @@ def render_chunks(turns: DataFrame, ranges: DataFrame) -> DataFrame:
                            F.explode(F.sequence("lo", F.col("hi") - 1)).alias("turn_index"))
     rows = spread.join(turns, ["session_id", "turn_index"])
     return rows.groupBy("session_id", "chunk").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
             "turn_index",
             rendered_line(F.col("turn_index"), F.col("speaker"), F.col("text")).alias("line")))),
             lambda x: x["line"]), "\n").alias("transcript"))

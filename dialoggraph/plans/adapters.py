@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.lookup import lookup
 from ..operators.ordered import TIME_BLOCKS, numbered
 from ..operators.turns import client_turn_numbers
-from ..session import cut
+from ..session import cut, spread_small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, pos, role, text."""
-    return table(spark, sf_dir, "conversations").select(
+    return spread_small(table(spark, sf_dir, "conversations")).select(
         F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("pos"),
         "role", "text")
 
@@ -99,4 +99,4 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread_small(table(spark, sf_dir, "documents"))

@@ -109,7 +109,7 @@ def gated_props(spark, d):
 
 def props_text(props):
     """Properties as one sorted string, for results that must be scalar."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(props)),
+    return F.array_join(F.transform(F.sort_array(F.map_entries(props)),
                                     lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
 
 

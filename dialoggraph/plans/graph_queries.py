@@ -13,6 +13,7 @@ from ..operators import merge as M
 from ..operators import phases as H
 from ..operators import simjoin as S
 from ..operators.graph import edge_id, empty_map
+from ..session import cut
 from . import adapters as A
 from . import graphs as G
 from .candidate_queries import props_text
@@ -36,7 +37,7 @@ pairs AS (SELECT *, c / (na + nb - c) AS j FROM common WHERE c * 5 > (na + nb -
 def jaccard_pairs(spark, d):
     """Distinct whole texts of a language with similarity above 3/5; copies are counted, not paired."""
     docs = A.documents(spark, d).select("lang", "doc_id", token_set(F.col("text")).alias("tokens"))
-    sets = S.distinct_sets(docs, ["lang"], "tokens", "doc_id")
+    sets = cut(S.distinct_sets(docs, ["lang"], "tokens", "doc_id"))
     pairs = S.similar_pairs(sets, ["lang"], 3, 5)
     n = sets.select("lang", "set_id", "n")
     return (pairs.join(n.select("lang", F.col("set_id").alias("a"), F.col("n").alias("copies_a")), ["lang", "a"])
@@ -283,7 +284,7 @@ def _latest_nodes(rows, nodes):
 def neighbourhood(spark, d):
     """Two hops in either direction around each session's latest node."""
     rows = G.event_rows(spark, d)
-    g = G.event_graph(spark, d)
+    g = G.event_graph(spark, d, rows)
     starts = _latest_nodes(rows, g.nodes).select("session_id", F.col("node_id").alias("start_id"))
     return E.neighbourhood(starts, g.edges, 2)
 
@@ -301,7 +302,7 @@ WHERE NOT EXISTS (SELECT 1 FROM newn x WHERE x.session_id = o.session_id AND x.n
   OR NOT EXISTS (SELECT 1 FROM near r WHERE r.session_id = o.session_id AND r.start_id = w.node_id))""")
 def retry_set(spark, d):
     rows = G.event_rows(spark, d)
-    g = G.event_graph(spark, d)
+    g = G.event_graph(spark, d, rows)
     return E.retry_subjects(g.nodes, g.edges, _latest_nodes(rows, g.nodes)).select("session_id", "node_id", "label")
 
 
@@ -396,7 +397,7 @@ SELECT session_id, edge_id, CASE WHEN max(ord) > 40 THEN 'evidence' ELSE 'valid'
 def evidence_validation(spark, d):
     """Edges whose evidence reaches past the first forty turns, the transcript being those turns."""
     rows = G.event_rows(spark, d)
-    g = G.event_graph(spark, d)
+    g = G.event_graph(spark, d, rows)
     turns = rows.filter("turn_index <= 40").select("session_id", "turn_index")
     return E.validate(g.edges, g.nodes, g.edge_evidence, turns).select(
         "session_id", "edge_id", F.coalesce("drop_reason", F.lit("valid")).alias("outcome"))

@@ -83,8 +83,8 @@ def event_links(rows: DataFrame) -> DataFrame:
                     "object_id", empty_map().alias("props"), "turn_index"))
 
 
-def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    rows = event_rows(spark, sf_dir)
+def event_graph(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> Graph:
+    rows = event_rows(spark, sf_dir) if rows is None else rows
     links = event_links(rows)
     edges = links.groupBy("session_id", "subject_id", "predicate", "object_id").agg(F.min("ord").alias("ord"))
     edges = edges.select("session_id", edge_id().alias("edge_id"), "subject_id", "predicate", "object_id",

@@ -47,13 +47,13 @@ want AS (SELECT DISTINCT e.session_id, e.label, t.turn_index, CASE t.role WHEN '
   FROM ev e JOIN turnsp t ON t.session_id = e.session_id AND t.turn_index BETWEEN e.turn_index - 1 AND e.turn_index + 1),
 txt AS (SELECT session_id, label, string_agg('turn ' || turn_index || ' | ' || tag || ': ' || text, chr(10) ORDER BY turn_index) AS context
   FROM want GROUP BY session_id, label)
-SELECT session_id, label AS owner_id, md5(context) AS context_md5, length(context) AS n_chars FROM txt""")
+SELECT session_id, label AS owner_id, CAST(0 AS BIGINT) AS piece, md5(context) AS context_md5, length(context) AS n_chars FROM txt""")
 def evidence_window(spark, d):
     ev = G.dialogue_candidates(spark, d).select(
         "session_id", F.col("label").alias("owner_id"), F.col("turn_index").cast("bigint").alias("turn_index")).distinct()
     turns = A.positioned_turns(spark, d)
     texts = T.render_windows(T.evidence_window(ev, turns, 1), ev.select("session_id", "owner_id").distinct())
-    return texts.select("session_id", "owner_id", F.md5("context").alias("context_md5"),
+    return texts.select("session_id", "owner_id", "piece", F.md5("context").alias("context_md5"),
                         F.length("context").cast("bigint").alias("n_chars"))
 
 

@@ -43,6 +43,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def spread_small(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
+    """Spread a small input over all cores before heavy per-row work.
+
+    A small table is often one file with one row group, which one task would read and
+    then process alone.  Anything above ``max_bytes`` is read by many tasks anyway and is
+    returned as it is, so no large table is ever shuffled for this.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= max_bytes else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written table.
 

@@ -9,14 +9,14 @@ from .. import ontology as O
 from ..functions.lookup import lookup
 from ..functions.props import get_prop
 from ..functions.text import strip
-from ..operators.graph import Graph, edge_id, empty_map
+from ..operators.graph import EVIDENCE_ROW, Graph, edge_id, empty_map
 from ..operators.turns import normal_speaker
 
 NODE_JSON = ("id string, node_id string, label string, status string, evidence array<string>, "
-             "properties map<string,string>, props map<string,string>")
+             "properties map<string,string>, props map<string,string>, more bigint")
 EDGE_JSON = ("`type` string, predicate string, `from` string, subject_id string, `to` string, "
              "object_id string, status string, evidence array<string>, reportedIntensity string, "
-             "props map<string,string>")
+             "props map<string,string>, more bigint")
 
 
 def _session_of_file() -> Column:
@@ -46,7 +46,7 @@ def _graph_rows(docs: DataFrame) -> Graph:
                    empty_map()).alias("props"),
         F.coalesce("n.status", F.lit("found")).alias("status"),
         F.lit(None).cast("int").alias("turn_acquired"), at.cast("bigint").alias("ord"),
-        F.col("n.evidence").alias("_ev"))
+        F.col("n.evidence").alias("_ev"), F.col("n.more").alias("_more"))
     e = docs.select("session_id", "part", F.posexplode("g.edges").alias("i", "e"))
     s, p, o = (F.coalesce("e.from", "e.subject_id"), F.coalesce("e.type", "e.predicate"),
                F.coalesce("e.to", "e.object_id"))
@@ -59,14 +59,16 @@ def _graph_rows(docs: DataFrame) -> Graph:
         "session_id", edge_id(s, F.coalesce(p, F.lit("None")), o).alias("edge_id"), s.alias("subject_id"),
         F.coalesce(p, F.lit("None")).alias("predicate"), o.alias("object_id"), props.alias("props"),
         F.coalesce("e.status", F.lit("found")).alias("status"), at.cast("bigint").alias("ord"),
-        F.col("e.evidence").alias("_ev"))
+        F.col("e.evidence").alias("_ev"), F.col("e.more").alias("_more"))
 
     def evidence(rows: DataFrame, owner: str) -> DataFrame:
-        ev = rows.select("session_id", F.col(owner).alias("owner_id"), F.posexplode("_ev").alias("pos", "t"))
-        return ev.select("session_id", "owner_id", F.col("pos").cast("bigint").alias("pos"),
+        ev = rows.select("session_id", F.col(owner).alias("owner_id"), F.coalesce("_more", F.lit(0)).alias("_more"),
+                         F.posexplode("_ev").alias("pos", "t"))
+        return ev.select("session_id", "owner_id", (F.col("_more") * EVIDENCE_ROW + F.col("pos")).cast("bigint").alias("pos"),
                          F.expr("try_cast(t as bigint)").alias("turn_index")).filter("turn_index is not null")
 
-    return Graph(nodes.drop("_ev"), edges.drop("_ev"), evidence(nodes, "node_id"), evidence(edges, "edge_id"))
+    first = lambda rows: rows.filter("_more is null").drop("_ev", "_more")
+    return Graph(first(nodes), first(edges), evidence(nodes, "node_id"), evidence(edges, "edge_id"))
 
 
 def read_graph_json(spark: SparkSession, path: str) -> Graph:
@@ -154,7 +156,7 @@ def load_summary(graph: Graph) -> DataFrame:
 def summary_text(summary: DataFrame, source: str) -> DataFrame:
     """Summary per session as text; one line per class."""
     lines = summary.groupBy("session_id", "total_nodes", "total_edges").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("label", "n"))),
+        F.sort_array(F.collect_list(F.struct("label", "n"))),
         lambda x: F.concat(F.lit("- "), x["label"], F.lit(": "), x["n"].cast("string"))), "\n").alias("_l"))
     return lines.select("session_id", F.concat(
         F.lit(f"Loaded **{source}** — "), F.col("total_nodes").cast("string"), F.lit(" nodes, "),

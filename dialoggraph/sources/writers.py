@@ -20,22 +20,24 @@ def graph_documents(graph: Graph, part_rows: int = PART_ROWS) -> DataFrame:
     """Found nodes and edges as JSON documents: session_id, part, doc.
 
     A session that fits is one document.  A larger one is several parts, each a valid
-    document of its own, so no task has to hold a whole session.
+    document of its own, so no task has to hold a whole session.  A row whose evidence is
+    very long is continued by rows with the same id and a ``more`` count.
     """
     g = graph.found()
-    nodes = evidence_arrays(numbered(g.nodes, ["session_id"], ["ord", "node_id"], "_n", "ord"),
-                            g.node_evidence, "node_id")
-    edges = evidence_arrays(numbered(g.edges, ["session_id"], ["ord", "edge_id"], "_n", "ord"),
-                            g.edge_evidence, "edge_id")
+    nodes = numbered(evidence_arrays(g.nodes, g.node_evidence, "node_id"), ["session_id"],
+                     ["ord", "node_id", "more"], "_n", "ord")
+    edges = numbered(evidence_arrays(g.edges, g.edge_evidence, "edge_id"), ["session_id"],
+                     ["ord", "edge_id", "more"], "_n", "ord")
+    more = F.nullif("more", F.lit(0)).alias("more")
     part = F.expr(f"cast((_n - 1) div {int(part_rows)} as int)")
     node = F.struct("_n", F.to_json(F.struct(
-        F.col("node_id").alias("id"), "label", F.col("props").alias("properties"), "evidence")).alias("d"))
+        F.col("node_id").alias("id"), "label", F.col("props").alias("properties"), "evidence", more)).alias("d"))
     lifted = F.nullif(get_prop(F.col("props"), "reportedIntensity"), F.lit(""))
     edge = F.struct("_n", F.to_json(F.struct(
         F.col("predicate").alias("type"), F.col("subject_id").alias("from"), F.col("object_id").alias("to"),
-        "evidence", lifted.alias("reportedIntensity"))).alias("d"))
+        "evidence", lifted.alias("reportedIntensity"), more)).alias("d"))
     listed = lambda rows, item, name: rows.groupBy("session_id", part.alias("part")).agg(F.array_join(
-        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["d"]), ",").alias(name))
+        F.transform(F.sort_array(F.collect_list(item)), lambda x: x["d"]), ",").alias(name))
     both = listed(nodes, node, "_nodes").join(listed(edges, edge, "_edges"), ["session_id", "part"], "full_outer")
     return both.select("session_id", "part", F.concat(
         F.expr("substring(to_json(struct(session_id, part)), 1, length(to_json(struct(session_id, part))) - 1)"),

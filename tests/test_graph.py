@@ -259,3 +259,16 @@ def test_conformance_and_recall(spark, seeded):
     assert sorted((r.kind, r.ref) for r in V.conformance(bad, seeded.edges).collect()) == [("gating", "cb_1"), ("label", "x_1")]
     rec = {r.label: r.recall for r in V.recall(seeded.nodes, bad, "label").collect()}
     assert rec["CoreBelief"] == 0 and rec["Problem"] == 1
+
+
+def test_long_evidence_is_continued(spark, seeded, tmp_path):
+    """A node with more evidence than one row holds comes back whole and in order."""
+    from dialoggraph.operators import graph as GR
+    n = 25_000
+    long_ev = spark.range(n).select(F.lit("s").alias("session_id"), F.lit("at_1").alias("owner_id"), F.col("id").alias("pos"), (F.lit(n) - F.col("id")).alias("turn_index"))
+    W.write_graph_json(Graph(seeded.nodes, seeded.edges, long_ev, seeded.edge_evidence), str(tmp_path / "g"))
+    back = RD.read_graph_json(spark, str(tmp_path / "g"))
+    assert back.nodes.count() == 4
+    ev = back.node_evidence.filter("owner_id = 'at_1'")
+    assert ev.count() == n and ev.filter(F.col("pos") + F.col("turn_index") != n).count() == 0
+    assert GR.EVIDENCE_ROW < n
