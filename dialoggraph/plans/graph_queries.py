@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import ontology as O
 from ..functions import props as P
-from ..functions.text import token_set
+from ..functions.text import sentences, token_set
 from ..operators import edges as E
 from ..operators import evaluate as V
 from ..operators import merge as M
@@ -323,23 +323,20 @@ def reinforces(spark, d):
     return E.reinforces_edges(answers, lists, g.node_evidence).select("session_id", "subject_id", "object_id", "turn_index")
 
 
-@query("G7", f"""
-WITH {G.CANDS_SQL},
-nd AS (SELECT session_id, label, turn_index * 100000 + CASE speaker WHEN 'client' THEN 0 ELSE 50000 END + sent_no * 10 AS ord,
-   list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS s FROM cands WHERE label IN ('AutomaticThought', 'AdaptiveResponse', 'Intervention')),
+@query("G7", rf"""
+WITH {G.TURNS_SQL}, {G.sentences_sql("turns", "session_id, turn_index, speaker, pos")},
+nd AS (SELECT session_id, speaker, pos * 100000 + sent_no AS ord,
+   list_distinct(list_filter(regexp_split_to_array(lower(sentence), '\s+'), lambda x: x <> '')) AS s FROM sents),
 sc AS (SELECT r.session_id, r.ord AS response, a.ord AS thought, len(list_intersect(r.s, a.s)) AS c, len(r.s) + len(a.s) - len(list_intersect(r.s, a.s)) AS t
-   FROM nd r JOIN nd a ON r.session_id = a.session_id AND r.label <> 'AutomaticThought' AND a.label = 'AutomaticThought'),
+   FROM nd r JOIN nd a ON r.session_id = a.session_id AND r.speaker = 'therapist' AND a.speaker = 'client'),
 b AS (SELECT *, row_number() OVER (PARTITION BY session_id, response ORDER BY c / t DESC, thought) AS rn FROM sc WHERE c * 5 > t)
 SELECT session_id, response, thought, CAST(c AS BIGINT) AS common, CAST(t AS BIGINT) AS total FROM b WHERE rn = 1""")
 def reframe_best(spark, d):
-    """Best thought for each response; the therapist's interventions count as responses here."""
-    c = G.dialogue_candidates(spark, d).filter(F.col("label").isin("AutomaticThought", "AdaptiveResponse", "Intervention"))
-    ord_ = (F.col("turn_index") * 100000 + F.when(F.col("speaker") == "client", 0).otherwise(50000)
-            + F.col("sent_no") * 10).cast("bigint")
-    label = F.when(F.col("label") == "Intervention", "AdaptiveResponse").otherwise(F.col("label"))
-    # a sentence can be both kinds of response, which gives it one id and one text
-    n = c.select("session_id", label.alias("label"), ord_.cast("string").alias("node_id"), ord_.alias("ord"),
-                 F.create_map(F.lit("content"), F.col("text")).alias("props")).dropDuplicates(["session_id", "label", "node_id"])
+    """Best client sentence for every therapist sentence, as thoughts and responses."""
+    s = A.client_turns(spark, d).select("session_id", "speaker", "pos", F.posexplode(sentences(F.col("text"))).alias("sent_no", "t"))
+    ord_ = (F.col("pos") * 100000 + F.col("sent_no")).cast("bigint")
+    n = s.select("session_id", F.when(F.col("speaker") == "client", "AutomaticThought").otherwise("AdaptiveResponse").alias("label"),
+                 ord_.cast("string").alias("node_id"), ord_.alias("ord"), F.create_map(F.lit("content"), F.col("t")).alias("props"))
     return E.reframe_links(n).select(
         "session_id", F.col("response_id").cast("bigint").alias("response"), F.col("thought_id").cast("bigint").alias("thought"),
         F.col("common").cast("bigint").alias("common"), F.col("total").cast("bigint").alias("total"))
@@ -403,34 +400,28 @@ def evidence_validation(spark, d):
         "session_id", "edge_id", F.coalesce("drop_reason", F.lit("valid")).alias("outcome"))
 
 
-@query("G10", f"""
-WITH {G.EVENTS_SQL}, one AS (SELECT session_id, label, count(*) AS n, min(node_id) AS id FROM nodes GROUP BY session_id, label),
-miss AS (SELECT e.session_id, e.edge_id, e.subject_id, e.object_id, s.label AS sl, o.label AS ol, e.ord FROM edges e
-   JOIN nodes s ON s.session_id = e.session_id AND s.node_id = e.subject_id JOIN nodes o ON o.session_id = e.session_id AND o.node_id = e.object_id
-   WHERE e.predicate = 'manifestsAs'),
-fam AS (SELECT * FROM (VALUES {', '.join(f"('{s}', '{p}', '{o}')" for s, p, o in O.SIGNATURES)}) f(s, p, o) WHERE p = 'targetsProblem'),
-obj AS (SELECT m.session_id, m.edge_id, sum(n) AS n, min(id) AS id FROM miss m JOIN fam f ON f.s = m.sl JOIN one USING (session_id) WHERE one.label = f.o GROUP BY ALL),
-sub AS (SELECT m.session_id, m.edge_id, sum(n) AS n, min(id) AS id FROM miss m JOIN fam f ON f.o = m.ol JOIN one USING (session_id) WHERE one.label = f.s GROUP BY ALL)
-SELECT m.session_id, m.edge_id AS old_edge_id, coalesce(CASE WHEN obj.n = 1 THEN m.subject_id END, sub.id) || '__targetsProblem__' ||
-   CASE WHEN obj.n = 1 THEN obj.id ELSE m.object_id END AS edge_id
-FROM miss m LEFT JOIN obj USING (session_id, edge_id) LEFT JOIN sub USING (session_id, edge_id) WHERE obj.n = 1 OR sub.n = 1
-UNION ALL
-SELECT e.session_id, e.object_id || '__targetsProblem__' || e.subject_id, g.id || '__targetsProblem__' || e.subject_id
-FROM edges e JOIN one g ON g.session_id = e.session_id AND g.label = 'Goal' AND g.n = 1 WHERE e.predicate = 'manifestsAs'""")
+@query("G10", """
+WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS session_id, o_orderkey AS k, 'at_' || o_custkey AS a, 'cb_' || c_nationkey AS c FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT session_id, CASE k % 3 WHEN 0 THEN 'sit_' || k || '__triggers__' || c ELSE a || '__stemsFrom__sit_' || k END AS old_edge_id,
+  CASE k % 3 WHEN 0 THEN 'sit_' || k || '__triggers__' || a ELSE a || '__stemsFrom__' || c END AS edge_id FROM o WHERE k % 3 <> 2""")
 def edge_repair(spark, d):
-    """Relations with a wrong end; the one goal of a session is the only possible replacement.
-
-    Problem -> Situation edges are misnamed, and the same pairs turned round, so that a
-    subject of the wrong class meets a right object.
-    """
-    g = G.event_graph(spark, d)
-    m = g.edges.filter("predicate = 'manifestsAs'").select("session_id", "edge_id", "subject_id",
-        F.lit("targetsProblem").alias("predicate"), "object_id", "props", "status", "ord")
-    turned = m.select("session_id", F.concat_ws("__", "object_id", "predicate", "subject_id").alias("edge_id"),
-                      F.col("object_id").alias("subject_id"), "predicate", F.col("subject_id").alias("object_id"),
-                      "props", "status", "ord")
-    checked = E.validate(m.unionByName(turned), g.nodes)
-    return E.repair(checked, g.nodes).select("session_id", "old_edge_id", "edge_id")
+    """One session per customer with a single thought and belief; every order's relation has
+    a wrong end, which one alternative can replace for two kinds and none for the third."""
+    o = A.table(spark, d, "orders").join(A.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    sess = F.col("o_custkey").cast("string")
+    ids = {"Situation": F.concat(F.lit("sit_"), F.col("o_orderkey").cast("string")), "AutomaticThought": F.concat(F.lit("at_"), sess),
+           "CoreBelief": F.concat(F.lit("cb_"), F.col("c_nationkey").cast("string"))}
+    nodes = o.select(sess.alias("session_id"), F.explode(F.array(*[
+        F.struct(i.alias("node_id"), F.lit(l).alias("label")) for l, i in ids.items()])).alias("n")).select(
+        "session_id", "n.node_id", "n.label").distinct()
+    case = lambda *v: F.get(F.array(*v), (F.col("o_orderkey") % 3).cast("int"))
+    s = case(ids["Situation"], ids["AutomaticThought"], ids["AutomaticThought"])
+    p = case(F.lit("triggers"), F.lit("stemsFrom"), F.lit("manifestsAs"))
+    ob = case(ids["CoreBelief"], ids["Situation"], ids["Situation"])
+    edges = o.select(sess.alias("session_id"), F.concat_ws("__", s, p, ob).alias("edge_id"), s.alias("subject_id"), p.alias("predicate"),
+                     ob.alias("object_id"), empty_map().alias("props"), F.lit("found").alias("status"), F.col("o_orderkey").alias("ord"))
+    return E.repair(E.validate(edges, nodes), nodes).select("session_id", "old_edge_id", "edge_id")
 
 
 @query("G11", f"""
