@@ -2,8 +2,8 @@
 
 Copies are collapsed to distinct token sets first, so a text repeated a billion times is
 one row here.  Distinct sets meet only through rare tokens (prefix filter), and a token
-shared by very many sets is compared block against block, each block pair in its own
-task, which reports links rather than every similar pair.
+shared by very many sets is worked in bounded blocks that report links between sets
+rather than every similar pair.
 """
 
 from __future__ import annotations
@@ -111,10 +111,7 @@ def similarity_links(sets: DataFrame, keys: Sequence[str], num: int, den: int,
                      hot: int = HOT_TOKEN_SETS, block: int = BLOCK_SETS) -> DataFrame:
     """Links (keys, a, b) whose connected components equal those of all similar pairs.
 
-    Ordinary buckets are joined directly.  A hot bucket is split into blocks by set id
-    hash; each pair of blocks is compared in one task that skips pairs it has already
-    connected and reports at most one link per set, so a group of near copies costs
-    links in proportion to its size and never its square.
+    Ordinary buckets are joined directly; hot ones see ``_hot_links``.
     """
     keys = list(keys)
     pre = cut(_prefixes(sets, keys, num, den))
@@ -122,53 +119,120 @@ def similarity_links(sets: DataFrame, keys: Sequence[str], num: int, den: int,
     if hot_buckets.isEmpty():
         return _verified(_meetings(pre, keys, num, den), sets, keys, num, den).select(*keys, "a", "b")
     cold = pre.join(hot_buckets, [*keys, "token"], "left_anti")
-    links = _verified(_meetings(cold, keys, num, den), sets, keys, num, den).select(*keys, "a", "b")
-
-    n_blocks = F.ceil(F.col("_in_bucket") / block).cast("int")
-    members = (pre.drop("bits", "at", "size").join(hot_buckets, [*keys, "token"])
-               .withColumn("_nb", n_blocks)
-               .withColumn("_b", F.pmod(F.xxhash64("set_id"), F.col("_nb")).cast("int"))
+    links = cut(_verified(_meetings(cold, keys, num, den), sets, keys, num, den).select(*keys, "a", "b"))
+    rows = cut(pre.select(*keys, "token", "set_id").join(hot_buckets.drop("_in_bucket"), [*keys, "token"])
                .join(sets.select(*keys, "set_id", "tokens"), [*keys, "set_id"]))
-    # block i meets every block j >= i: send a member to all its meetings
-    placed = members.select(*keys, "token", "set_id", "tokens", "_b", F.explode(
-        F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_o")).select(
-        *keys, "token", "set_id", "tokens", "_b",
-        F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sets.schema if f.name in keys)
-    id_type = sets.schema["set_id"].dataType.simpleString()
+    return _hot_links(rows, links, keys, num, den, block)
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("set_id")
-        ids, blocks = pdf["set_id"].tolist(), pdf["_b"].tolist()
-        toks = [frozenset(t) for t in pdf["tokens"]]
-        root = list(range(len(ids)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        same = pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
-        out = []
-        for y in range(len(ids)):
-            for x in range(y):
-                if not same and blocks[x] == blocks[y]:
+
+def _hot_links(rows: DataFrame, links: DataFrame, keys: list[str], num: int, den: int,
+               block: int) -> DataFrame:
+    """Links within tokens shared by very many sets.  rows: keys, token, set_id, tokens.
+
+    First, blocks of a bucket are linked inside, then one representative per component
+    is, and so on while that at least halves their number: a group of near copies shrinks
+    by the block size each time.  What this cannot settle are pairs between different
+    components, so at the end every set outside a bucket's largest component meets all
+    the others.  Near copies therefore cost work in proportion to their number, and a
+    pair inside one component is never looked at again.
+    """
+    bucket = [*keys, "token"]
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"a {types['set_id']}", f"b {types['set_id']}"])
+
+    def similar(x: frozenset, y: frozenset) -> bool:
+        return len(x & y) * (num + den) > (len(x) + len(y)) * num
+
+    def frame(pdf: pd.DataFrame, pairs: list) -> pd.DataFrame:
+        out = pd.DataFrame(pairs, columns=["a", "b"])
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "a", "b"]]
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups, pairs = [], []
+        for y, words in zip(pdf["set_id"], pdf["tokens"]):
+            me, joined = (y, frozenset(words)), None
+            for g in list(groups):
+                hit = next((x for x, w in g if similar(w, me[1])), None)
+                if hit is None:
                     continue
-                rx, ry = find(x), find(y)
-                if rx == ry:
+                pairs.append((hit, y))
+                if joined is None:
+                    joined = g
+                    g.append(me)
+                else:
+                    joined.extend(g)
+                    groups.remove(g)
+            if joined is None:
+                groups.append([me])
+        return frame(pdf, pairs)
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        top = {}
+
+        def find(r):
+            while top.setdefault(r, r) != r:
+                r = top[r]
+            return r
+
+        pairs, by_root = [], {}
+        side = pdf[pdf["_side"] == 0]
+        for i, w, r in zip(side["set_id"], side["tokens"], side["root"]):
+            by_root.setdefault(r, []).append((i, frozenset(w)))
+        other = pdf[pdf["_side"] == pdf["_side"].max()]
+        for y, words, r in zip(other["set_id"], other["tokens"], other["root"]):
+            mine = frozenset(words)
+            for root, members in by_root.items():
+                if find(root) == find(r):
                     continue
-                common = len(toks[x] & toks[y])
-                if common * (num + den) > (len(toks[x]) + len(toks[y])) * num:
-                    root[max(rx, ry)] = min(rx, ry)
-                    out.append((ids[x], ids[y]))
-        head = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**head, "a": a, "b": b} for a, b in out],
-                            columns=[*keys, "a", "b"])
-
-    hot_links = placed.groupBy(*keys, "token", "_i", "_j").applyInPandas(
-        meet, f"{schema}, a {id_type}, b {id_type}")
-    return links.unionByName(hot_links).distinct()
+                hit = next((x for x, w in members if similar(w, mine)), None)
+                if hit is not None:
+                    pairs.append((hit, y))
+                    top[find(root)] = find(r)
+        return frame(pdf, pairs)
+
+    def rooted(members: DataFrame) -> DataFrame:
+        roots = components(links, keys).select(*keys, F.col("id").alias("set_id"), "root")
+        return members.join(roots, [*keys, "set_id"], "left").withColumn(
+            "root", F.coalesce("root", F.col("set_id")))
+
+    current, left = rows, rows.count()
+    while True:
+        sized = current.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb"))
+        placed = current.join(sized, bucket).withColumn(
+            "_b", F.pmod(F.xxhash64("set_id", F.lit(left)), F.col("_nb")))
+        links = cut(links.unionByName(placed.groupBy(*bucket, "_b").applyInPandas(inside, schema)).distinct())
+        reps = cut(rooted(current).groupBy(*bucket, "root").agg(
+            F.min_by(F.struct("set_id", "tokens"), "set_id").alias("r")).select(*bucket, "r.*"))
+        before, left, current = left, reps.count(), reps
+        if left * 2 > before:
+            break
+
+    members = cut(rooted(rows))
+    largest = (members.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("_n"))
+               .groupBy(*bucket).agg(F.max_by("root", F.struct("_n", "root")).alias("_big")))
+    sided = members.join(largest, bucket).withColumn("_minor", F.col("root") != F.col("_big"))
+    blocks = sided.groupBy(*bucket).agg(
+        F.ceil(F.count_if("_minor") / block).cast("int").alias("_nm"),
+        F.ceil(F.count_if(~F.col("_minor")) / block).cast("int").alias("_nj")).filter("_nm > 0")
+    sided = sided.join(blocks, bucket).withColumn("_b", F.pmod(
+        F.xxhash64("set_id"), F.when(F.col("_minor"), F.col("_nm")).otherwise(F.col("_nj"))).cast("int"))
+    # a minor block i meets every major block, and every minor block from i on
+    spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    meeting = lambda kind, i, j, side: F.struct(F.lit(kind).alias("_kind"), i.alias("_i"), j.alias("_j"),
+                                                F.lit(side).alias("_side"))
+    mine = F.col("_b")
+    as_minor = F.concat(
+        F.transform(spread("_nj"), lambda j: meeting(0, mine, j, 0)),
+        F.transform(F.sequence(mine, F.col("_nm") - 1), lambda j: meeting(1, mine, j, 0)),
+        F.filter(F.transform(spread("_nm"), lambda i: meeting(1, i, mine, 1)), lambda m: m["_i"] < mine))
+    as_major = F.transform(spread("_nm"), lambda i: meeting(0, i, mine, 1))
+    met = sided.select(*bucket, "set_id", "tokens", "root", F.explode(
+        F.when(F.col("_minor"), as_minor).otherwise(as_major)).alias("m")).select(
+        *bucket, "set_id", "tokens", "root", "m.*")
+    last = met.groupBy(*bucket, "_kind", "_i", "_j").applyInPandas(across, schema)
+    return links.unionByName(last).distinct()
 
 
 def components(links: DataFrame, keys: Sequence[str], max_rounds: int = 60) -> DataFrame:

@@ -215,3 +215,18 @@ def test_edge_upsert(spark):
     e = edges.collect()
     assert len(e) == 1 and e[0].edge_id == "x__leadsTo__y" and e[0].props == {"reportedIntensity": "8"}
     assert [r.turn_index for r in ev.orderBy("pos").collect()] == [4, 2]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hot_links_equal_all_pairs(spark, seed):
+    """Tiny limits put almost every token on the hot path, with several components each."""
+    rng = random.Random(seed)
+    base = [[f"b{i}_{j}" for j in range(5)] for i in range(5)]
+    sets = {}
+    for i in range(120):
+        s = tuple(sorted(set(rng.choice(base)[:rng.randint(3, 5)] + [f"x{rng.randrange(12)}" for _ in range(rng.randint(0, 3))])))
+        sets.setdefault(s, i)
+    df = spark.createDataFrame([("k", list(s), i) for s, i in sets.items()], "k string, tokens array<string>, set_id bigint")
+    as_comp = lambda links: {r.id: r.root for r in S.components(links, ["k"]).collect()}
+    pairs = S.similar_pairs(df, ["k"], 3, 5).select("k", "a", "b")
+    assert as_comp(S.similarity_links(df, ["k"], 3, 5, hot=2, block=4)) == as_comp(pairs)
