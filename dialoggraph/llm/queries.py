@@ -29,3 +29,10 @@ def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeated_windows(table(spark, sf_dir, "documents"), width=13)
     return out.select("doc_id", "n_words", removed_length("removed").alias("n_removed"),
                       F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
