@@ -235,31 +235,36 @@ def _hot_links(rows: DataFrame, links: DataFrame, keys: list[str], num: int, den
     return links.unionByName(last).distinct()
 
 
-def components(links: DataFrame, keys: Sequence[str], max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Connected components of links (keys, a, b): keys, id, root (smallest id).
 
     Alternating star contraction: every round points the larger neighbours of a vertex at
     the smallest one, which halves paths instead of walking them.  Both sides aggregate
     before the shuffle, so a vertex with very many links is no bottleneck, and the round
-    count grows with the logarithm of the longest path.
+    count grows with the logarithm of the longest path.  It goes on until a round leaves
+    the edges as they were, which count and hash sums of the written edges tell.
     """
     keys = list(keys)
     edges = cut(links.select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                 .filter("u <> v").distinct())
-    for _ in range(max_rounds):
+    state = _state(edges)
+    while True:
         large = _star(edges, keys, strict=True)
-        small = cut(_star(large, keys, strict=False))
-        changed = not small.exceptAll(edges).isEmpty() or not edges.exceptAll(small).isEmpty()
-        edges = small
-        if not changed:
+        edges = cut(_star(large, keys, strict=False))
+        before, state = state, _state(edges)
+        if state == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     members = edges.select(*keys, F.col("u").alias("id"), F.col("v").alias("root"))
     roots = edges.select(*keys, F.col("v").alias("id"), F.col("v").alias("root")).distinct()
     return members.unionByName(roots)
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Count and hashes of a set of edges: equal for equal sets, whatever their order."""
+    h = F.xxhash64(*edges.columns)
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first())
+
+
 def _star(edges: DataFrame, keys: list[str], strict: bool) -> DataFrame:
     """One contraction step over edges (u > v).
 
