@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,3 +44,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return pack(table(spark, sf_dir, "documents"), capacity=1024).select(
         "doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown import score
+
+    fold = crc_mod("doc_id", 7)
+    out = score(table(spark, sf_dir, "documents"), train=fold != 2)
+    return out.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known",
+                      "train_tokens", "base_score", "score")
