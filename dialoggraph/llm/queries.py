@@ -54,3 +54,13 @@ def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score(table(spark, sf_dir, "documents"), train=fold != 2)
     return out.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known",
                       "train_tokens", "base_score", "score")
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import without_repeated_strings
+
+    out = without_repeated_strings(table(spark, sf_dir, "documents"), length=50)
+    return out.select("doc_id", "n_bytes", removed_length("removed").alias("n_removed"),
+                      F.size("removed").cast("long").alias("n_spans"),
+                      F.sha2("kept_bytes", 256).alias("kept_sha256"))
