@@ -64,3 +64,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed_length("removed").alias("n_removed"),
                       F.size("removed").cast("long").alias("n_spans"),
                       F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import KINDS, number_of, scan, written
+
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = [number_of("base", k).alias(f"n_{KINDS[k]}") for k in range(3)]
+    return out.select("doc_id", *count, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                      written(F.col("spans")).alias("spans"))
