@@ -74,3 +74,21 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = [number_of("base", k).alias(f"n_{KINDS[k]}") for k in range(3)]
     return out.select("doc_id", *count, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                       written(F.col("spans")).alias("spans"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity(docs, table(spark, sf_dir, "labels"), train=crc_mod("doc_id", 4) != 2)
+    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality(docs, table(spark, sf_dir, "labels"), train=crc_mod("doc_id", 3) != 1)
+    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
