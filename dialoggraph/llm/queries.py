@@ -92,3 +92,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality(docs, table(spark, sf_dir, "labels"), train=crc_mod("doc_id", 3) != 1)
     return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import with_leaks
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = with_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", F.explode("leaks").alias("x")).select(
+        "doc_id", "x.item_id", "x.cosine", F.col("x.lcs").alias("lcs_ratio"), F.col("x.answer").alias("answer_ratio"))
