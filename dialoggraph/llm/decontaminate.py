@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,22 @@ PASSAGE, WINDOW, STRIDE = 32, 64, 32
 OVERSAMPLING, SEED = 8, 7
 
 
+def lowered(batches):
+    """The batches with a last column ``_lower``: the texts in small letters of any script."""
+    for b in batches:
+        text = pa.compute.utf8_lower(b.column(b.schema.get_field_index("text")))
+        yield pa.RecordBatch.from_arrays([*b.columns, text], names=[*b.schema.names, "_lower"])
+
+
+def lowered_blocks(batches):
+    return blocks(lowered(batches), "_lower")
+
+
+def text_words(text: str) -> np.ndarray:
+    batch = pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["text"])
+    return words(next(blocks(lowered([batch]), "_lower", size=1 << 62)), lower=True).hash
+
+
 def item_passages(hashes: np.ndarray) -> list[np.ndarray]:
     """Pieces of at most PASSAGE words; the last one ends with the item."""
     n = len(hashes)
@@ -47,8 +64,7 @@ def rounds(benchmark: DataFrame, per_round: int):
     rows = (benchmark.filter("item_id is not null and text is not null")
             .select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().orderBy("item_id", "text"))
     for r in rows.toLocalIterator():
-        block = next(blocks(iter([pa.RecordBatch.from_arrays([pa.array([r["text"]])], ["text"])]), size=1 << 62))
-        h = words(block, lower=True).hash
+        h = text_words(r["text"])
         if not len(h):
             continue
         n = len(item_passages(h))
@@ -67,7 +83,7 @@ def document_counts(docs: DataFrame, vocabulary: Lookup) -> tuple[np.ndarray, in
 
     def count(batches):
         total = np.zeros(size, np.int64)
-        for block in blocks(batches, "text"):
+        for block in lowered_blocks(batches):
             w = words(block, lower=True)
             place = vocabulary(w.hash)
             hit = place >= 0
@@ -91,7 +107,7 @@ def latent_space(benchmark: DataFrame, low: int, high: int, vocabulary: Lookup,
              .select("item_id", "text").distinct().repartition(8, "item_id"))
 
     def matrices(batches):
-        for block in blocks(batches, "text"):
+        for block in lowered_blocks(batches):
             w = words(block, lower=True)
             own = [p for a, b in zip(w.rows[:-1], w.rows[1:]) if b > a for p in item_passages(w.hash[a:b])]
             for k in range(0, len(own), 256):
@@ -258,11 +274,11 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 512, per_round
             Index(items, vocabulary, np.r_[idf, 0.0], 0.6 * float(np.log(total + 1)), space))
 
         def search(batches, index=index):
-            for block in blocks(batches, "text"):
+            for block in lowered_blocks(batches):
                 found = leaks_of(block, index.value, cosine, ordered, answered, whole)
                 before = block.rows.column(block.rows.schema.get_field_index("leaks")).to_pylist()
                 yield pa.RecordBatch.from_arrays(
-                    list(block.rows.columns[:-1]) + [pa.array([a + b for a, b in zip(before, found)], kind)],
+                    list(block.rows.columns[:len(names)]) + [pa.array([a + b for a, b in zip(before, found)], kind)],
                     names=names + ["leaks"])
 
         out = out.mapInArrow(search, f"{ddl}, leaks {LEAKS}")
