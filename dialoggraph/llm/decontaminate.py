@@ -16,7 +16,7 @@ broadcast has a fixed bound; every round reads all documents.  With ``rank`` at
 ``per_round`` the latent space keeps every passage whole.
 
 Defined results: null and empty texts hold no leak; null or empty items are nobody's leak;
-null ids and repeated rows are judged like all others; extra columns are kept.
+null ids and repeated rows are judged like all others; extra columns are kept, but for one named ``leaks``.
 """
 
 from __future__ import annotations
@@ -259,7 +259,7 @@ LEAKS = "array<struct<item_id:long,cosine:double,lcs:double,answer:double>>"
 def with_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 512, per_round: int = 512, cosine: float = 0.15,
                ordered: float = 0.6, answered: float = 0.5, whole: float = 0.8) -> DataFrame:
     """``docs`` with ``leaks``: the benchmark items that each text holds."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("leaks")
     names = [f.name for f in docs.schema]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()),

@@ -133,6 +133,7 @@ def quality(docs: DataFrame, labels: DataFrame, train: Column, most: tuple[int,
 
     docs: doc_id, text; labels: doc_id, quality; train: rows of labels to learn from.
     """
+    docs = docs.drop("score", "predicted")
     sample, totals = labelled_sample(docs, labels, "quality", train, most)
 
     def gather(batches):

@@ -102,3 +102,28 @@ def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = with_leaks(docs, table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", F.explode("leaks").alias("x")).select(
         "doc_id", "x.item_id", "x.cosine", F.col("x.lcs").alias("lcs_ratio"), F.col("x.answer").alias("answer_ratio"))
+
+
+@query
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+SQL["op4_exact_top_k"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
+           CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * r.e[i])) AS BIGINT) AS score
+    FROM v q JOIN v r ON r.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+), k AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20
+"""

@@ -16,7 +16,8 @@ short tokens have less evidence to give: one aggregate of counts by stratum and
 class, of fixed size, gives the stratum's limit.
 
 Defined results: a null text is empty and has no spans; a null id stays null; repeated rows
-are scanned alike; extra columns are ignored.  Places are code points, the end is exclusive.
+are scanned alike; extra columns are kept, but for those named like an output.
+Places are code points, the end is exclusive.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ texts without a shuffle.
 
 Defined results: null and empty texts score what the intercept gives; null ids stay null and
 are never learned from; labels other than 0 and 1 are ignored; repeated rows score alike; extra
-columns are ignored; without labels of both classes every score is the share of label 1 (0.0
+columns are kept, but for those named like an output; without labels of both classes every score is the share of label 1 (0.0
 if there is no label).
 """
 
@@ -128,6 +128,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, most: tuple[int,
 
     docs: doc_id, text; labels: doc_id, toxic; train: rows of labels to learn from.
     """
+    docs = docs.drop("score", "predicted")
     sample, totals = labelled_sample(docs, labels, "toxic", train, most)
     terms = swaps(kinds)
     pattern = re.compile(r"\b(" + "|".join(map(re.escape, sorted(terms, key=len, reverse=True))) + r")\b", re.I)
