@@ -3,14 +3,18 @@
 Every document gets the minima of 128 hash functions over its word shingles.  Bands of four
 minima bring candidates together; of each minimum only two low bits are kept, packed in four
 64-bit words, and the similarity of a candidate pair is estimated from the count of equal
-bit pairs, corrected for chance collisions.  Pairs that may reach the threshold are confirmed
-on the full shingle sets.
+bit pairs, corrected for chance collisions.
 
 Documents with equal shingle sets are one class from the start (a digest of the set), so a
-text repeated a billion times is one row afterwards.  Inside a band no pairs of all members
-are made: members meet a few hubs (the smallest under some fixed orders); what the confirmed
-links leave apart meets by a join that only keeps pairs of different components whose sizes
-and bits allow a link.
+text repeated a billion times is one row afterwards.  No stage emits the pairs of a group:
+
+1. The members of a band belong to the group of its smallest id, which joins most bands of a
+   family of near copies into one group.  Groups are cut into blocks by a hash of the id;
+   each pair of blocks is one small task that compares bits and sizes as matrices and sends
+   back a spanning forest of the pairs that may reach the threshold.
+2. The components of those edges are candidate clusters.  Only their texts are read again.
+   Pairs of blocks of a cluster count common shingles as matrix products and send back a
+   spanning forest of the confirmed links, whose components are the result.
 
 At similarity 0.85 a pair shares none of the 32 bands with probability 6e-11, and its
 estimate falls below ``estimate`` by more than five standard deviations.
@@ -28,12 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.simjoin import components
+from .blobs import batch
 from .tables import cut
 from .words import Block, blocks, mix, window_hash, words
 
 HASHES, BANDS, ROWS_PER_BAND, BITS = 128, 32, 4, 2
-# Orders of ids under which the first member of a band is one of its hubs.
-ORDERS = (0, -1, 0x5DEECE66D2B5A1C3, -0x2545F4914F6CDD1D)
+# Rows of a block of a group when bits, and when shingle sets are compared.
+BIT_BLOCK, SET_BLOCK = 256, 96
+# Shingles that are counted at once, as columns of a matrix.
+COLUMNS = 1 << 14
 
 _rng = np.random.default_rng(85)
 _MUL = _rng.integers(0, 2**64, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -120,33 +127,106 @@ def _signature_rows(width: int):
     return sign, ddl
 
 
-def _set_rows(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-
-    def sets(batches):
-        for block in blocks(batches, "text"):
-            values, offs = shingles(block, width)
-            own = [np.unique(values[a:b]).view(np.int64) for a, b in zip(offs[:-1], offs[1:])]
-            ends = np.r_[0, np.cumsum([len(x) for x in own])]
-            yield pa.RecordBatch.from_arrays(
-                [block.rows.column(0), pa.ListArray.from_arrays(
-                    pa.array(ends, pa.int32()), pa.array(np.concatenate(own)))], schema=schema)
-
-    return sets, "doc_id long, shingles array<long>"
-
-
-def estimate_pairs():
-    """Collision-corrected similarity of columns a.s* and b.s*: matches of 2-bit values by bit counts."""
-    per, odd = 64 // BITS, 0x5555555555555555
-    unequal = []
-    for k in range(HASHES // per):
-        x = F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))
-        unequal.append(F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(odd))))
-    match = 1 - sum(unequal[1:], unequal[0]) / F.lit(float(HASHES))
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Collision-corrected similarity of packed rows of a with packed rows of b."""
+    x = a[:, None, :] ^ b[None, :, :]
+    x = (x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)
+    match = 1 - np.bitwise_count(x).sum(2, dtype=np.int64) / HASHES
     chance = 1.0 / (1 << BITS)
     return (match - chance) / (1 - chance)
 
 
+def common_counts(rows: list[np.ndarray], split: int) -> np.ndarray:
+    """Common values of rows before and from ``split`` on; every row has distinct values."""
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    _, value, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    shared = count[value] > 1
+    owner, value = owner[shared], np.cumsum(count > 1)[value[shared]] - 1
+    out = np.zeros((split, len(rows) - split), np.float32)
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    last = int(value[-1]) + 1 if len(value) else 0
+    for lo in range(0, last, COLUMNS):
+        i, j = np.searchsorted(value, (lo, lo + COLUMNS))
+        part = np.zeros((len(rows), min(COLUMNS, last - lo)), np.float32)
+        part[owner[i:j], value[i:j] - lo] = 1
+        out += part[:split] @ part[split:].T
+    return out.astype(np.int64)
+
+
+def forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (smallest id, id) of the components of a bipartite relation between two id lists."""
+    big = np.iinfo(np.int64).max
+    a, b = left.copy(), right.copy()
+    if not near.any():
+        return []
+    while True:
+        na = np.minimum(a, np.where(near, b[None, :], big).min(1))
+        nb = np.minimum(b, np.where(near, na[:, None], big).min(0))
+        if (na == a).all() and (nb == b).all():
+            break
+        a, b = na, nb
+    return sorted({(int(r), int(i)) for r, i in zip(np.r_[a, b], np.r_[left, right]) if r != i})
+
+
+def runs(batches, keys: int):
+    """Batches of the rows of one key each; the rows come sorted by their first columns."""
+    held = None
+    for b in batches:
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        if not b.num_rows:
+            continue
+        change = np.zeros(b.num_rows - 1, bool)
+        for k in range(keys):
+            v = b.column(k).to_numpy()
+            change |= v[1:] != v[:-1]
+        cuts = np.r_[0, np.flatnonzero(change) + 1]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield b.slice(lo, hi - lo)
+        held = b.slice(cuts[-1])
+    if held is not None:
+        yield held
+
+
+EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def met_in_blocks(groups: DataFrame, size: int, values: list[str], compare) -> DataFrame:
+    """Edges (a, b) from every pair of blocks of every group.
+
+    groups: grp, doc_id and ``values``, without repeated rows.  compare(rows, split) tells for rows of a pair of
+    blocks which rows before ``split`` are near which rows from it on.
+    """
+    count = groups.groupBy("grp").count().filter("count > 1")
+    blocks_ = F.ceil(F.col("count") / size)
+    own = F.pmod(F.xxhash64("doc_id"), F.col("_n")).cast("int")
+    met = (groups.join(count, "grp").withColumn("_n", blocks_).withColumn("_own", own)
+           .withColumn("_other", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))))
+           .select("grp", F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q"),
+                   F.when(F.col("_own") <= F.col("_other"), 0).otherwise(1).alias("_side"), "doc_id", *values))
+
+    def edges(batches):
+        found = []
+        for rows in runs(batches, 3):
+            side = rows.column(3).to_numpy()
+            ids = rows.column(4).to_numpy()
+            split = int((side == 0).sum())
+            if rows.column(1)[0].as_py() == rows.column(2)[0].as_py():  # a block with itself
+                rows, ids = pa.Table.from_batches([rows, rows]), np.r_[ids, ids]
+            elif split == len(ids):
+                continue
+            found += forest(compare(rows, split), ids[:split], ids[split:])
+            if len(found) > 100_000:
+                yield batch(EDGES, found)
+                found = []
+        if found:
+            yield batch(EDGES, found)
+
+    key = ["grp", "_p", "_q"]
+    return met.repartition(*key).sortWithinPartitions(*key, "_side").mapInArrow(edges, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, width: int = 5, estimate: float = 0.65,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document.
@@ -179,48 +259,34 @@ def confirmed_links(rows: DataFrame, reps: DataFrame, num: int, den: int, width:
     """Links (a, b) between representatives whose components are those of all links."""
     bits = [c for c in reps.columns if c.startswith("s")]
     keyed = reps.select("doc_id", F.explode("bands").alias("band"))
-    first = [F.min(F.col("doc_id").bitwiseXOR(F.lit(o))).bitwiseXOR(F.lit(o)).alias(f"h{k}")
-             for k, o in enumerate(ORDERS)]
-    hubs = keyed.groupBy("band").agg(*first, F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    live = cut(keyed.join(hubs, "band"))
-    sig = reps.select("doc_id", "n", *bits)
-
-    def may_link(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sizes and bits allow the threshold."""
-        x = pairs.join(sig.alias("a"), F.col("p.a") == F.col("a.doc_id"))
-        x = x.join(sig.alias("b"), F.col("p.b") == F.col("b.doc_id"))
-        return x.filter(size_allows()).filter(estimate_pairs() >= estimate).select("p.a", "p.b").distinct()
-
-    def size_allows():
-        return F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num
-
-    stars = (live.select("doc_id", *[f"h{k}" for k in range(len(ORDERS))]).distinct()
-             .select("doc_id", F.explode(F.array(*[f"h{k}" for k in range(len(ORDERS))])).alias("hub"))
-             .filter("doc_id <> hub")
-             .select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct())
-    tried = cut(may_link(stars.alias("p")))
-    links = confirm(rows, tried, num, den, width)
-    root = components(links, []).withColumnRenamed("id", "doc_id")
-
-    placed = live.select("band", "doc_id").join(root, "doc_id", "left").withColumn(
-        "root", F.coalesce("root", "doc_id"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-    apart = cut(placed.join(mixed.select("band"), "band", "left_semi").join(sig, "doc_id"))
-    across = (apart.alias("a").join(apart.alias("b"), F.expr("a.band = b.band and a.root <> b.root"
-                                                             " and a.doc_id < b.doc_id"))
-              .filter(size_allows()).filter(estimate_pairs() >= estimate)
-              .select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct())
-    rest = cut(across.join(tried, ["a", "b"], "left_anti"))
-    return links if rest.isEmpty() else links.unionByName(confirm(rows, rest, num, den, width))
-
-
-def confirm(rows: DataFrame, pairs: DataFrame, num: int, den: int, width: int) -> DataFrame:
-    """The pairs that reach the threshold on their full shingle sets."""
-    make, ddl = _set_rows(width)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = cut(rows.join(ids, "doc_id", "left_semi").mapInArrow(make, ddl))
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    union = F.size("x") + F.size("y") - F.col("common")
-    return cut(both.filter(F.col("common") * den >= union * num).select("a", "b").distinct())
+    first = (keyed.groupBy("band").agg(F.min("doc_id").alias("grp"), F.count(F.lit(1)).alias("c"))
+             .filter("c > 1").drop("c"))
+    groups = (keyed.join(first, "band").select("grp", "doc_id").distinct()
+              .join(reps.select("doc_id", "n", *bits), "doc_id").select("grp", "doc_id", "n", *bits))
+
+    def may_link(block, split: int) -> np.ndarray:
+        n = block.column(5).to_numpy()
+        packed = np.stack([block.column(6 + k).to_numpy() for k in range(len(bits))], 1).view(np.uint64)
+        a, b = n[:split, None], n[None, split:]
+        return (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (
+            estimates(packed[:split], packed[split:]) >= estimate)
+
+    candidate = components(met_in_blocks(cut(groups), BIT_BLOCK, ["n", *bits], may_link), [])
+
+    def sets(batches):
+        for block in blocks(batches, "text"):
+            values, offs = shingles(block, width)
+            own = [np.unique(values[a:b]).tobytes() for a, b in zip(offs[:-1], offs[1:])]
+            yield pa.RecordBatch.from_arrays([block.rows.column(0), block.rows.column(1), pa.array(own, pa.binary())],
+                                             names=["grp", "doc_id", "shingles"])
+
+    def link(block, split: int) -> np.ndarray:
+        own = [np.frombuffer(x, np.uint64) for x in block.column(5).to_pylist()]
+        n = np.array([len(x) for x in own])
+        common = common_counts(own, split)
+        return common * den >= (n[:split, None] + n[None, split:] - common) * num
+
+    # Merge join at every size: the texts are shuffled once, whether few or many are wanted.
+    texts = rows.join(candidate.select(F.col("id").alias("doc_id"), F.col("root").alias("grp")).hint("merge"), "doc_id")
+    members = cut(texts.select("grp", "doc_id", "text").mapInArrow(sets, "grp long, doc_id long, shingles binary"))
+    return cut(met_in_blocks(members, SET_BLOCK, ["shingles"], link))
