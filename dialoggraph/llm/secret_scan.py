@@ -125,7 +125,12 @@ def tested(tokens: Column) -> Column:
         mean = F.aggregate(t["values"], F.lit(0.0), lambda s, x: s + x) / t["n"]
         return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["encoding"].alias("encoding"),
                         t["n"].alias("n"), t["squares"].alias("squares"), changes.alias("changes"),
-                        F.transform(t["values"], lambda v: v - mean).alias("off"))
+                        t["values"].alias("values"), mean.alias("mean"))
+
+    def centred(t: Column) -> Column:
+        # The mean is a field by now; as an expression it would be formed anew for every value.
+        return F.struct(*[t[c].alias(c) for c in ("start", "end", "encoding", "n", "squares", "changes")],
+                        F.transform(t["values"], lambda v: v - t["mean"]).alias("off"))
 
     def judged(t: Column) -> Column:
         n, m = t["n"], F.size(t["off"]) - 1
@@ -147,7 +152,7 @@ def tested(tokens: Column) -> Column:
         return F.struct(t["start"].alias("start"), t["end"].alias("end"),
                         (t["encoding"] * (len(LENGTHS) + 1) + band).alias("stratum"), level.cast("int").alias("level"))
 
-    return F.transform(F.transform(F.transform(F.transform(tokens, encoded), measured), summed), judged)
+    return reduce(F.transform, (encoded, measured, summed, centred, judged), tokens)
 
 
 def limits(docs: DataFrame, rate: float, text: Column) -> dict[int, int]:
