@@ -108,6 +108,11 @@ def extracted(responses: DataFrame) -> DataFrame:
             .drop("c"))
 
 
+def whole_number(t: Column) -> Column:
+    """A turn number as written: digits with an optional sign; "1.5" and "1e3" are none."""
+    return F.when(t.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(t).try_cast("bigint"))
+
+
 def _session_items(responses: DataFrame, turns: DataFrame, schema: str) -> DataFrame:
     """Items of whole-session passes with one row per valid evidence turn.
 
@@ -116,8 +121,7 @@ def _session_items(responses: DataFrame, turns: DataFrame, schema: str) -> DataF
     items = responses.select("prompt_id", "session_id", "target", F.posexplode(
         R.object_array(F.col("raw"), schema)).alias("item", "c"))
     rows = items.select("prompt_id", "session_id", "target", "item", "c",
-                        F.explode(F.transform("c.evidence_turns", lambda t: t.try_cast("double")
-                                              .try_cast("bigint"))).alias("turn_index"))
+                        F.explode(F.transform("c.evidence_turns", whole_number)).alias("turn_index"))
     valid = turns.select("session_id", F.col("turn_index").cast("bigint").alias("turn_index")).distinct()
     return (rows.filter(F.col("turn_index").isNotNull()).dropDuplicates(
         ["session_id", "prompt_id", "item", "turn_index"])
@@ -161,6 +165,18 @@ def drop_repeats(cands: DataFrame, keys: Sequence[str], order: str) -> DataFrame
 
 # ── splitting, rewriting, judging ─────────────────────────────────────────
 
+def last_answers(answers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key: the answer with the largest ``answer_no``, where answers are numbered.
+
+    Equal numbers, and answers without numbers, are settled by the largest values, so a
+    repeated answer never doubles a candidate and never depends on the order of rows.
+    """
+    rest = [c for c in answers.columns if c not in (*keys, "answer_no")]
+    number = F.col("answer_no") if "answer_no" in answers.columns else F.lit(0)
+    return (answers.groupBy(*keys).agg(F.max(F.struct(number.alias("_no"), *rest)).alias("_last"))
+            .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest]))
+
+
 def atomise(cands: DataFrame, responses: DataFrame) -> DataFrame:
     """Apply split responses (cand_id, raw) to thoughts and beliefs.
 
@@ -168,8 +184,8 @@ def atomise(cands: DataFrame, responses: DataFrame) -> DataFrame:
     become children with fresh ids (``part`` > 0, ``cand_id`` NULL until allocated).
     ``sourceText`` records the original wording where it changed or was kept unread.
     """
-    parts = responses.select("session_id", "cand_id",
-                             F.slice(R.string_array(F.col("raw")), 1, MAX_SPLITS).alias("_parts"))
+    parts = last_answers(responses, ["session_id", "cand_id"]).select(
+        "session_id", "cand_id", F.slice(R.string_array(F.col("raw")), 1, MAX_SPLITS).alias("_parts"))
     j = cands.join(parts, ["session_id", "cand_id"], "left")
     splittable = F.col("label").isin(*O.ATOMISE_CLASSES)
     n = F.when(splittable, F.coalesce(F.size("_parts"), F.lit(0))).otherwise(-1)
@@ -197,12 +213,13 @@ def normalise(cands: DataFrame, responses: DataFrame) -> DataFrame:
 
     ``cands`` carries batch and item; only changed texts get a ``sourceText``.
     """
-    items = responses.select("session_id", "label", "batch", F.explode(
-        R.object_array(F.col("raw"), "item int, description string")).alias("c"))
-    new = (items.select("session_id", "label", "batch", F.col("c.item").alias("item"),
+    items = last_answers(responses, ["session_id", "label", "batch"]).select(
+        "session_id", "label", "batch",
+        F.posexplode(R.object_array(F.col("raw"), "item int, description string")).alias("_pos", "c"))
+    new = (items.select("session_id", "label", "batch", "_pos", F.col("c.item").alias("item"),
                         strip(F.col("c.description")).alias("_new"))
            .filter(F.coalesce("_new", F.lit("")) != "")
-           .groupBy("session_id", "label", "batch", "item").agg(F.last("_new").alias("_new")))
+           .groupBy("session_id", "label", "batch", "item").agg(F.max_by("_new", "_pos").alias("_new")))
     j = cands.join(new, ["session_id", "label", "batch", "item"], "left")
     changed = (F.col("label").isin(*O.NORMALISE_CLASSES) & F.col("_new").isNotNull()
                & (F.col("_new") != F.col("text")))
@@ -216,9 +233,9 @@ def judge(cands: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Anything that is not a clear drop or a valid move keeps the candidate as it is.
     """
-    v = verdicts.select("session_id", "cand_id",
-                        F.lower(strip(F.col("verdict"))).alias("_verdict"),
-                        strip(F.col("new_label")).alias("_to"), strip(F.col("reason")).alias("_why"))
+    v = last_answers(verdicts, ["session_id", "cand_id"]).select(
+        "session_id", "cand_id", F.lower(strip(F.col("verdict"))).alias("_verdict"),
+        strip(F.col("new_label")).alias("_to"), strip(F.col("reason")).alias("_why"))
     j = cands.join(v, ["session_id", "cand_id"], "left")
     drop = F.coalesce(F.col("_verdict") == "drop", F.lit(False))
     move = F.coalesce((F.col("_verdict") == "reclassify") & F.col("_to").isin(*O.RECLASSIFY_TARGETS)
@@ -247,7 +264,8 @@ def assign_discriminator(cands: DataFrame, answers: DataFrame, enums: dict | Non
     class has that value.
     """
     enums = enums or O.ENUMS
-    a = answers.select("session_id", "cand_id", strip(F.col("subclass")).alias("_sub"))
+    a = last_answers(answers, ["session_id", "cand_id"]).select(
+        "session_id", "cand_id", strip(F.col("subclass")).alias("_sub"))
     j = cands.join(a, ["session_id", "cand_id"], "left")
     label = F.col("label")
     valid = F.when(enum_member(label, F.col("_sub"), O.DISCRIMINATOR, enums), F.col("_sub"))
@@ -267,8 +285,9 @@ def classify(cands: DataFrame, answers: DataFrame) -> DataFrame:
     about the self; ``techniqueLabel`` only with technique ``other``; ``isOptional`` must
     be a boolean and defaults to false.
     """
-    a = (answers.select("session_id", "cand_id", "prop", strip(F.col("value")).alias("value"),
-                        strip(F.col("technique_label")).alias("technique_label"))
+    a = (last_answers(answers, ["session_id", "cand_id", "prop"])
+         .select("session_id", "cand_id", "prop", strip(F.col("value")).alias("value"),
+                 strip(F.col("technique_label")).alias("technique_label"))
          .groupBy("session_id", "cand_id").agg(F.map_from_entries(F.collect_set(
              F.struct("prop", "value"))).alias("_a"),
              F.max("technique_label").alias("_tl")))

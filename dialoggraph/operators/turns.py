@@ -79,11 +79,19 @@ def render_windows(window: DataFrame, owners: DataFrame, max_turns: int = WINDOW
 
 
 def exchanges(turns: DataFrame) -> DataFrame:
-    """One row per client turn with the therapist's reply ('' when there is none)."""
+    """One row per client turn with the therapist's last reply ('' when there is none).
+
+    Several texts of a turn are told apart by ``pos`` where turns have it.
+    """
+    order = F.struct("pos", "text") if "pos" in turns.columns else F.struct("text")
+
+    def last_of(speaker: str) -> Column:
+        mine = (F.col("speaker") == speaker) & F.col("text").isNotNull()
+        return F.max_by(F.when(mine, F.col("text")), F.when(mine, order))
+
     return turns.groupBy("session_id", "turn_index").agg(
-        F.max(F.when(F.col("speaker") == "client", F.col("text"))).alias("client_text"),
-        F.coalesce(F.max(F.when(F.col("speaker") == "therapist", F.col("text"))), F.lit(""))
-        .alias("reply")).filter(F.col("client_text").isNotNull())
+        last_of("client").alias("client_text"), F.coalesce(last_of("therapist"), F.lit("")).alias("reply")
+    ).filter(F.col("client_text").isNotNull())
 
 
 def recent_exchanges(pairs: DataFrame, n: int = 2) -> DataFrame:

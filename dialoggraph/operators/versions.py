@@ -5,6 +5,7 @@ Nothing is updated in place: edits are rows, and a state is a query over them.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,13 +67,22 @@ def replace_graph(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def write_replacing(df: DataFrame, path: str) -> None:
-    """Store a table by session, overwriting only the sessions that are written.
+    """Store a table by session; sessions of ``df`` are replaced, all others stay.
 
-    Sessions are grouped into a fixed number of folders; a folder per session would not
-    scale, so callers pass whole folders (see ``session_bucket``).
+    Sessions are grouped into a fixed number of folders, as a folder per session would not
+    scale.  The folders that ``df`` touches are read, merged, written aside, and then put
+    in place of the old ones.
     """
-    (df.withColumn("bucket", session_bucket()).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    spark = df.sparkSession
+    new = df.withColumn("bucket", session_bucket())
+    try:
+        stored = spark.read.parquet(path).select(*new.columns)
+    except AnalysisException:  # nothing is stored yet
+        stored = None
+    if stored is not None:
+        touched = stored.join(new.select("bucket").distinct(), "bucket", "left_semi").select(*new.columns)
+        new = cut(replace_graph(touched, new))
+    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
 
 
 def session_bucket(n: int = 256) -> Column:
@@ -217,12 +227,13 @@ def rewrite_turns(turns: DataFrame, edits: DataFrame, keep: int = MAX_CHECKPOINT
     return branches, own, rejected
 
 
-def lineage(branches: DataFrame, max_depth: int = 64) -> DataFrame:
+def lineage(branches: DataFrame) -> DataFrame:
     """Which rows a branch sees of itself and its ancestors.
 
     Out: session_id, branch_id, from_branch, before_turn (NULL = no limit).  Branch depth
     is the number of rewrites of rewrites, so the loop is short; each step joins the
-    written frontier with the branch table.
+    written frontier with the branch table, until no branch has a further ancestor.  A
+    branch that is its own ancestor is an error.
     """
     forks = branches.filter("parent_branch_id is not null").select(
         "session_id", F.col("branch_id").alias("from_branch"),
@@ -230,19 +241,27 @@ def lineage(branches: DataFrame, max_depth: int = 64) -> DataFrame:
     level = cut(branches.select("session_id", "branch_id", F.col("branch_id").alias("from_branch"),
                                 F.lit(None).cast("bigint").alias("before_turn")).distinct())
     out = level
-    for _ in range(max_depth):
+    while True:
         level = cut(level.join(forks, ["session_id", "from_branch"]).select(
             "session_id", "branch_id", F.col("_parent").alias("from_branch"),
             F.least("before_turn", "_fork").alias("before_turn")))
         if level.isEmpty():
             return out
+        if not level.filter("from_branch = branch_id").isEmpty():
+            raise ValueError("a branch is its own ancestor")
         out = out.unionByName(level)
-    raise RuntimeError("branches nest deeper than expected")
 
 
 def branch_timeline(turns: DataFrame, branches: DataFrame) -> DataFrame:
-    """Turns of every branch: own rows and the visible prefix of each ancestor."""
-    seen = lineage(branches)
+    """Turns of every branch: own rows and the visible prefix of each ancestor.
+
+    Branches of turns that the branch table does not name see their own rows.
+    """
+    unnamed = turns.select("session_id", "branch_id").distinct().join(
+        branches.select("session_id", "branch_id"), ["session_id", "branch_id"], "left_anti")
+    seen = lineage(branches).unionByName(unnamed.select(
+        "session_id", "branch_id", F.col("branch_id").alias("from_branch"),
+        F.lit(None).cast("bigint").alias("before_turn")))
     rows = turns.withColumnRenamed("branch_id", "from_branch")
     return (rows.join(seen, ["session_id", "from_branch"])
             .filter(F.col("before_turn").isNull() | (F.col("turn_index") < F.col("before_turn")))

@@ -14,7 +14,9 @@ from . import adapters as A
 from . import graphs as G
 from .registry import query
 
-CFG = X.GuardConfig()
+CFG = X.GuardConfig(
+    header="Help is near:", generic="Someone you trust, or the people who handle urgent calls where you live, can be with you.",
+    upstream=["You matter, so please talk to the people who handle urgent calls where you live before you do anything else."])
 
 
 def _sql(s: str) -> str:
@@ -72,12 +74,12 @@ def guard_entities(spark, d):
 
 
 @query("X7", f"""
-WITH replies AS (SELECT page_id AS reply_id, CASE page_id % 3 WHEN 0 THEN 'I hear you. {_sql(CFG.upstream[0])}' WHEN 1 THEN 'please contact YOUR local   emergency services or a crisis helpline' ELSE 'I hear you.' END AS text FROM pages), {_FOUND_SQL}
+WITH replies AS (SELECT page_id AS reply_id, CASE page_id % 3 WHEN 0 THEN 'I hear you. {_sql(CFG.upstream[0])}' WHEN 1 THEN 'talk to the people who handle URGENT   calls where you live before' ELSE 'I hear you.' END AS text FROM pages), {_FOUND_SQL}
 SELECT reply_id, sent_no, kind, value, known FROM ents""")
 def upstream_lines(spark, d):
     k = F.col("page_id") % 3
     r = A.table(spark, d, "pages").select(F.col("page_id").alias("reply_id"), F.when(k == 0, F.lit("I hear you. " + CFG.upstream[0])).when(
-        k == 1, F.lit("please contact YOUR local   emergency services or a crisis helpline")).otherwise(F.lit("I hear you.")).alias("text"))
+        k == 1, F.lit("talk to the people who handle URGENT   calls where you live before")).otherwise(F.lit("I hear you.")).alias("text"))
     return X.sentence_entities(r, CFG, ["reply_id"]).select("reply_id", "sent_no", "kind", "value", "known")
 
 
@@ -178,7 +180,8 @@ def _folder(spark, name: str) -> str:
 def guard_stream(spark, d):
     """The guard as a stream over the documents file; equal to the batch form."""
     schema = A.documents(spark, d).schema
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    # A pattern, since a stream takes one file only by a pattern; the table may also be a folder.
+    src = spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]")
     replies = src.select(F.col("doc_id").alias("reply_id"), "text",
                          F.when(F.col("doc_id") % 7 == 0, "I want to die").otherwise("fine").alias("user_message"))
     out, log, ck = (_folder(spark, n) for n in ("guarded", "guard-log", "guard-offsets"))

@@ -334,7 +334,7 @@ m AS (SELECT session_id, turn_index, speaker, text FROM utts),
 b1 AS (SELECT m.* FROM m JOIN c2 USING (session_id) WHERE m.turn_index < 2 UNION ALL SELECT session_id, 2, 'client', '  Actually   that went well.  ' FROM c2),
 b2 AS (SELECT * FROM b1 WHERE turn_index < 2 UNION ALL SELECT session_id, 2, 'client', 'Or not.' FROM c2),
 b3 AS (SELECT m.* FROM m JOIN c3 USING (session_id) WHERE m.turn_index < 3 UNION ALL SELECT session_id, 3, 'client', '' FROM c3)
-SELECT session_id, 'main' AS branch_id, turn_index, speaker, md5(text) AS text_md5 FROM m WHERE session_id IN (SELECT session_id FROM c2)
+SELECT session_id, 'main' AS branch_id, turn_index, speaker, md5(text) AS text_md5 FROM m
 UNION ALL SELECT session_id, 'b1', turn_index, speaker, md5(text) FROM b1 UNION ALL SELECT session_id, 'b2', turn_index, speaker, md5(text) FROM b2
 UNION ALL SELECT session_id, 'b3', turn_index, speaker, md5(text) FROM b3""")
 def branch_timeline(spark, d):
