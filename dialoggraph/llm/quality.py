@@ -10,7 +10,7 @@ pass over whole texts without a shuffle.
 
 Defined results: null and empty texts have no n-grams and score what margin 0 maps to; null ids
 stay null and are never learned from; labels other than 0 and 1 are ignored; repeated rows
-score alike; extra columns are ignored; without labels of both classes every score is the share
+score alike; extra columns are ignored; without labelled texts of both classes every score is the share
 of label 1 (0.0 if there is no label).
 """
 
@@ -100,7 +100,7 @@ def calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
 def fit(y: np.ndarray, x: Sparse, totals: np.ndarray, least: int, cost: float,
         epochs: int) -> tuple[np.ndarray, float, float, float]:
     """Weights (ratios included), intercept, slope and shift of the logistic map."""
-    if not len(y) or not (totals > 0).all():
+    if np.bincount(y, minlength=2).min() == 0 or not (totals > 0).all():
         p = totals[1] / totals.sum() if totals.sum() else 0.0
         return np.zeros(DIM), 0.0, 1.0, float(np.log(max(p, 1e-12) / max(1 - p, 1e-12)))
     kept_back = np.arange(len(y)) % 5 == 0

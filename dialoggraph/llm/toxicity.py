@@ -11,7 +11,7 @@ texts without a shuffle.
 
 Defined results: null and empty texts score what the intercept gives; null ids stay null and
 are never learned from; labels other than 0 and 1 are ignored; repeated rows score alike; extra
-columns are kept, but for those named like an output; without labels of both classes every score is the share of label 1 (0.0
+columns are kept, but for those named like an output; without labelled texts of both classes every score is the share of label 1 (0.0
 if there is no label).
 """
 
@@ -93,7 +93,7 @@ def fit(y: np.ndarray, x: Sparse, delta: list[Sparse], totals: np.ndarray, penal
         selected: int, rounds: int) -> tuple[np.ndarray, float]:
     """Weights and intercept; delta: features only of the texts, and only of their twins."""
     share = totals / max(totals.sum(), 1)
-    if not len(y) or not (totals > 0).all():
+    if np.bincount(y, minlength=2).min() == 0 or not (totals > 0).all():
         p = share[1] if totals.sum() else 0.0
         return np.zeros(DIM), float(np.log(max(p, 1e-12) / max(1 - p, 1e-12)))
     each = np.bincount(y, minlength=2)
