@@ -104,7 +104,7 @@ def latent_space(benchmark: DataFrame, low: int, high: int, vocabulary: Lookup,
     """Right singular vectors (words x rank) of the TF-IDF passages of items low to high."""
     terms = len(vocabulary)
     items = (benchmark.filter(F.col("item_id").between(low, high) & F.col("text").isNotNull())
-             .select("item_id", "text").distinct().repartition(8, "item_id"))
+             .select("item_id", "text").distinct().repartition(4, "item_id"))
 
     def matrices(batches):
         for block in lowered_blocks(batches):
@@ -127,8 +127,10 @@ def latent_space(benchmark: DataFrame, low: int, high: int, vocabulary: Lookup,
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sum"])
 
-        parts = [np.frombuffer(r["sum"]) for r in items.mapInArrow(partial, "sum binary").toLocalIterator()]
-        return np.sum(parts, axis=0)
+        total = 0.0
+        for r in items.mapInArrow(partial, "sum binary").toLocalIterator():
+            total = total + np.frombuffer(r["sum"])
+        return total
 
     r = min(rank + OVERSAMPLING, terms)
     draw = lambda: np.random.default_rng(SEED).standard_normal((terms, r))
@@ -269,7 +271,9 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 512, per_round
         vocabulary = Lookup(np.unique(np.concatenate([h for _, h in items])))
         seen, total = document_counts(docs, vocabulary)
         idf = np.log((total + 1) / (seen + 1)) + 1e-3
-        space = latent_space(benchmark, items[0][0], items[-1][0], vocabulary, idf, rank)
+        # No more directions than passages: the range finder has nothing to find beyond them.
+        most = min(rank, sum(len(item_passages(h)) for _, h in items))
+        space = latent_space(benchmark, items[0][0], items[-1][0], vocabulary, idf, most)
         index = spark.sparkContext.broadcast(
             Index(items, vocabulary, np.r_[idf, 0.0], 0.6 * float(np.log(total + 1)), space))
 
