@@ -10,24 +10,35 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
 
+from .words import mix
 
-def pack(arrays: Sequence[np.ndarray]) -> bytes:
-    """Arrays of one length, behind that length."""
-    return np.int64(len(arrays[0])).tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+
+def pack(arrays: Sequence[np.ndarray], tail: bytes = b"") -> bytes:
+    """Arrays of one length, behind that length, compressed; 32-bit integers as differences."""
+    parts = [np.int64(len(arrays[0])).tobytes()]
+    for a in arrays:
+        parts.append(np.ascontiguousarray(np.diff(a, prepend=a.dtype.type(0)) if a.dtype == np.int32 else a).tobytes())
+    return zstandard.compress(b"".join(parts) + tail, 1)
 
 
 def unpack(blob: bytes, dtypes: Sequence) -> list[np.ndarray]:
-    n, at, out = int(np.frombuffer(blob, np.int64, 1)[0]), 8, []
+    """The arrays, and what stands behind them as bytes."""
+    raw = zstandard.decompress(blob)
+    n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
     for d in map(np.dtype, dtypes):
-        out.append(np.frombuffer(blob, d, n, at))
+        a = np.frombuffer(raw, d, n, at)
+        out.append(np.cumsum(a, dtype=np.int32) if d == np.int32 else a)
         at += n * d.itemsize
-    return out
+    return [*out, np.frombuffer(raw, np.uint8, offset=at)]
 
 
 def unpack_all(blobs: Sequence[bytes], dtypes: Sequence) -> list[np.ndarray]:
     parts = [unpack(b, dtypes) for b in blobs]
-    return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, d) for k, d in enumerate(dtypes)]
+    return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, d)
+            for k, d in enumerate([*dtypes, np.uint8])]
 
 
 def by_key(key: np.ndarray, arrays: Sequence[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -59,3 +70,49 @@ def repeated(keys: Sequence[np.ndarray], doc: np.ndarray) -> np.ndarray:
 def batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def by_document(doc: np.ndarray, rid: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(doc, rid, its sorted positions) for every document that occurs."""
+    order = np.lexsort((pos, rid, doc))
+    doc, rid, pos = doc[order], rid[order], pos[order]
+    cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])]) if len(doc) else []
+    for lo, hi in zip(cuts, np.r_[cuts[1:], len(doc)] if len(cuts) else []):
+        yield int(doc[lo]), int(rid[lo]), pos[lo:hi]
+
+
+def settled(doc: np.ndarray, rid: np.ndarray, pos: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """Positions on their way back to their documents: rows (-1 - bucket of documents, arrays)."""
+    home = (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    return [(-1 - int(k), pack(arrays)) for k, arrays in by_key(home, [doc, rid, pos])]
+
+
+def as_runs(pos: np.ndarray) -> np.ndarray:
+    """Sorted positions, which may repeat, as (first, how many) of each run."""
+    first = np.flatnonzero(np.r_[True, np.diff(pos) > 1])
+    last = np.r_[first[1:], len(pos)] - 1
+    return np.stack([pos[first], pos[last] - pos[first] + 1], 1).astype(np.int32)
+
+
+def read_runs(starts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    first, many = np.frombuffer(starts, np.int32).reshape(-1, 2).T
+    return first.astype(np.int64), many.astype(np.int64)
+
+
+POSITIONS = (np.int64, np.int64, np.int32)
+
+
+def sent_home(found: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, rid, starts) of rows as ``settled`` makes them: one row for each document.
+
+    starts: runs of neighbouring positions as pairs (first, how many) of 32 bits.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("starts", pa.binary())])
+
+    def gather(batches):
+        doc, rid, pos, _ = unpack_all([x for b in batches for x in b.column(1).to_pylist()], POSITIONS)
+        rows = [(d, r, as_runs(p).tobytes()) for d, r, p in by_document(doc, rid, pos)]
+        if rows:
+            yield batch(schema, rows)
+
+    return found.repartition(parts, "bucket").mapInArrow(gather, "doc_id long, rid long, starts binary")

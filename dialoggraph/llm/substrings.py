@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import batch, by_key, pack, repeated, sent_home, settled, unpack_all
+from .blobs import batch, by_key, pack, read_runs, repeated, sent_home, settled, unpack, unpack_all
 from .encode import ragged
 from .tables import cut, shuffle_partitions, text_bytes
 from .words import Block, blocks, byte_prefix, powers
 
-SEED = 12
+SEED = 20
 # One value above all bytes: a column that a piece does not have.
 NOTHING = 256
 
@@ -85,12 +85,13 @@ def anchors(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return h[at], row[new], at, start[new], start[last]
 
 
-ANCHOR = (np.uint64, np.int64, np.int64, np.int32)
+# Of an anchor: 32 bits of its hash (the bucket has the others; a chance match costs a piece, no more).
+ANCHOR = (np.uint32, np.int64, np.int64, np.int32)
 
 
 def shared_anchors(source: DataFrame, length: int, parts: int) -> DataFrame:
     """(doc_id, rid, starts): places of anchors whose seed stands in two documents."""
-    buckets = 16 * parts
+    buckets = 4 * parts
     schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
     ddl = "bucket long, blob binary"
 
@@ -115,21 +116,26 @@ def shared_anchors(source: DataFrame, length: int, parts: int) -> DataFrame:
             # Others still have to learn of a seed that is known here: it is asked for once.
             _, first = np.unique(h[known], return_index=True)
             ask[np.flatnonzero(known)[first]] = True
-            rows = settled(doc[known], rid[known], pos[known], buckets)
-            open_ = by_key((h[ask] % np.uint64(buckets)).astype(np.int64), [h[ask], doc[ask], rid[ask], pos[ask]])
+            rows = settled(doc[known], rid[known], pos[known], parts)
+            open_ = by_key((h[ask] % np.uint64(buckets)).astype(np.int64),
+                           [(h[ask] >> np.uint64(32)).astype(np.uint32), doc[ask], rid[ask], pos[ask]])
             yield batch(schema, rows + [(int(k), pack(a)) for k, a in open_])
 
     def answer(batches):
-        blobs = []
+        blobs, bucket = [], []
         for b in batches:
             done = b.filter(pa.compute.less(b.column(0), 0))
             if done.num_rows:
                 yield done
-            blobs += b.filter(pa.compute.greater_equal(b.column(0), 0)).column(1).to_pylist()
+            asked = b.filter(pa.compute.greater_equal(b.column(0), 0))
+            blobs += asked.column(1).to_pylist()
+            bucket += asked.column(0).to_pylist()
         if blobs:
-            h, doc, rid, pos = unpack_all(blobs, ANCHOR)
+            parts_ = [unpack(x, ANCHOR) for x in blobs]
+            h, doc, rid, pos = (np.concatenate([p[k] for p in parts_]) for k in range(4))
+            h = h.astype(np.uint64) | np.repeat(np.array(bucket, np.uint64), [len(p[0]) for p in parts_]) << np.uint64(32)
             yes = several(h, doc)
-            rows = settled(doc[yes], rid[yes], pos[yes], buckets)
+            rows = settled(doc[yes], rid[yes], pos[yes], parts)
             if rows:
                 yield batch(schema, rows)
 
@@ -141,14 +147,19 @@ def shared_anchors(source: DataFrame, length: int, parts: int) -> DataFrame:
 PIECE = (np.uint64, np.int64, np.int64, np.int32, np.uint8, np.uint8)
 
 
+def text_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("rid"),
+                       F.col(text).alias("text"))
+
+
 def repeated_strings(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, rid, starts): byte positions at which a string of ``length`` bytes starts that
     also starts in a document with a smaller id."""
     spark = docs.sparkSession
-    source = docs.filter(F.col(doc_id).isNotNull()).select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("rid"), F.col(text).alias("text"))
+    rows = text_rows(docs, doc_id, text)
+    source = rows.filter("doc_id is not null")
     parts = max(shuffle_partitions(spark), text_bytes(source) >> 24)
-    buckets = 16 * parts
+    buckets = 4 * parts
     schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
     ddl = "bucket long, blob binary"
     anchored = cut(shared_anchors(source, length, parts))
@@ -160,7 +171,7 @@ def repeated_strings(docs: DataFrame, length: int = 50, doc_id: str = "doc_id",
             wanted = np.zeros(len(block.data) + 1, bool)
             for i, places in enumerate(given):
                 if places:
-                    wanted[block.offs[i] + np.frombuffer(places, np.int32)] = True
+                    wanted[block.offs[i] + ragged(*read_runs(places))] = True
             use = np.flatnonzero(wanted[at])
             if not len(use):
                 continue
@@ -173,14 +184,14 @@ def repeated_strings(docs: DataFrame, length: int = 50, doc_id: str = "doc_id",
             later = repeated((h, whole, before * 256 + behind), doc)
             starts = ragged(first[later], (last - first + 1)[later])
             owner = np.repeat(np.flatnonzero(later), (last - first + 1)[later])
-            rows = settled(doc[owner], rid[owner], (starts - block.offs[row[owner]]).astype(np.int32), buckets)
+            rows = settled(doc[owner], rid[owner], (starts - block.offs[row[owner]]).astype(np.int32), parts)
             rest = np.flatnonzero(~later)
             for k, (h_, doc_, rid_, at_, row_, before_, behind_) in by_key(
                     (h[rest] % np.uint64(buckets)).astype(np.int64),
                     [x[rest] for x in (h, doc, rid, at, row, before, behind)]):
                 body = block.data[ragged(at_ - before_, before_ + behind_)]
                 rows.append((int(k), pack([h_, doc_, rid_, (at_ - block.offs[row_]).astype(np.int32),
-                                           before_.astype(np.uint8), behind_.astype(np.uint8)]) + body.tobytes()))
+                                           before_.astype(np.uint8), behind_.astype(np.uint8)], body.tobytes())))
             yield batch(schema, rows)
 
     def construct(batches):
@@ -191,18 +202,16 @@ def repeated_strings(docs: DataFrame, length: int = 50, doc_id: str = "doc_id",
                 yield done
             blobs += b.filter(pa.compute.greater_equal(b.column(0), 0)).column(1).to_pylist()
         if blobs:
-            h, doc, rid, at, before, behind = unpack_all(blobs, PIECE)
-            size = sum(np.dtype(d).itemsize for d in PIECE)
-            body = np.concatenate([np.frombuffer(b, np.uint8, offset=8 + size * int.from_bytes(b[:8], "little"))
-                                   for b in blobs])
+            h, doc, rid, at, before, behind, body = unpack_all(blobs, PIECE)
             del blobs
             late = list(later_strings(h, doc, before.astype(np.int64), behind.astype(np.int64), body, length))
             if late:
                 piece = np.concatenate([p for p, _ in late])
                 start = np.repeat([c for _, c in late], [len(p) for p, _ in late])
-                yield batch(schema, settled(doc[piece], rid[piece], (at[piece] + start).astype(np.int32), buckets))
+                yield batch(schema, settled(doc[piece], rid[piece], (at[piece] + start).astype(np.int32), parts))
 
-    texts = source.join(anchored, ["doc_id", "rid"])
+    # Left joins on one layout of the texts, here and for the cutting: they are shuffled once.
+    texts = rows.join(anchored, ["doc_id", "rid"], "left")
     found = texts.mapInArrow(send, ddl).repartition(parts, "bucket").mapInArrow(construct, ddl)
     return sent_home(found, parts)
 
@@ -270,8 +279,7 @@ def without_repeated_strings(docs: DataFrame, length: int = 50, doc_id: str = "d
     from .windows import covered
 
     marks = repeated_strings(docs, length, doc_id, text)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("rid"),
-                       F.col(text).alias("text"))
+    rows = text_rows(docs, doc_id, text)
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cutting(batches):
