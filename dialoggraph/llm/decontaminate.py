@@ -99,6 +99,19 @@ def document_counts(docs: DataFrame, vocabulary: Lookup) -> tuple[np.ndarray, in
     return total[:-1], int(total[-1])
 
 
+def weights(items, vocabulary: Lookup, seen: np.ndarray, total: int, common: float, kept: int) -> np.ndarray:
+    """Inverse document frequencies; words in more than the share ``common`` of all documents
+    weigh nothing, unless they are among the ``kept`` rarest words of a passage."""
+    idf = np.log((total + 1) / (seen + 1)) + 1e-3
+    needed = np.zeros(len(idf), bool)
+    for _, h in items:
+        for p in item_passages(h):
+            place = np.unique(vocabulary(p))
+            place = place[place >= 0]
+            needed[place[np.argsort(-idf[place], kind="stable")[:kept]]] = True
+    return np.where(needed | (seen <= common * total), idf, 0.0)
+
+
 def latent_space(benchmark: DataFrame, low: int, high: int, vocabulary: Lookup, idf: np.ndarray,
                  rank: int) -> np.ndarray:
     """Right singular vectors (words x rank) of the TF-IDF passages of items low to high."""
@@ -113,8 +126,8 @@ def latent_space(benchmark: DataFrame, low: int, high: int, vocabulary: Lookup,
             for k in range(0, len(own), 256):
                 a = np.zeros((len(own[k:k + 256]), terms))
                 for i, p in enumerate(own[k:k + 256]):
-                    place = vocabulary(p)
-                    np.add.at(a[i], place[place >= 0], idf[place[place >= 0]])
+                    place, tf = np.unique(vocabulary(p), return_counts=True)
+                    a[i, place[place >= 0]] = np.log2(1 + tf[place >= 0]) * idf[place[place >= 0]]
                 yield a
 
     def summed(step):
@@ -155,12 +168,14 @@ class Index:
         owner, latent = [], []
         for k, (_, h) in enumerate(items):
             for p in item_passages(h):
-                place = vocabulary(p)
-                place = place[place >= 0]
-                v = (self.space[place] * idf[place, None]).sum(0)
+                place, tf = np.unique(vocabulary(p), return_counts=True)
+                place, tf = place[place >= 0], tf[place >= 0]
+                v = (self.space[place] * (np.log2(1 + tf) * idf[place])[:, None]).sum(0)
                 owner.append(k)
                 latent.append(v / max(float(np.linalg.norm(v)), 1e-30))
         self.owner, self.latent = np.array(owner), np.array(latent, np.float32).reshape(len(owner), -1)
+        # The most that a word can add to the cosine with any passage, times the window's length.
+        self.reach = np.r_[(np.abs(self.space @ self.latent.T).max(1, initial=0) * idf[:-1]).astype(np.float64), 0.0]
         self.answers = [self._answer(h) for _, h in items]
 
     def _answer(self, h: np.ndarray) -> np.ndarray:
@@ -181,20 +196,21 @@ class Index:
         end = np.minimum(start + WINDOW, rows[1:][row])
         place = self.vocabulary(w.hash)
         known = np.where(place >= 0, self.idf[place], 0.0)
-        # Upper bound of the cosine from prefix sums of squares.
-        square = np.r_[0, np.cumsum(known ** 2)]
+        # Upper bound of the cosine from prefix sums.  A word that stands f times counts log2(1 + f),
+        # at most f in the product and, squared, at least 0.56 * f (f up to 64) in the length.
+        square, reach = (np.r_[0, np.cumsum(x)] for x in (known ** 2, np.where(place >= 0, self.reach[place], 0.0)))
         unknown = np.r_[0, np.cumsum(place < 0)]
         inside = square[end] - square[start]
         outside = (unknown[end] - unknown[start]) * self.unknown ** 2
-        # A word that stands f times counts log2(1 + f)**2, at most 1.36 * f.
-        maybe = np.flatnonzero(1.36 * inside >= limit ** 2 * (1.36 * inside + outside))
+        product = (reach[end] - reach[start]) * (1 + 1e-5) + 1e-6
+        maybe = np.flatnonzero(product ** 2 >= limit ** 2 * (0.56 * inside + outside))
         maybe = maybe[inside[maybe] > 0]
         out = []
         for lo in range(0, len(maybe), 2048):
             use = maybe[lo:lo + 2048]
             at = ragged(start[use], end[use] - start[use])
             owner = np.repeat(np.arange(len(use)), end[use] - start[use])
-            hit = place[at] >= 0
+            hit = known[at] > 0
             key, tf = np.unique(owner[hit] * len(self.idf) + place[at][hit], return_counts=True)
             owner, term = key // len(self.idf), key % len(self.idf)
             value = np.log2(1 + tf) * self.idf[term]
@@ -259,7 +275,7 @@ LEAKS = "array<struct<item_id:long,cosine:double,lcs:double,answer:double>>"
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 512, per_round: int = 512, cosine: float = 0.15,
-               ordered: float = 0.6, answered: float = 0.5, whole: float = 0.8) -> DataFrame:
+               ordered: float = 0.6, answered: float = 0.5, whole: float = 0.8, common: float = 0.05, kept: int = 8) -> DataFrame:
     """``docs`` with ``leaks``: the benchmark items that each text holds."""
     spark, docs = docs.sparkSession, docs.drop("leaks")
     names = [f.name for f in docs.schema]
@@ -270,7 +286,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 512, per_round
     for items in rounds(benchmark, per_round):
         vocabulary = Lookup(np.unique(np.concatenate([h for _, h in items])))
         seen, total = document_counts(docs, vocabulary)
-        idf = np.log((total + 1) / (seen + 1)) + 1e-3
+        idf = weights(items, vocabulary, seen, total, common, kept)
         # No more directions than passages: the range finder has nothing to find beyond them.
         most = min(rank, sum(len(item_passages(h)) for _, h in items))
         space = latent_space(benchmark, items[0][0], items[-1][0], vocabulary, idf, most)
