@@ -18,7 +18,7 @@ HEADLINE = [
     "merged_nodes", "folded_props", "entity_components", "anchor_lists", "asserted_edges", "orphans", "retry_set",
     "reframe_best", "edge_validation", "class_rollup", "phase_entry_turns", "phase_timeline", "technique_carry",
     "list_quotes", "list_filtered", "describe_first5", "trace_nodes", "summarize_chain", "overlay_nodes", "op_replay",
-    "branch_timeline", "graph_roundtrip", "guard_entities", "guard_clean", "turn_stream",
+    "branch_timeline", "graph_roundtrip", "guard_entities", "guard_clean", "turn_stream", "guard_stream", "built_graph",
 ]
 
 
