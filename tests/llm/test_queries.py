@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as entry
 
 SMALL = "/root/testdata/sf0.001"
-LABELLED = "/root/testdata/sf0.01"
+LABELLED = "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="module")
