@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import batch, by_key, pack, repeated, unpack_all
+from .blobs import batch, by_key, pack, read_runs, repeated, sent_home, settled, unpack_all
 from .tables import shuffle_partitions, text_bytes
 from .words import Block, blocks, window_hash, window_starts, words
 
@@ -50,7 +50,7 @@ class Sketch:
             new = np.r_[True, cell[1:] != cell[:-1]] if len(cell) else np.zeros(0, bool)
             again = np.unique(cell[~new])
             cell = cell[new]
-            seen = (self.once[r][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
+            seen = (self.once[r][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
             _set(self.once[r], cell)
             _set(self.twice[r], again)
             _set(self.twice[r], cell[seen == 1])
@@ -61,19 +61,42 @@ def place(values: np.ndarray, row: int, cells: int) -> np.ndarray:
     return ((values * k) >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64)
 
 
+def squeeze(bits: np.ndarray) -> bytes:
+    """A slice of bits, compressed: the gaps between set bits where that is shorter than the bits.
+
+    A gap is bytes of 255 and a last byte below that, which add up to it.
+    """
+    gap = np.diff(np.flatnonzero(np.unpackbits(bits)), prepend=0)
+    if len(gap) >= len(bits):
+        return b"b" + zstandard.compress(bits.tobytes(), 1)
+    size = gap // 255 + 1
+    out = np.full(int(size.sum()), 255, np.uint8)
+    out[np.cumsum(size) - 1] = gap % 255
+    return b"g" + zstandard.compress(out.tobytes(), 1)
+
+
+def unsqueeze(value: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(value[1:]), np.uint8)
+    if value[:1] == b"b":
+        return raw
+    bits = np.zeros(8 * n, np.uint8)
+    bits[np.cumsum(raw, dtype=np.int64)[raw < 255]] = 1
+    return np.packbits(bits)
+
+
 def _set(bits: np.ndarray, cell: np.ndarray) -> None:
     """Set the bits of sorted, distinct cells."""
     if len(cell):
         at = cell >> 3
         new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        bits[at[new]] |= np.bitwise_or.reduceat(np.left_shift(np.uint8(1), (cell & 7).astype(np.uint8)), new)
+        bits[at[new]] |= np.bitwise_or.reduceat(np.right_shift(np.uint8(128), (cell & 7).astype(np.uint8)), new)
 
 
 def estimated_twice(twice: np.ndarray, values: np.ndarray, cells: int) -> np.ndarray:
     out = np.ones(len(values), bool)
     for r in range(ROWS):
         cell = place(values, r, cells)
-        out &= ((twice[r][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(bool)
+        out &= ((twice[r][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(bool)
     return out
 
 
@@ -88,35 +111,32 @@ def merged_sketch(docs: DataFrame, width: int, cells: int, text: str) -> np.ndar
     step = min(SLICE_CELLS, cells) // 8
 
     def fill(batches: Iterator[pa.RecordBatch]):
-        sketch, squeeze = Sketch(cells), zstandard.ZstdCompressor(1)
+        sketch = Sketch(cells)
         for block in blocks(batches, text):
             w = words(block, lower=False)
             start, _ = window_starts(w.rows, width)
             sketch.add(window_hash(w.hash, width)[start])
         for r in range(ROWS):
             for k in range(0, cells // 8, step):
-                once = sketch.once[r][k:k + step]
-                if once.any():
-                    yield batch(part, [(r, k // step, squeeze.compress(once.tobytes()),
-                                        squeeze.compress(sketch.twice[r][k:k + step].tobytes()))])
+                if sketch.once[r][k:k + step].any():
+                    yield batch(part, [(r, k // step, squeeze(sketch.once[r][k:k + step]),
+                                        squeeze(sketch.twice[r][k:k + step]))])
 
     def merge(batches: Iterator[pa.RecordBatch]):
         whole: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        read = zstandard.ZstdDecompressor()
         for b in batches:
             for r, k, once, twice in zip(*(c.to_pylist() for c in b.columns)):
-                once, twice = (np.frombuffer(read.decompress(x), np.uint8) for x in (once, twice))
+                once, twice = unsqueeze(once, step), unsqueeze(twice, step)
                 o, t = whole.get((r, k), (np.uint8(0), np.uint8(0)))
                 whole[r, k] = (o | once, t | twice | (o & once))
         for (r, k), (_, t) in whole.items():
-            yield batch(part, [(r, k, b"", zstandard.compress(t.tobytes(), 1))])
+            yield batch(part, [(r, k, b"", squeeze(t))])
 
     ddl = "row int, slice int, once binary, twice binary"
     merged = (docs.select(text).mapInArrow(fill, ddl).repartition("row", "slice").mapInArrow(merge, ddl))
     twice = np.zeros((ROWS, cells // 8), np.uint8)
     for x in merged.select("row", "slice", "twice").toLocalIterator():
-        twice[x["row"], x["slice"] * step:(x["slice"] + 1) * step] = np.frombuffer(
-            zstandard.decompress(bytes(x["twice"])), np.uint8)
+        twice[x["row"], x["slice"] * step:(x["slice"] + 1) * step] = unsqueeze(bytes(x["twice"]), step)
     return twice
 
 
@@ -129,11 +149,12 @@ def repeated_windows(docs: DataFrame, width: int = 13, max_cells: int = 1 << 28,
         F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("rid"), F.col(text).alias("text"))
     total = text_bytes(source)
     cells = sketch_cells(total, max_cells)
-    twice = spark.sparkContext.broadcast(merged_sketch(source, width, cells, "text"))
+    # Compressed, as every executor keeps a copy on disk; tasks unpack it.
+    twice = spark.sparkContext.broadcast(zstandard.compress(merged_sketch(source, width, cells, "text").tobytes(), 1))
     parts = max(shuffle_partitions(spark), total >> 24)
-    buckets = 16 * parts
-    out = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("blob", pa.binary())])
-    ddl = "bucket long, doc_id long, rid long, blob binary"
+    buckets = 4 * parts
+    out = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
+    ddl = "bucket long, blob binary"
     kinds = (np.uint64, np.uint32, np.int64, np.int64, np.int32)
 
     def settle(block: Block, w, bits) -> list[tuple]:
@@ -147,15 +168,13 @@ def repeated_windows(docs: DataFrame, width: int = 13, max_cells: int = 1 << 28,
         second = (window_hash(w.hash, width, seed=77)[start] >> np.uint64(32)).astype(np.uint32)
         doc, rid, pos = block.ids()[row], block.column("rid")[row], (start - w.rows[:-1][row]).astype(np.int32)
         later = repeated((h, second), doc)
-        rows = _positions(doc[later], rid[later], pos[later], -1)
         rest = ~later
-        for key, arrays in by_key((h[rest] % np.uint64(buckets)).astype(np.int64),
-                                  [h[rest], second[rest], doc[rest], rid[rest], pos[rest]]):
-            rows.append((int(key), None, None, pack(arrays)))
-        return rows
+        open_ = by_key((h[rest] % np.uint64(buckets)).astype(np.int64),
+                       [h[rest], second[rest], doc[rest], rid[rest], pos[rest]])
+        return settled(doc[later], rid[later], pos[later], parts) + [(int(k), pack(a)) for k, a in open_]
 
     def candidates(batches):
-        bits = twice.value
+        bits = np.frombuffer(zstandard.decompress(twice.value), np.uint8).reshape(ROWS, -1)
         for block in blocks(batches, "text"):
             rows = settle(block, words(block, lower=False), bits)
             if rows:
@@ -164,30 +183,19 @@ def repeated_windows(docs: DataFrame, width: int = 13, max_cells: int = 1 << 28,
     def exact(batches):
         blobs = []
         for b in batches:
-            settled = b.filter(pa.compute.less(b.column(0), 0))
-            if settled.num_rows:
-                yield settled
-            blobs += b.filter(pa.compute.greater_equal(b.column(0), 0)).column(3).to_pylist()
+            done = b.filter(pa.compute.less(b.column(0), 0))
+            if done.num_rows:
+                yield done
+            blobs += b.filter(pa.compute.greater_equal(b.column(0), 0)).column(1).to_pylist()
         if blobs:
-            h, second, doc, rid, pos = unpack_all(blobs, kinds)
+            h, second, doc, rid, pos, _ = unpack_all(blobs, kinds)
             later = repeated((h, second), doc)
-            rows = _positions(doc[later], rid[later], pos[later], -1)
+            rows = settled(doc[later], rid[later], pos[later], parts)
             if rows:
                 yield batch(out, rows)
 
-    found = (source.mapInArrow(candidates, ddl)
-             .repartition(parts, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("doc_id")))
-             .mapInArrow(exact, ddl))
-    return found.groupBy("doc_id", "rid").agg(F.collect_list("blob").alias("starts"))
-
-
-def _positions(doc: np.ndarray, rid: np.ndarray, pos: np.ndarray, bucket: int) -> list[tuple]:
-    """One row for each document, with all its positions."""
-    order = np.lexsort((pos, rid, doc))
-    doc, rid, pos = doc[order], rid[order], pos[order]
-    cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])]) if len(doc) else []
-    return [(bucket, int(doc[lo]), int(rid[lo]), pos[lo:hi].tobytes())
-            for lo, hi in zip(cuts, np.r_[cuts[1:], len(doc)] if len(cuts) else [])]
+    found = source.mapInArrow(candidates, ddl).repartition(parts, "bucket").mapInArrow(exact, ddl)
+    return sent_home(found, parts)
 
 
 def without_repeated_windows(docs: DataFrame, width: int = 13, max_cells: int = 1 << 28,
@@ -224,11 +232,11 @@ def without_repeated_windows(docs: DataFrame, width: int = 13, max_cells: int =
         cutting, "doc_id long, n_words long, kept_text string, removed array<struct<start:long,end:long>>")
 
 
-def covered(starts: list[bytes] | None, n: int, width: int) -> np.ndarray:
+def covered(starts: bytes | None, n: int, width: int) -> np.ndarray:
     """True for each of n places that a window of ``width`` from one of the starts covers."""
     change = np.zeros(n + 1, np.int32)
     if starts:
-        at = np.concatenate([np.frombuffer(s, np.int32) for s in starts])
-        np.add.at(change, at, 1)
-        np.add.at(change, np.minimum(at + width, n), -1)
+        first, many = read_runs(starts)
+        np.add.at(change, first, 1)
+        np.add.at(change, np.minimum(first + many - 1 + width, n), -1)
     return np.cumsum(change[:n]) > 0
