@@ -74,7 +74,7 @@ def collected(sample: DataFrame, features: Callable, n: int = 1) -> tuple[np.nda
     got = sorted((r["y"], *[bytes(r[f"f{k}"]) for k in range(n)])
                  for r in sample.mapInArrow(rows, ddl).toLocalIterator())
     return (np.array([r[0] for r in got], np.int64),
-            [Sparse([np.frombuffer(r[k + 1], np.int32).astype(np.int64) for r in got]) for k in range(n)])
+            [Sparse([np.frombuffer(r[k + 1], np.int32) for r in got]) for k in range(n)])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
