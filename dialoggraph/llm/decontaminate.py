@@ -6,7 +6,9 @@
    finder with one power iteration), gives the latent space.
 3. Windows of every document are projected into it.  A window whose benchmark words weigh too
    little to reach the cosine limit is passed over, which loses nothing: its cosine is at most
-   that share.  Pairs above the limit are candidates.
+   that share.  Pairs above the limit are candidates, and so are windows that have ``covered`` of
+   the places of a passage: an item that leaked into many documents has light words and a low
+   cosine, but covers as much of a window as any other.
 4. A candidate is a leak if the longest common subsequence of words with the surroundings of the
    window covers enough of the item, and the item's answer (its closing words, rare ones
    first) is there too or the subsequence is nearly the whole item.
@@ -99,17 +101,22 @@ def document_counts(docs: DataFrame, vocabulary: Lookup) -> tuple[np.ndarray, in
     return total[:-1], int(total[-1])
 
 
-def weights(items, vocabulary: Lookup, seen: np.ndarray, total: int, common: float, kept: int) -> np.ndarray:
-    """Inverse document frequencies; words in more than the share ``common`` of all documents
-    weigh nothing, unless they are among the ``kept`` rarest words of a passage."""
-    idf = np.log((total + 1) / (seen + 1)) + 1e-3
-    needed = np.zeros(len(idf), bool)
-    for _, h in items:
-        for p in item_passages(h):
-            place = np.unique(vocabulary(p))
-            place = place[place >= 0]
-            needed[place[np.argsort(-idf[place], kind="stable")[:kept]]] = True
-    return np.where(needed | (seen <= common * total), idf, 0.0)
+class Postings:
+    """For each word the passages that it counts for, and how much."""
+
+    def __init__(self, table: np.ndarray):
+        word, self.passage = np.nonzero(table)
+        self.value = table[word, self.passage]
+        self.count = np.bincount(word, minlength=len(table))
+        self.first = np.cumsum(self.count) - self.count
+        self.passages = table.shape[1]
+
+    def sums(self, place: np.ndarray, stride: np.ndarray, strides: int) -> np.ndarray:
+        """Sums (strides x passages) over words (places in the table) that stand in strides."""
+        n = self.count[place]
+        at = ragged(self.first[place], n)
+        key = np.repeat(stride, n) * self.passages + self.passage[at]
+        return np.bincount(key, self.value[at], strides * self.passages).reshape(strides, self.passages)
 
 
 def latent_space(benchmark: DataFrame, low: int, high: int, vocabulary: Lookup, idf: np.ndarray,
@@ -162,7 +169,7 @@ class Index:
     Words outside the vocabulary weigh ``unknown`` each in the length of a window.
     """
 
-    def __init__(self, items, vocabulary, idf, unknown, space):
+    def __init__(self, items, vocabulary, idf, unknown, space, covered):
         self.items, self.vocabulary, self.idf, self.unknown = items, vocabulary, idf, unknown
         self.space = space.astype(np.float32)
         owner, latent = [], []
@@ -174,10 +181,49 @@ class Index:
                 owner.append(k)
                 latent.append(v / max(float(np.linalg.norm(v)), 1e-30))
         self.owner, self.latent = np.array(owner), np.array(latent, np.float32).reshape(len(owner), -1)
-        # The most that a word can add to the cosine with any passage, times the window's length.
-        self.reach = np.r_[(np.abs(self.space @ self.latent.T).max(1, initial=0) * idf[:-1]).astype(np.float64), 0.0]
+        # What a word can add to the cosine with each passage, times the window's length.  Words of
+        # many documents add little; for them, and where next to nothing is added, the most counts.
+        gain = (np.abs(self.space @ self.latent.T) * idf[:-1, None]).astype(np.float64)
+        listed = (gain > 1e-4 * gain.max(1, keepdims=True, initial=0)) & (idf[:-1] > 0.25 * unknown)[:, None]
+        self.gain = Postings(np.where(listed, gain, 0.0))
+        self.rest = np.r_[np.where(listed, 0.0, gain).max(1, initial=0), 0.0]
+        self.cover, self.least = self._cover(covered)
         self.answers = [self._answer(h) for _, h in items]
 
+    def _cover(self, covered: float) -> tuple[Postings, np.ndarray]:
+        """The rarest words of each passage, and how many of their places a window has that has
+        the share ``covered`` of all places of the passage: all but those it may lack."""
+        passages = [p for _, h in self.items for p in item_passages(h)]
+        self.terms, self.need = [], []
+        table, least = np.zeros((len(self.idf) - 1, len(passages))), np.zeros(len(passages))
+        for k, p in enumerate(passages):
+            place, tf = np.unique(self.vocabulary(p), return_counts=True)
+            place, tf = place[place >= 0], tf[place >= 0]
+            need = int(np.ceil(covered * len(p)))
+            self.terms.append((place, tf))
+            self.need.append(need)
+            lack = len(p) - need  # words that are not in the vocabulary count as lacking or not at all
+            order = np.argsort(-self.idf[place], kind="stable")
+            upto = int(np.searchsorted(np.cumsum(tf[order]), lack + (need + 1) // 2)) + 1
+            table[place[order[:upto]], k] = tf[order[:upto]]
+            least[k] = max(table[:, k].sum() - lack, 1)
+        self.need = np.array(self.need)
+        self.size = np.array([len(t) for t, _ in self.terms])
+        self.begin = np.cumsum(self.size) - self.size
+        self.terms = [np.concatenate(x) for x in zip(*self.terms)]
+        return Postings(table), least
+
+    def _held(self, pairs: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """How many places of the passage each pair (window, passage) shares, given the sorted
+        keys (window, word)."""
+        n = self.size[pairs[:, 1]]
+        at = ragged(self.begin[pairs[:, 1]], n)
+        pair = np.repeat(np.arange(len(pairs)), n)
+        want = pairs[pair, 0] * len(self.idf) + self.terms[0][at]
+        found = np.searchsorted(key, want)
+        there = (found < len(key)) & (key[np.minimum(found, len(key) - 1)] == want) if len(key) else np.zeros(len(want), bool)
+        return np.bincount(pair, self.terms[1][at] * there, len(pairs))
+
     def _answer(self, h: np.ndarray) -> np.ndarray:
         """The rarer half of the closing quarter (four words at least)."""
         tail = np.unique(h[-max(4, len(h) // 4):])
@@ -186,7 +232,8 @@ class Index:
         return tail[np.argsort(-weight, kind="stable")[:max(1, (len(tail) + 1) // 2)]]
 
     def candidates(self, w, rows: np.ndarray, limit: float):
-        """(row, first word of the window, item, cosine) of window and item pairs above the limit."""
+        """(row, first word of the window, item, cosine) of window and item pairs that are above the
+        limit or share enough places of a passage, whatever these words weigh."""
         n = np.diff(rows)
         count = np.where(n > 0, np.maximum(0, -(-(n - WINDOW) // STRIDE)) + 1, 0)
         row = np.repeat(np.arange(len(n)), count)
@@ -196,36 +243,61 @@ class Index:
         end = np.minimum(start + WINDOW, rows[1:][row])
         place = self.vocabulary(w.hash)
         known = np.where(place >= 0, self.idf[place], 0.0)
-        # Upper bound of the cosine from prefix sums.  A word that stands f times counts log2(1 + f),
-        # at most f in the product and, squared, at least 0.56 * f (f up to 64) in the length.
-        square, reach = (np.r_[0, np.cumsum(x)] for x in (known ** 2, np.where(place >= 0, self.reach[place], 0.0)))
+        # Upper bound of the cosine from sums.  A word that stands f times counts log2(1 + f), at
+        # most f in the product and, squared, at least 0.56 * f (f up to 64) in the length.
+        square, rest = (np.r_[0, np.cumsum(x)] for x in (known ** 2, np.where(place >= 0, self.rest[place], 0.0)))
         unknown = np.r_[0, np.cumsum(place < 0)]
         inside = square[end] - square[start]
         outside = (unknown[end] - unknown[start]) * self.unknown ** 2
-        product = (reach[end] - reach[start]) * (1 + 1e-5) + 1e-6
-        maybe = np.flatnonzero(product ** 2 >= limit ** 2 * (0.56 * inside + outside))
-        maybe = maybe[inside[maybe] > 0]
+        rest = rest[end] - rest[start]
+        lowest = limit * np.sqrt(0.56 * inside + outside)
         out = []
-        for lo in range(0, len(maybe), 2048):
-            use = maybe[lo:lo + 2048]
+        for lo in range(0, len(row), 2048):
+            hi = min(lo + 2048, len(row))
+            # A window is its own stride and the next one.
+            at = ragged(start[lo:hi], np.minimum(STRIDE, end[lo:hi] - start[lo:hi]))
+            first = np.repeat(np.arange(hi - lo), np.minimum(STRIDE, end[lo:hi] - start[lo:hi]))
+            after = ragged(start[lo:hi] + STRIDE, np.maximum(end[lo:hi] - start[lo:hi] - STRIDE, 0))
+            # The next stride is the next window's own, but for the last window of a row.
+            last = np.r_[row[lo + 1:hi] != row[lo:hi - 1], True]
+            second = np.repeat(np.arange(hi - lo), np.maximum(end[lo:hi] - start[lo:hi] - STRIDE, 0))
+            after, second = after[last[second]], second[last[second]] + hi - lo
+            words_at, stride = np.r_[at, after], np.r_[first, second]
+            hit = place[words_at] >= 0
+            words_at, stride = place[words_at[hit]], stride[hit]
+
+            def summed(postings):
+                x = postings.sums(words_at, stride, 2 * (hi - lo))
+                own, ends = x[:hi - lo], x[hi - lo:]
+                ends[:-1][~last[:-1]] = own[1:][~last[:-1]]
+                return own + ends
+
+            pairs = np.argwhere(summed(self.cover) >= self.least)
+            near = (summed(self.gain).max(1) + rest[lo:hi]) * (1 + 1e-5) + 1e-6 >= lowest[lo:hi]
+            use = lo + np.union1d(np.flatnonzero(near & (inside[lo:hi] > 0)), pairs[:, 0])
             at = ragged(start[use], end[use] - start[use])
             owner = np.repeat(np.arange(len(use)), end[use] - start[use])
-            hit = known[at] > 0
+            hit = place[at] >= 0
             key, tf = np.unique(owner[hit] * len(self.idf) + place[at][hit], return_counts=True)
+            # Repeated words of a window have counted more than once; now each counts once.
+            enough = np.zeros((len(use), len(self.owner)), bool)
+            pairs[:, 0] = np.searchsorted(use, pairs[:, 0] + lo)
+            pairs = pairs[self._held(pairs, key) >= self.need[pairs[:, 1]]]
+            enough[pairs[:, 0], pairs[:, 1]] = True
+            far = ~near[use - lo]
+            far[pairs[:, 0]] = False
+            keep = ~far[key // len(self.idf)]
+            key, tf = key[keep], tf[keep]
+            if not len(key):
+                continue
             owner, term = key // len(self.idf), key % len(self.idf)
             value = np.log2(1 + tf) * self.idf[term]
-            own = np.bincount(owner, value ** 2, len(use))
-            norm = np.sqrt(own + outside[use])
-            near = own >= limit ** 2 * norm ** 2
-            keep = near[owner]
-            owner, term, value = owner[keep], term[keep], value[keep]
-            if not len(owner):
-                continue
+            norm = np.sqrt(np.bincount(owner, value ** 2, len(use)) + outside[use])
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             latent = np.add.reduceat(self.space[term] * value[:, None].astype(np.float32), first)
             which = owner[first]
             cosine = latent @ self.latent.T / np.maximum(norm[which], 1e-30)[:, None]
-            for i, p in zip(*np.nonzero(cosine >= limit)):
+            for i, p in zip(*np.nonzero((cosine >= limit) | enough[which])):
                 k = use[which[i]]
                 out.append((int(row[k]), int(start[k]), int(self.owner[p]), float(cosine[i, p])))
         return out
@@ -275,7 +347,7 @@ LEAKS = "array<struct<item_id:long,cosine:double,lcs:double,answer:double>>"
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 512, per_round: int = 512, cosine: float = 0.15,
-               ordered: float = 0.6, answered: float = 0.5, whole: float = 0.8, common: float = 0.05, kept: int = 8) -> DataFrame:
+               ordered: float = 0.6, answered: float = 0.5, whole: float = 0.8, covered: float = 0.4) -> DataFrame:
     """``docs`` with ``leaks``: the benchmark items that each text holds."""
     spark, docs = docs.sparkSession, docs.drop("leaks")
     names = [f.name for f in docs.schema]
@@ -286,12 +358,12 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 512, per_round
     for items in rounds(benchmark, per_round):
         vocabulary = Lookup(np.unique(np.concatenate([h for _, h in items])))
         seen, total = document_counts(docs, vocabulary)
-        idf = weights(items, vocabulary, seen, total, common, kept)
+        idf = np.log((total + 1) / (seen + 1)) + 1e-3
         # No more directions than passages: the range finder has nothing to find beyond them.
         most = min(rank, sum(len(item_passages(h)) for _, h in items))
         space = latent_space(benchmark, items[0][0], items[-1][0], vocabulary, idf, most)
         index = spark.sparkContext.broadcast(
-            Index(items, vocabulary, np.r_[idf, 0.0], 0.6 * float(np.log(total + 1)), space))
+            Index(items, vocabulary, np.r_[idf, 0.0], 0.6 * float(np.log(total + 1)), space, covered))
 
         def search(batches, index=index):
             for block in lowered_blocks(batches):

@@ -218,3 +218,23 @@ def test_pipeline_keeps_columns(spark, docs, empty, tmp_path):
             assert stage(spark, rows, from_).columns == docs.columns
         out = corpus_pipeline.packing(spark, corpus_pipeline.secrets(spark, rows, from_), from_)
         assert (out.count() > 0) == (rows is docs)
+
+
+def test_an_item_in_a_third_of_all_rows_is_found(spark):
+    import random
+
+    r = random.Random(7)
+    words = [f"v{k}" for k in range(40)] + [f"z{k}" for k in range(4000)]
+    items = [[f"hot{k}" for k in range(20)], [f"cold{k}" for k in range(20)]]
+    rows = []
+    for i in range(900):
+        own = r.choices(words, k=120)
+        if i % 3 == 0:
+            own[50:50] = items[0]
+        if i == 7:
+            own[50:50] = items[1]
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = decontaminate.with_leaks(docs, bench).collect()
+    assert {(r["doc_id"], x["item_id"]) for r in got for x in r["leaks"]} == {(i, 0) for i in range(0, 900, 3)} | {(7, 1)}
