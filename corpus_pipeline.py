@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoggraph.llm.decontaminate import with_leaks
-from dialoggraph.llm.minhash import near_duplicates
+from dialoggraph.llm.minhash import least_estimate, near_duplicates
 from dialoggraph.llm.packing import pack
 from dialoggraph.llm.secret_scan import masked, scan
 from dialoggraph.llm.tables import crc_mod, table
@@ -39,9 +39,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies (0.8 of their runs of five words) the document with the smallest id stays."""
     rows = sheltered(docs)
-    gone = near_duplicates(rows).filter("not kept").select("doc_id").distinct()
+    gone = near_duplicates(rows, num=80, den=100, estimate=least_estimate(80, 100)).filter("not kept").select("doc_id").distinct()
     # A merge join whatever the number of copies: one plan at every size.
     return restored(rows.join(gone.hint("merge"), "doc_id", "left_anti"), docs)
 

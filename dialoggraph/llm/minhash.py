@@ -17,7 +17,8 @@ text repeated a billion times is one row afterwards.  No stage emits the pairs o
    spanning forest of the confirmed links, whose components are the result.
 
 At similarity 0.85 a pair shares none of the 32 bands with probability 6e-11, and its
-estimate falls below ``estimate`` by more than five standard deviations.
+estimate falls below ``estimate`` by more than five standard deviations.  At 0.80 no band is
+shared with probability 5e-8; ``least_estimate`` gives the estimate for other similarities.
 
 Defined results: null or wordless texts have no shingles and no links; fewer words than a
 shingle make one shingle of all words; rows with a null id come back unlinked and kept; rows
@@ -136,6 +137,13 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (match - chance) / (1 - chance)
 
 
+def least_estimate(num: int, den: int) -> float:
+    """Six standard deviations of the estimate below the similarity num / den."""
+    s, chance = num / den, 1.0 / (1 << BITS)
+    match = s + (1 - s) * chance
+    return s - 6 * (match * (1 - match) / HASHES) ** 0.5 / (1 - chance)
+
+
 def common_counts(rows: list[np.ndarray], split: int) -> np.ndarray:
     """Common values of rows before and from ``split`` on; every row has distinct values."""
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])

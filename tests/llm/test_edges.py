@@ -238,3 +238,16 @@ def test_an_item_in_a_third_of_all_rows_is_found(spark):
     bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
     got = decontaminate.with_leaks(docs, bench).collect()
     assert {(r["doc_id"], x["item_id"]) for r in got for x in r["leaks"]} == {(i, 0) for i in range(0, 900, 3)} | {(7, 1)}
+
+
+def test_pipeline_takes_near_copies_from_four_fifths_on(spark):
+    import corpus_pipeline
+
+    # Two words changed: 86 of 106 shingles are common (0.81); three: 81 of 111 (0.73).
+    base = [f"p{k}" for k in range(100)]
+    two = [x if k not in (20, 60) else "new" for k, x in enumerate(base)]
+    three = [f"q{k}" for k in range(100)], [f"q{k}" if k not in (20, 50, 80) else "new" for k in range(100)]
+    rows = [(i, " ".join(x)) for i, x in enumerate([base, two, *three])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2, 3]
+    assert minhash.least_estimate(80, 100) < 0.56
