@@ -127,3 +127,47 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20
 """
+
+
+@query
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import cycled, mix
+
+    return mix(table(spark, sf_dir, "documents"), weigh=cycled((3, 1, 2)), share=1.5, epochs=2.0).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op12_source_mixing"] = r"""
+WITH d AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+           CAST('0x' || left(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 15) AS BIGINT) AS u
+    FROM documents
+), s AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+    SELECT *, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight,
+           2.0 * CAST(source_size AS DOUBLE) AS cap
+    FROM s
+), f AS (  -- filled in the order in which sources reach their caps
+    SELECT *, coalesce(sum(cap) OVER o, 0) AS cap_before, (SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER o, 0) AS weight_left,
+           row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS k
+    FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+    SELECT *, (CAST(1.5 AS DOUBLE) * (SELECT CAST(sum(source_size) AS DOUBLE) FROM s) - cap_before) / weight_left AS level FROM f
+), t AS (
+    SELECT source, source_size, least(cap, weight * (SELECT level FROM l WHERE cap >= weight * level ORDER BY k LIMIT 1)) AS target
+    FROM l
+), p AS (
+    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS repeats FROM t
+), g AS (
+    SELECT source, u, doc_id, size, count(*) AS copies FROM d GROUP BY ALL
+), c AS (
+    SELECT g.*, source_size, target, repeats, CAST(floor(target) AS BIGINT) - repeats * source_size
+               - (sum(size * copies) OVER (PARTITION BY g.source ORDER BY u, doc_id NULLS FIRST, size) - size * copies) AS room
+    FROM g JOIN p ON g.source IS NOT DISTINCT FROM p.source
+)
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, source_size, target,
+       CAST(repeats * d.size + least(greatest(room, 0), d.size * copies) // copies AS BIGINT) AS taken
+FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.u = c.u AND d.size = c.size
+             AND d.doc_id IS NOT DISTINCT FROM c.doc_id
+"""

@@ -24,3 +24,9 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 def crc_mod(doc_id, m: int):
     """crc32 of the id as text, modulo m: the fold of a row. A null id is in no fold (null)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % m
+
+
+def picked(rows: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names; others may be called alike but for case."""
+    inner = [f"_c{k}" for k in range(len(rows.columns))]
+    return rows.toDF(*inner).select(*[F.col(inner[rows.columns.index(n)]).alias(n) for n in names])
