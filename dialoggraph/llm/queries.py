@@ -171,3 +171,35 @@ SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, source_size, target,
 FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.u = c.u AND d.size = c.size
              AND d.doc_id IS NOT DISTINCT FROM c.doc_id
 """
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """doc_id, text: every tenth text, by the checksum of its id, goes on periodically from one word on."""
+    from .mixing import WORD
+    from .tables import picked
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    planted = picked(docs, "doc_id", "text").withColumn("h", h).withColumn(
+        "w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    g, n = F.floor(F.col("h") / 10), F.size("w")
+    planted = planted.withColumn("a", F.when(n > 0, (g % n).cast("int"))).withColumn(
+        "p", F.when(n > 0, (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int")))
+    again = F.transform(F.sequence(F.col("a"), n - 1), lambda i: F.get("w", F.col("a") + (i - F.col("a")) % F.col("p")))
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")
+    return planted.select("doc_id", F.when(F.col("a").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import periodic_runs
+
+    out = periodic_runs(with_planted_period(table(spark, sf_dir, "documents")), shortest=12)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"),
+                                                              r["period"].cast("string")), F.lit("\n")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    return out.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("kept_text").cast("binary"), 256).alias("collapsed_sha256"))

@@ -106,3 +106,43 @@ def base_spans(text):
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
     return sorted(found)
+
+
+def planted_period(doc_id, text):
+    w, h = words(text, lower=False), zlib.crc32(str(doc_id).encode())
+    if h % 10 == 0 and w:
+        g, n = h // 10, len(w)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = w[:a] + [w[a + (i - a) % p] for i in range(a, n)]
+    return w
+
+
+def word_runs(w, shortest=12):
+    """(start, length, period): for each period the maximal stretches, each stretch by its smallest period."""
+    seen, n = {}, len(w)
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            s = i
+            while i + q < n and w[i] == w[i + q]:
+                i += 1
+            if i > s and i + q - s >= max(shortest, 2 * q):
+                seen.setdefault((s, i + q), q)
+            i += i == s
+    return sorted(((s, e - s, q) for (s, e), q in seen.items()), key=lambda r: (r[0], r[2]))
+
+
+def periodic(rows):
+    out = []
+    for i, t in rows:
+        w = planted_period(i, t)
+        found = word_runs(w)
+        gone = [False] * len(w)
+        for s, n, q in found:
+            gone[s + q:s + n] = [True] * (n - q)
+        best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=(None,) * 3)
+        out.append((i, len(found), *best, 1000 * best[1] // best[2] if found else None,
+                    sha("".join(f"{s},{n},{q}\n" for s, n, q in found).encode()),
+                    sha(" ".join(x for x, g in zip(w, gone) if not g).encode())))
+    return sorted(out)
