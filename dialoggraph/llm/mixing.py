@@ -90,8 +90,10 @@ def mix(docs: DataFrame, weigh: Callable[[DataFrame], DataFrame], share: float =
 
     weigh: from rows (source, source_size) to rows (source, weight).
     """
-    narrow = cut(picked(docs, "doc_id", "source", "text", *carry).select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"), seeded(seed, F.col("doc_id")).alias("u"), *carry))
+    carried = [f"carried_{k}" for k in range(len(carry))]
+    rows = picked(docs, "doc_id", "source", "text", *carry).toDF("doc_id", "source", "text", *carried)
+    narrow = cut(rows.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+                             seeded(seed, F.col("doc_id")).alias("u"), *carried))
     sources = cut(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     weights = weigh(sources.select("source", "source_size")).toDF("source_", "weight")
     weighed = cut(sources.join(weights, F.col("source").eqNullSafe(F.col("source_")), "left").select(
@@ -128,7 +130,7 @@ def mix(docs: DataFrame, weigh: Callable[[DataFrame], DataFrame], share: float =
             .when(F.col("bucket") == F.col("last_bucket"), F.coalesce("own", F.lit(0))).otherwise(F.lit(0)).cast("long"))
     return keyed.join(ends, same, "left").select(
         "doc_id", "source", "size", "source_size", "weight", "target", "repeats", part.alias("part"),
-        (F.col("repeats") * F.col("size") + part).alias("taken"), *carry)
+        (F.col("repeats") * F.col("size") + part).alias("taken"), *[F.col(a).alias(b) for a, b in zip(carried, carry)])
 
 
 def repetitions(mixed: DataFrame, text: str = "text") -> DataFrame:

@@ -203,3 +203,59 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
         F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("kept_text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text after the faults that the checksum of a row's id and turn names."""
+    from .repair import conversation_rows
+
+    rows = conversation_rows(conversations, "conv_id", "turn", "role", "text")
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    rows = rows.withColumn("h", F.crc32(name.cast("binary")) % 20).filter("h <> 0")
+    text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("h") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.sequence(F.lit(1), F.when(F.col("h") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("copy")).drop("copy")
+
+
+def written_hashes(repaired: DataFrame) -> DataFrame:
+    """conv_id, repaired_sha256: of `role:text` lines in order. SHA-256 runs along a conversation, text by text."""
+    import hashlib
+
+    import pyarrow as pa
+
+    schema = pa.schema([("conv_id", pa.int64()), ("repaired_sha256", pa.string())])
+
+    def hashing(batches):
+        conv, state = object(), None
+        for batch in batches:
+            done = []
+            for c, role, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if c != conv:
+                    if state is not None:
+                        done.append((conv, state.hexdigest()))
+                    conv, state = c, hashlib.sha256()
+                else:
+                    state.update(b"\n")
+                state.update(f"{role}:{text}".encode())
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], schema.field(k).type) for k in (0, 1)], schema=schema)
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([state.hexdigest()])], schema=schema)
+
+    rows = repaired.repartition("conv_id").sortWithinPartitions("conv_id", "place").select("conv_id", "role", "text")
+    return rows.mapInArrow(hashing, "conv_id long, repaired_sha256 string")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import repair, same
+
+    rows = table(spark, sf_dir, "conversations")
+    report, repaired = repair(damaged(rows))
+    out = rows.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    for part in (report, written_hashes(repaired)):
+        part = part.withColumnRenamed("conv_id", "conv_id_")
+        out = out.join(part, same(out, part, ["conv_id"]), "left").drop("conv_id_")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))

@@ -146,3 +146,72 @@ def periodic(rows):
                     sha("".join(f"{s},{n},{q}\n" for s, n, q in found).encode()),
                     sha(" ".join(x for x, g in zip(w, gone) if not g).encode())))
     return sorted(out)
+
+
+def damage(rows):
+    """(conv_id, turn, role, text) after the faults; nulls of role and text as one space."""
+    out = []
+    for c, t, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        h = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        text = "" if h == 1 else re.sub("[.!?]", "", text) if h == 2 else text
+        out += [(c, t, "user" if h == 4 else role, text)] * (0 if h == 0 else 2 if h == 3 else 1)
+    return out
+
+
+def repairs(rows):
+    """For each conversation of damaged rows: gaps, blank, duplicate, truncated, illegal, cost, audit, repaired lines.
+
+    Costs and audits by whole strings: least (cost, audit) of every remainder and state."""
+    convs, out = collections.defaultdict(list), {}
+    for r in rows:
+        convs[r[0]].append(r)
+    for c, own in convs.items():
+        own.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        faults, seen = [], set()
+        for _, _, role, text in own:
+            solid = text.rstrip(" \t\n\x0b\x0c\r")
+            faults.append("blank" if not solid else "duplicate" if (role, text) in seen else
+                          "truncated" if solid[-1] not in ".!?" else None)
+            seen.add((role, text))
+        turns = {r[1] for r in own if r[1] is not None}
+        initials = [r[2][:1] for r in own]
+        after = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+        inserts = {"": "u", "s": "u", "u": "a", "a": "u"}
+        names = {"u": "user", "a": "assistant"}
+
+        def closed(best):
+            for _ in range(4):
+                for q, to in inserts.items():
+                    cost, audit, lines = best[to]
+                    best[q] = min(best[q], (cost + 5, "I" + audit, (names[to] + ":", lines)))
+            return best
+
+        far = (10**9, "", None)
+        best = closed({"": (0, "", None), "s": far, "u": far, "a": (0, "", None)})
+        for (_, _, role, text), fault in zip(reversed(own), reversed(faults)):
+            extra, new = 5 * (fault == "truncated"), {}
+            for q in after:
+                options = [(best[q][0] + 2, "D" + best[q][1], best[q][2])]
+                if fault not in ("blank", "duplicate"):
+                    to = after[q].get(role[:1])
+                    if to:
+                        options.append((best[to][0] + extra, "K" + best[to][1], (f"{role}:{text}", best[to][2])))
+                    to = inserts[q]
+                    options.append((best[to][0] + 1 + extra, "R" + best[to][1], (f"{names[to]}:{text}", best[to][2])))
+                new[q] = min(options, key=lambda o: o[:2])
+            best = closed(new)
+        cost, audit, chain = best[""]
+        lines = []
+        while chain is not None:
+            lines.append(chain[0])
+            chain = chain[1]
+        out[c] = (max(turns) - min(turns) + 1 - len(turns) if turns else 0, *[faults.count(f) for f in ("blank", "duplicate", "truncated")],
+                  sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])), cost, audit, lines)
+    return out
+
+
+def conversation_repair(rows):
+    found = repairs(damage(rows))
+    return [(c, *(found[c][:7] if c in found else (0,) * 6 + ("",)), sha("\n".join(found[c][7] if c in found else []).encode()))
+            for c in dict.fromkeys(r[0] for r in rows)]
