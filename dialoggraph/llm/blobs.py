@@ -67,6 +67,25 @@ def repeated(keys: Sequence[np.ndarray], doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows (bucket, blob) by bucket, for ``by_bucket``."""
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """(bucket, its blobs), one bucket at a time; rows come sorted by bucket."""
+    bucket, blobs = None, []
+    for b in batches:
+        for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
+            if k != bucket and blobs:
+                yield bucket, blobs
+                blobs = []
+            bucket = k
+            blobs.append(blob.as_py())
+    if blobs:
+        yield bucket, blobs
+
+
 def batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
@@ -110,9 +129,8 @@ def sent_home(found: DataFrame, parts: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("starts", pa.binary())])
 
     def gather(batches):
-        doc, rid, pos, _ = unpack_all([x for b in batches for x in b.column(1).to_pylist()], POSITIONS)
-        rows = [(d, r, as_runs(p).tobytes()) for d, r, p in by_document(doc, rid, pos)]
-        if rows:
-            yield batch(schema, rows)
+        for _, blobs in by_bucket(batches):
+            doc, rid, pos, _ = unpack_all(blobs, POSITIONS)
+            yield batch(schema, [(d, r, as_runs(p).tobytes()) for d, r, p in by_document(doc, rid, pos)])
 
-    return found.repartition(parts, "bucket").mapInArrow(gather, "doc_id long, rid long, starts binary")
+    return dealt(found, parts).mapInArrow(gather, "doc_id long, rid long, starts binary")

@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import batch, by_key, pack, read_runs, repeated, sent_home, settled, unpack, unpack_all
+from .blobs import batch, by_bucket, by_key, dealt, pack, read_runs, repeated, sent_home, settled, unpack_all
 from .encode import ragged
 from .tables import cut, shuffle_partitions, text_bytes
-from .words import Block, blocks, byte_prefix, powers
+from .words import Block, WIDE, blocks, byte_prefix, powers
 
 SEED = 20
 # One value above all bytes: a column that a piece does not have.
@@ -85,7 +85,7 @@ def anchors(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return h[at], row[new], at, start[new], start[last]
 
 
-# Of an anchor: 32 bits of its hash (the bucket has the others; a chance match costs a piece, no more).
+# Of an anchor: the high 32 bits of its hash (the bucket has the low ones; a chance match costs a piece, no more).
 ANCHOR = (np.uint32, np.int64, np.int64, np.int32)
 
 
@@ -105,7 +105,7 @@ def shared_anchors(source: DataFrame, length: int, parts: int) -> DataFrame:
         return out
 
     def propose(batches):
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", WIDE):
             h, row, at, _, _ = anchors(block, length)
             if not len(h):
                 continue
@@ -122,24 +122,15 @@ def shared_anchors(source: DataFrame, length: int, parts: int) -> DataFrame:
             yield batch(schema, rows + [(int(k), pack(a)) for k, a in open_])
 
     def answer(batches):
-        blobs, bucket = [], []
-        for b in batches:
-            done = b.filter(pa.compute.less(b.column(0), 0))
-            if done.num_rows:
-                yield done
-            asked = b.filter(pa.compute.greater_equal(b.column(0), 0))
-            blobs += asked.column(1).to_pylist()
-            bucket += asked.column(0).to_pylist()
-        if blobs:
-            parts_ = [unpack(x, ANCHOR) for x in blobs]
-            h, doc, rid, pos = (np.concatenate([p[k] for p in parts_]) for k in range(4))
-            h = h.astype(np.uint64) | np.repeat(np.array(bucket, np.uint64), [len(p[0]) for p in parts_]) << np.uint64(32)
+        for bucket, blobs in by_bucket(batches):
+            if bucket < 0:  # settled
+                yield batch(schema, [(bucket, x) for x in blobs])
+                continue
+            h, doc, rid, pos, _ = unpack_all(blobs, ANCHOR)
             yes = several(h, doc)
-            rows = settled(doc[yes], rid[yes], pos[yes], parts)
-            if rows:
-                yield batch(schema, rows)
+            yield batch(schema, settled(doc[yes], rid[yes], pos[yes], parts))
 
-    found = source.mapInArrow(propose, ddl).repartition(parts, "bucket").mapInArrow(answer, ddl)
+    found = dealt(source.mapInArrow(propose, ddl), parts).mapInArrow(answer, ddl)
     return sent_home(found, parts)
 
 
@@ -165,7 +156,7 @@ def repeated_strings(docs: DataFrame, length: int = 50, doc_id: str = "doc_id",
     anchored = cut(shared_anchors(source, length, parts))
 
     def send(batches):
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", WIDE):
             h, row, at, first, last = anchors(block, length)
             given = block.rows.column(block.rows.schema.get_field_index("starts")).to_pylist()
             wanted = np.zeros(len(block.data) + 1, bool)
@@ -195,15 +186,11 @@ def repeated_strings(docs: DataFrame, length: int = 50, doc_id: str = "doc_id",
             yield batch(schema, rows)
 
     def construct(batches):
-        blobs = []
-        for b in batches:
-            done = b.filter(pa.compute.less(b.column(0), 0))
-            if done.num_rows:
-                yield done
-            blobs += b.filter(pa.compute.greater_equal(b.column(0), 0)).column(1).to_pylist()
-        if blobs:
+        for bucket, blobs in by_bucket(batches):
+            if bucket < 0:  # settled
+                yield batch(schema, [(bucket, x) for x in blobs])
+                continue
             h, doc, rid, at, before, behind, body = unpack_all(blobs, PIECE)
-            del blobs
             late = list(later_strings(h, doc, before.astype(np.int64), behind.astype(np.int64), body, length))
             if late:
                 piece = np.concatenate([p for p, _ in late])
@@ -212,7 +199,7 @@ def repeated_strings(docs: DataFrame, length: int = 50, doc_id: str = "doc_id",
 
     # Left joins on one layout of the texts, here and for the cutting: they are shuffled once.
     texts = rows.join(anchored, ["doc_id", "rid"], "left")
-    found = texts.mapInArrow(send, ddl).repartition(parts, "bucket").mapInArrow(construct, ddl)
+    found = dealt(texts.mapInArrow(send, ddl), parts).mapInArrow(construct, ddl)
     return sent_home(found, parts)
 
 
@@ -226,11 +213,12 @@ def later_strings(group: np.ndarray, doc: np.ndarray, before: np.ndarray, behind
     """
     n = len(group)
     offset = np.cumsum(before + behind) - (before + behind) + before
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group, kind="stable").astype(np.int32)
     sorted_group = group[order]
     new = np.r_[True, sorted_group[1:] != sorted_group[:-1]]
     number = np.cumsum(new) - 1
-    common = np.zeros(n, np.int64)
+    del sorted_group, new
+    common = np.zeros(n, np.int16)
     lo, hi = -int(before.max(initial=0)), int(behind.max(initial=0))
     with tempfile.TemporaryFile() as columns:
         # The columns as a file, in the order in which the rounds read them.
@@ -248,7 +236,7 @@ def later_strings(group: np.ndarray, doc: np.ndarray, before: np.ndarray, behind
             key = key[place]
             same = np.r_[False, key[1:] == key[:-1]] & (symbol[place] != NOTHING)
             # Common prefix with the suffix before: one more than the least of the old ones between.
-            grown = np.zeros(n, np.int64)
+            grown = np.zeros(n, np.int16)
             j = np.flatnonzero(same)
             if len(j):
                 upto, frm = place[j], place[j - 1]
@@ -258,7 +246,7 @@ def later_strings(group: np.ndarray, doc: np.ndarray, before: np.ndarray, behind
                 if len(far):
                     edges = np.stack([frm[far] + 1, upto[far] + 1], 1).ravel()
                     grown[j[far]] = np.minimum.reduceat(np.r_[common, 0], edges)[::2] + 1
-            order, common = order[place], np.minimum(grown, length)
+            order, common = order[place], np.minimum(grown, np.int16(length))
             linked = common >= length
             if linked.any():
                 run = np.cumsum(~linked) - 1
@@ -283,7 +271,7 @@ def without_repeated_strings(docs: DataFrame, length: int = 50, doc_id: str = "d
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cutting(batches):
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", WIDE):
             given = block.rows.column(block.rows.schema.get_field_index("starts")).to_pylist()
             kept, spans = [], []
             for i, starts in enumerate(given):
