@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .blobs import batch, by_key, pack, unpack, unpack_all
 from .tables import cut, text_bytes
-from .words import Block, blocks, mix, words
+from .words import Block, WIDE, blocks, mix, words
 
 # Open classes: four kinds of last byte times four lengths.
 _KIND = np.zeros(256, np.uint8)
@@ -102,7 +102,7 @@ def frequent_words(train: DataFrame, keep: int) -> tuple[np.ndarray, np.ndarray]
 
     def count(batches):
         h, kind, c = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", WIDE):
             w = words(block, lower=True)
             own, first, n = np.unique(w.hash, return_index=True, return_counts=True)
             h, index, inverse = np.unique(np.r_[h, own], return_index=True, return_inverse=True)
@@ -134,7 +134,7 @@ def counted(train: DataFrame, known: Lookup, heads: int) -> tuple[np.ndarray, np
 
     def count(batches):
         total = np.zeros(size * size + len(known), np.int64)
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", WIDE):
             w = words(block, lower=True)
             place = known(w.hash)
             s, first = with_ends(symbols(place, heads, open_class(block, w)), w.rows, size - 1)
@@ -261,7 +261,7 @@ def score(docs: DataFrame, train: Column, heads: int = 2048, classes: int = 64,
     def read(batches):
         m = shared.value
         count_log = np.log10(m.count + 1.0)
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", WIDE):
             w, n = words(block, lower=True), block.n
             row, place, kind = w.row_of(), m.words(w.hash), open_class(block, w)
             common, open_ = place >= 0, (place < 0) | (place >= m.heads)

@@ -9,23 +9,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import cut, picked
+
+# Parts in which a bounded sample comes to the driver.
+PARTS = 8
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column,
                     most: tuple[int, int]) -> tuple[DataFrame, np.ndarray]:
     """Texts and labels of at most ``most[y]`` training rows of class y, chosen by a hash of
     the id, and how many training rows each class has.
 
-    An id with several labels counts as its largest; ids without text or label are left out.
+    An id with several labels counts as its largest, an id with several texts gives its least;
+    labels without a document do not count.
     """
+    docs = picked(docs, "doc_id", "text")
     known = (labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & F.coalesce(train, F.lit(False)))
              .groupBy("doc_id").agg(F.max(label).cast("int").alias("y")))
+    known = cut(known.join(docs.select("doc_id"), "doc_id", "left_semi"))
     totals = np.zeros(2, np.int64)
     for r in known.groupBy("y").count().collect():
         totals[r["y"]] = r["count"]
-    picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[y]) for y in (0, 1)]
+    chosen = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[y]) for y in (0, 1)]
     # At most sum(most) ids: a bound that the parameter sets.
-    ids = F.broadcast(picked[0].union(picked[1]))
-    return docs.select("doc_id", "text").join(ids, "doc_id"), totals
+    ids = F.broadcast(chosen[0].union(chosen[1]))
+    return docs.join(ids, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), totals
 
 
 class Sparse:
@@ -71,8 +79,9 @@ def collected(sample: DataFrame, features: Callable, n: int = 1) -> tuple[np.nda
                                              for x in lists], schema=schema)
 
     ddl = "y int, " + ", ".join(f"f{k} binary" for k in range(n))
-    got = sorted((r["y"], *[bytes(r[f"f{k}"]) for k in range(n)])
-                 for r in sample.mapInArrow(rows, ddl).toLocalIterator())
+    # Written by all tasks at once; then read back in a few parts, one at a time.
+    written = cut(sample.mapInArrow(rows, ddl)).coalesce(PARTS)
+    got = sorted((r["y"], *[bytes(r[f"f{k}"]) for k in range(n)]) for r in written.toLocalIterator())
     return (np.array([r[0] for r in got], np.int64),
             [Sparse([np.frombuffer(r[k + 1], np.int32) for r in got]) for k in range(n)])
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .blobs import batch, by_key, pack, read_runs, repeated, sent_home, settled, unpack_all
 from .tables import shuffle_partitions, text_bytes
-from .words import Block, blocks, window_hash, window_starts, words
+from .words import Block, WIDE, blocks, window_hash, window_starts, words
 
 ROWS = 3
 SLICE_CELLS = 1 << 23
@@ -112,7 +112,7 @@ def merged_sketch(docs: DataFrame, width: int, cells: int, text: str) -> np.ndar
 
     def fill(batches: Iterator[pa.RecordBatch]):
         sketch = Sketch(cells)
-        for block in blocks(batches, text):
+        for block in blocks(batches, text, WIDE):
             w = words(block, lower=False)
             start, _ = window_starts(w.rows, width)
             sketch.add(window_hash(w.hash, width)[start])
@@ -175,7 +175,7 @@ def repeated_windows(docs: DataFrame, width: int = 13, max_cells: int = 1 << 28,
 
     def candidates(batches):
         bits = np.frombuffer(zstandard.decompress(twice.value), np.uint8).reshape(ROWS, -1)
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", WIDE):
             rows = settle(block, words(block, lower=False), bits)
             if rows:
                 yield batch(out, rows)
@@ -212,7 +212,7 @@ def without_repeated_windows(docs: DataFrame, width: int = 13, max_cells: int =
                         ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def cutting(batches):
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", WIDE):
             w = words(block, lower=False)
             given = block.rows.column(block.rows.schema.get_field_index("starts")).to_pylist()
             raw, texts, spans = block.data.tobytes(), [], []

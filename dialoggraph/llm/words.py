@@ -13,8 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-# Bytes of text that are worked on at once.
-BLOCK = 4 << 20
+# Bytes of text that are worked on at once: a worker's arrays stay below 100 MB and mostly in its caches.
+BLOCK = 1 << 20
+# Where what a block holds several times is sent once, blocks are larger.
+WIDE = 4 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -39,7 +41,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             steps[0] = 1
             _powers[k] = np.multiply.accumulate(steps)
     a, b = _powers[0][:n], _powers[1][:n]
-    if n > 4 * BLOCK:  # one very long text: do not keep its tables
+    if n > 2 * WIDE:  # one very long text: do not keep its tables
         _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     return a, b
 

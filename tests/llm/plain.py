@@ -66,7 +66,7 @@ def shingle_set(text):
     return {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def near_dedup(rows):
+def near_dedup(rows, num=85):
     sets = {i: shingle_set(t) for i, t in rows}
     parent = {i: i for i in sets}
 
@@ -81,7 +81,7 @@ def near_dedup(rows):
             places[x].append(i)
     common = collections.Counter((a, b) for own in places.values() for k, b in enumerate(own) for a in own[:k])
     for (a, b), n in common.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= num * (len(sets[a]) + len(sets[b]) - n):
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
     return sorted((i, len(sets[i]), root(i), root(i) == i) for i in sets)

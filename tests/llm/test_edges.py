@@ -251,3 +251,18 @@ def test_pipeline_takes_near_copies_from_four_fifths_on(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2, 3]
     assert minhash.least_estimate(80, 100) < 0.56
+
+
+def test_labelled_samples_are_bounded_rows_with_texts(spark):
+    """Labels without documents use up nothing; an id that repeats gives one text."""
+    from dialoggraph.llm.labelled import labelled_sample
+
+    docs = spark.createDataFrame([(i, f"text {i}", "x") for i in range(20)] + [(7, "a text", "x")] * 500,
+                                 "doc_id long, text string, Text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, quality int")
+    sample, totals = labelled_sample(docs, labels, "quality", F.lit(True), (6, 20))
+    rows = sample.collect()
+    assert totals.tolist() == [10, 10]
+    assert [sum(r["y"] == k for r in rows) for k in (0, 1)] == [6, 10]
+    assert len({r["doc_id"] for r in rows}) == len(rows)
+    assert [r["text"] for r in rows if r["doc_id"] == 7] == ["a text"]
