@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import guard as X
 from ..session import ensure_checkpoint_dir
 from ..streaming.guard_stream import start_guard
-from ..streaming.turn_stream import TURN_SCHEMA, start_turns
+from ..streaming.turn_stream import LINK, latest, start_turns, with_row_state
+from ..streaming.turn_stream import utterance_stream as versions_of
 from . import adapters as A
 from . import graphs as G
 from .registry import query
@@ -190,21 +191,71 @@ def guard_stream(spark, d):
     return g.select("reply_id", F.md5("clean").alias("clean_md5"), F.size("removed").cast("bigint").alias("n_removed"), "crisis")
 
 
-@query("R1 R2 R4", f"""
+# In half of the sessions every twentieth number is passed over; in half some turns come two hours late; some turns come again.
+_NUMBER = "turn_index - 1 + CASE WHEN CAST(session_id AS BIGINT) % 4 >= 2 THEN {div} ELSE 0 END"
+_DELAYED = "(CAST(session_id AS BIGINT) % 2 = 1 AND (turn_index - 1) % 17 = 9)"
+_AGAIN = "(turn_index - 1) % 11 = 2"
+# Class -> predicate and class of the node (number 1) that a turn links its candidate to.
+_LINKS = {"Situation": ("triggers", "AutomaticThought"), "AutomaticThought": ("associatedWith", "Problem"), "Goal": ("targetsProblem", "Problem")}
+_LINKS_SQL = ", ".join(f"('{s}', '{p}', '{o}')" for s, (p, o) in _LINKS.items())
+
+
+@query("R1 R2", f"""
 WITH {G.EVENTS_SQL},
-first_ AS (SELECT session_id, turn_index, sum(CASE WHEN n.ord = e.turn_index THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn_index) - CASE WHEN n.ord = e.turn_index THEN 1 ELSE 0 END AS n_before, e.label, n.node_id
-  FROM en e JOIN nodes n USING (session_id, node_id))
-SELECT session_id, turn_index, CAST(n_before AS BIGINT) AS n_before, label, node_id FROM first_""")
+o AS (SELECT session_id, label, text, {_NUMBER.format(div="(turn_index - 1) // 20")} AS turn_index, {_DELAYED} AS delayed FROM ev2),
+p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY delayed, turn_index) AS place,
+    max(CASE WHEN NOT delayed THEN turn_index END) OVER (PARTITION BY session_id) AS upto FROM o),
+h AS (SELECT session_id, label, text, min(place) AS head FROM p GROUP BY ALL),
+nn AS (SELECT *, {G._PREFIX_CASE} || '_' || row_number() OVER (PARTITION BY session_id, label ORDER BY head) AS node_id FROM h),
+t AS (SELECT p.session_id, p.turn_index, place, delayed AND turn_index < coalesce(upto, -1) AS late,
+    CAST(sum(CASE WHEN head = place THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY place) - CASE WHEN head = place THEN 1 ELSE 0 END AS BIGINT) AS n_before,
+    label, node_id FROM p JOIN nn USING (session_id, label, text)),
+fst AS (SELECT session_id, label AS object_label, min_by(node_id, head) AS object_id, min(head) AS since FROM nn GROUP BY ALL)
+SELECT session_id, turn_index, place, late, n_before, 'node' AS kind, label, node_id, CAST(NULL AS VARCHAR) AS object_id FROM t
+UNION ALL
+SELECT session_id, turn_index, place, late, n_before, 'edge', predicate, node_id, f.object_id
+FROM t JOIN (VALUES {_LINKS_SQL}) l(label, predicate, object_label) USING (label) JOIN fst f USING (session_id, object_label) WHERE since < place""")
 def turn_stream(spark, d):
-    """Every event as a streamed turn with one candidate, written in several files so that
-    turns arrive out of order; the nodes equal those of the batch merge."""
+    """Every event as a streamed turn with a candidate and a link: numbers from 0 with gaps, turns
+    that come late and turns that come again."""
     ev = A.events(spark, d)
+    link = lambda p, o: F.array(F.struct(F.lit(1).alias("subject"), F.lit(p).alias("predicate"), F.lit(o).alias("object_label"),
+                                         F.lit(1).alias("object"), F.lit("omit").alias("reported_intensity")))
+    links = F.lit(None).cast(f"array<{LINK}>")
+    for label, (predicate, target) in _LINKS.items():
+        links = F.when(F.col("label") == label, link(predicate, target)).otherwise(links)
     k = F.col("k").cast("int") % 10
-    turns = ev.select("session_id", "turn_index", F.array(F.struct("label", "text")).alias("candidates"),
-                      F.lit(None).cast("string").alias("technique"),
-                      F.when(k == 3, "Technique").when(k == 7, "Consolidation").alias("model_phase"))
-    src, out, ck = (_folder(spark, n) for n in ("turns", "turn-out", "turn-offsets"))
-    turns.repartition(4, "turn_index").write.parquet(src)
-    stream = spark.readStream.schema(TURN_SCHEMA).option("maxFilesPerTrigger", 2).parquet(src)
-    start_turns(stream, out, ck).awaitTermination()
-    return spark.read.parquet(out).select("session_id", "turn_index", "n_before", "label", "node_id")
+    turns = ev.select(
+        "session_id", F.expr(_NUMBER.format(div="(turn_index - 1) div 20")).alias("turn_index"), F.array(F.struct("label", "text")).alias("candidates"),
+        links.alias("links"), F.lit(None).cast("string").alias("technique"),
+        F.when(k == 3, "Technique").when(k == 7, "Consolidation").alias("model_phase"),
+        F.expr(_DELAYED).alias("delayed"), F.expr(_AGAIN).alias("again"))
+    out, ck, src = (_folder(spark, n) for n in ("turn-out", "turn-offsets", "turns"))
+    on_time, late = turns.filter("not delayed"), turns.filter("delayed")
+    waves = [(on_time.unionByName(on_time.filter("again")), 0, False), (on_time.filter("again"), 1, False),
+             (late.unionByName(on_time.filter("again")), 2, True)]
+    for wave, hour, closes in waves:
+        at = F.lit(f"2024-01-01 0{hour}:00:00").cast("timestamp")
+        rows = wave.drop("delayed", "again").withColumns({"arrived": at, "closes": F.lit(closes)})
+        rows.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(rows.schema).parquet(src)
+        start_turns(stream, out, ck, first=0).awaitTermination()
+    return spark.read.parquet(out).select("session_id", "turn_index", "place", "late", "n_before", "kind", "label", "node_id", "object_id")
+
+
+@query("R4", """
+SELECT CAST(conv_id AS VARCHAR) AS session_id, 'utt_' || turn || CASE role WHEN 'user' THEN '' ELSE '_t' END AS node_id, md5(text || ' (said again)') AS text_md5
+FROM conversations""")
+def utterance_stream(spark, d):
+    """All messages as a stream of utterances: first as they are, an hour later with more words; the last row counts."""
+    said = A.positioned_turns(spark, d)
+    out, ck, src = (_folder(spark, n) for n in ("utterances", "utterance-offsets", "messages"))
+    for hour, text in enumerate((F.col("text"), F.concat("text", F.lit(" (said again)")))):
+        rows = said.withColumns({"text": text, "arrived": F.lit(f"2024-01-01 0{hour}:00:00").cast("timestamp")})
+        rows.write.mode("append").parquet(src)
+        with with_row_state(spark):
+            versions = versions_of(spark.readStream.schema(rows.schema).parquet(src))
+            q = (versions.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+                 .trigger(availableNow=True).start())
+        q.awaitTermination()
+    return latest(spark.read.parquet(out)).select("session_id", "node_id", F.md5("text").alias("text_md5"))

@@ -1,130 +1,358 @@
-"""Turns as a stream: ordered merge, phase and technique per session, in keyed state.
+"""Turns as a stream: ordered merge, properties, edges, phase and technique per session, in keyed state.
 
-Turns of one session must be applied in order, so the state of a session holds the turn
-expected next and a buffer for turns that arrive early.
+Turns of one session are applied in the order of their numbers.  State is rows: one per node,
+per edge, per turn that waits and per range of numbers that were passed over, so a turn reads and
+writes a few rows of a large session, not one document.
+
+* Order: a turn that follows the last one applied is applied at once; others wait.
+* First number and gaps come from the data: what waits is applied, in order, when ``patience`` has
+  passed since it arrived (a timer on the arrival time's watermark), or at once when a turn closes
+  the session.  Nothing waits for ever.
+* Late turns: a turn whose number was passed over is worked in when it comes and marked ``late``;
+  it corrects the graph, not the phases and techniques that were reported meanwhile.
+* Repeats: a number that waits or was applied is ignored.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from .. import ontology as O
+from ..functions import props as P
 from ..operators.merge import THRESHOLD
 from ..operators.phases import consolidation_turns
 
-# One row per turn: what was found in it and what the model reported.
+# One row per turn: what was found in it and what the model reported.  Optional further columns:
+# candidates may carry ``props`` (a map); ``links``, ``arrived`` (when the turn came in) and ``closes``.
 TURN_SCHEMA = ("session_id string, turn_index bigint, candidates array<struct<label:string,text:string>>, "
                "technique string, model_phase string")
-OUT_SCHEMA = ("session_id string, turn_index bigint, phase string, technique string, n_before bigint, "
-              "label string, node_id string, text string")
-STATE_SCHEMA = "doc string"
+# A link: the candidate of this turn (from 1), a predicate, and a node by class and number.
+LINK = "struct<subject:int,predicate:string,object_label:string,object:int,reported_intensity:string>"
+ENTRIES = "array<struct<key:string,value:string>>"
+CANDIDATES = f"array<struct<label:string,text:string,props:{ENTRIES}>>"
+OUT_SCHEMA = (f"session_id string, turn_index bigint, place bigint, late boolean, phase string, technique string, "
+              f"n_before bigint, kind string, label string, node_id string, object_id string, text string, props {ENTRIES}")
+WAITING = f"arrived bigint, candidates {CANDIDATES}, links array<{LINK}>, technique string, model_phase string"
+LOWEST = -(1 << 62)
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _fresh() -> dict:
-    return {"next": 1, "early": {}, "nodes": [], "count": {}, "phase": 0, "technique": O.INITIAL_TECHNIQUE}
+def _gated(label: str, props: dict[str, str]) -> dict[str, str]:
+    """The column form's rule (``functions.props.gate``) for the one node in hand."""
+    shut = {prop for lab, prop, key, value in P.GATES if lab == label and props.get(key, "") != value}
+    kept = {k: v for k, v in props.items() if k not in shut}
+    return {key: value for lab, key, value in P.DEFAULTS if lab == label} | kept
 
 
-def _apply_turn(state: dict, turn: dict) -> list[tuple]:
-    """Apply one turn in place; returns its output rows.
+def _plain(value):
+    """Nested values as lists and tuples: structs come in as dicts and out of the state as rows."""
+    if isinstance(value, dict):
+        return tuple(map(_plain, value.values()))
+    if isinstance(value, tuple):
+        return tuple(map(_plain, value))
+    return [_plain(v) for v in value] if isinstance(value, list) else value
 
-    ``n_before`` is the number of nodes the reply of this turn could know about: the
-    state before the turn's own words were worked in.
-    """
-    num, den = THRESHOLD
-    before, found = len(state["nodes"]), []
-    for label, text in turn["candidates"]:
-        tokens = set(text.lower().split())
-        hit = None
-        for node in state["nodes"]:
-            if node[1] != label:
-                continue
-            other = set(node[2].lower().split())
+
+class _Session:
+    """What the state holds of one session, read once per call; at its end the rows that changed are written."""
+
+    def __init__(self, p: TurnProcessor):
+        self.p = p
+        head = p.head.get() if p.head.exists() else (None, 0, 0, O.INITIAL_TECHNIQUE)
+        self.last, self.place, self.phase, self.technique = head
+        self.early = {k[0]: _plain(tuple(v)) for k, v in p.early.iterator()}
+        self.gaps = {k[0]: v[0] for k, v in p.gaps.iterator()}
+        self.stored = {"early": set(self.early), "gaps": set(self.gaps)}
+        self.nodes: dict[str, list] = {}
+        found = sorted((k[0], k[1], v[0], v[1]) for k, v in p.nodes.iterator())
+        for label, _, text, props in found:
+            self.nodes.setdefault(label, []).append([text, {e[0]: e[1] for e in props or []}])
+        self.edges = {tuple(k): v[0] for k, v in p.edges.iterator()}
+        self.late: list[tuple[int, tuple]] = []
+        # Keys of rows that differ from the state, by table.
+        self.changed = {name: set() for name in ("nodes", "edges", "early", "gaps")}
+
+    def take(self, turn: int, row: tuple) -> None:
+        """Let a turn wait, or note it as late; ignore it if it is known."""
+        if self.last is None or turn > self.last:
+            if turn not in self.early:
+                self.early[turn] = row
+                self.changed["early"].add(turn)
+            return
+        low = next((a for a, b in self.gaps.items() if a <= turn <= b), None)
+        if low is None:
+            return
+        high = self.gaps.pop(low)
+        self.changed["gaps"].add(low)
+        for a, b in ((low, turn - 1), (turn + 1, high)):
+            if a <= b:
+                self._passed_over(a, b)
+        self.late.append((turn, row))
+
+    def _passed_over(self, low: int, high: int) -> None:
+        self.gaps[low] = high
+        self.changed["gaps"].add(low)
+
+    def run(self, key: tuple, flush: int | None) -> Iterator[Row]:
+        """Apply late turns, then what is in order or to be flushed up to a number."""
+        for turn, row in sorted(self.late, key=lambda x: x[0]):
+            yield from self._applied(key[0], turn, row, True)
+        while self.early:
+            turn = min(self.early)
+            due = self.p.first if self.last is None else self.last + 1
+            if not ((due is not None and turn <= due) or (flush is not None and turn <= flush)):
+                break
+            low = LOWEST if self.last is None else self.last + 1
+            if low < turn:
+                self._passed_over(low, turn - 1)
+            row = self.early.pop(turn)
+            self.changed["early"].add(turn)
+            self.last = turn
+            yield from self._applied(key[0], turn, row, False)
+        self._write()
+
+    def _write(self) -> None:
+        p = self.p
+        p.head.update((self.last, self.place, self.phase, self.technique))
+        for label, number in self.changed["nodes"]:
+            text, props = self.nodes[label][number - 1]
+            p.nodes.updateValue((label, number), (text, sorted(props.items())))
+        for key in self.changed["edges"]:
+            p.edges.updateValue(key, (self.edges[key],))
+        for name in ("early", "gaps"):
+            rows, table = getattr(self, name), getattr(p, name)
+            for key in self.changed[name]:
+                if key in rows:
+                    table.updateValue((key,), rows[key] if name == "early" else (rows[key],))
+                elif key in self.stored[name]:
+                    table.removeKey((key,))
+        # One timer for all turns that came at one time.
+        for arrived in {self.early[t][0] for t in self.changed["early"] if t in self.early}:
+            p.handle.registerTimer(arrived + p.patience)
+
+    def _applied(self, session: str, turn: int, row: tuple, late: bool) -> Iterator[Row]:
+        """``n_before`` counts the nodes that the reply of this turn could know about: the state
+        before the turn's own words were worked in."""
+        _, candidates, links, technique, model_phase = row
+        before, rows, own = sum(map(len, self.nodes.values())), [], []
+        for label, text, props in candidates or []:
+            number, node = self._merged(label, text, {k: v for k, v in props or [] if v})
+            own.append((label, number))
+            rows.append(("node", label, f"{O.ID_PREFIX[label]}_{number}", None, text, sorted(node[1].items())))
+        for subject, predicate, object_label, number, intensity in links or []:
+            if 1 <= subject <= len(own) and self._linked(own[subject - 1], predicate, object_label, number, intensity):
+                a, b = own[subject - 1], (object_label, number)
+                rows.append(("edge", predicate, *[f"{O.ID_PREFIX[l]}_{n}" for l, n in (a, b)], intensity, None))
+        if not late:
+            self.technique = technique or self.technique
+            self._advance(turn, model_phase)
+        self.place += 1
+        for kind, label, node_id, object_id, text, props in rows or [("turn", None, None, None, None, None)]:
+            yield Row(session_id=session, turn_index=turn, place=self.place, late=late, phase=O.PHASES[self.phase],
+                      technique=self.technique, n_before=before, kind=kind, label=label, node_id=node_id,
+                      object_id=object_id, text=text, props=props)
+
+    def _merged(self, label: str, text: str, props: dict[str, str]) -> tuple[int, list]:
+        """The first node of the class whose latest text is similar and whose category agrees, or a new one."""
+        num, den = THRESHOLD
+        tokens, nodes = set(text.lower().split()), self.nodes.setdefault(label, [])
+        for number, node in enumerate(nodes, 1):
+            other = set(node[0].lower().split())
             if tokens and other and len(tokens & other) * (num + den) > (len(tokens) + len(other)) * num:
-                hit = node
+                a, b = node[1].get("category"), props.get("category")
+                if label == "CoreBelief" and a and b and a != b:
+                    continue
                 break
-        if hit is None:
-            n = state["count"].get(label, 0) + 1
-            state["count"][label] = n
-            hit = [f"{O.ID_PREFIX[label]}_{n}", label, text]
-            state["nodes"].append(hit)
-        hit[2] = text
-        found.append((label, hit[0], text))
-    if turn["technique"]:
-        state["technique"] = turn["technique"]
-    nxt = min(state["phase"] + 1, len(O.PHASES) - 1)
-    want = max(nxt, O.PHASES.index(turn["model_phase"]) if turn["model_phase"] in O.PHASES else -1)
-    if want > state["phase"]:
-        name = O.PHASES[want]
-        if turn["turn_index"] >= O.PHASE_MIN_TURN[name] and all(
-                state["count"].get(c) for c in O.PHASE_REQUIRES[name]):
-            state["phase"] = want
-    head = (turn["turn_index"], O.PHASES[state["phase"]], state["technique"], before)
-    return [(*head, *f) for f in found] or [(*head, None, None, None)]
-
-
-def _session(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    s = json.loads(state.get[0]) if state.exists else _fresh()
-    out = []
-    for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            if r.turn_index >= s["next"]:
-                found = [(c["label"], c["text"]) for c in (r.candidates if r.candidates is not None else [])]
-                s["early"].setdefault(str(r.turn_index), {
-                    "turn_index": int(r.turn_index), "candidates": found,
-                    "technique": r.technique or None, "model_phase": r.model_phase or None})
-    while str(s["next"]) in s["early"]:
-        out += _apply_turn(s, s["early"].pop(str(s["next"])))
-        s["next"] += 1
-    state.update((json.dumps(s),))
-    rows = [(key[0], *o) for o in out]
-    yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in OUT_SCHEMA.split(", ")]).astype(
-        {"turn_index": "int64", "n_before": "int64"})
-
-
-def turn_stream(turns: DataFrame) -> DataFrame:
-    """Nodes, phase and technique per applied turn; see TURN_SCHEMA and OUT_SCHEMA.
-
-    A turn seen twice, or after it was applied, is ignored.
+        else:
+            node, number = ["", {}], len(nodes) + 1
+            nodes.append(node)
+        node[0], node[1] = text, _gated(label, node[1] | props)
+        self.changed["nodes"].add((label, number))
+        return number, node
+
+    def _linked(self, subject: tuple[str, int], predicate: str, label: str, number: int, intensity: str | None) -> bool:
+        if (subject[0], predicate, label) not in self.p.signatures or not 1 <= number <= len(self.nodes.get(label, [])):
+            return False
+        key = (*[f"{O.ID_PREFIX[l]}_{n}" for l, n in (subject, (label, number))], predicate)
+        if key[0] == key[1]:
+            return False
+        self.edges[key] = intensity or self.edges.get(key)
+        self.changed["edges"].add(key)
+        return True
+
+    def _advance(self, turn: int, model_phase: str | None) -> None:
+        nxt = min(self.phase + 1, len(O.PHASES) - 1)
+        want = max(nxt, O.PHASES.index(model_phase) if model_phase in O.PHASES else -1)
+        if want > self.phase:
+            name = O.PHASES[want]
+            if turn >= O.PHASE_MIN_TURN[name] and all(self.nodes.get(c) for c in O.PHASE_REQUIRES[name]):
+                self.phase = want
+
+
+class TurnProcessor(StatefulProcessor):
+    """first: number of a session's first turn, if it is known; patience: milliseconds."""
+
+    def __init__(self, first: int | None, patience: int, signatures: set[tuple[str, str, str]]):
+        self.first, self.patience, self.signatures = first, patience, signatures
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", "last bigint, place bigint, phase int, technique string")
+        self.nodes = handle.getMapState("nodes", "label string, number int", f"text string, props {ENTRIES}")
+        self.edges = handle.getMapState("edges", "subject string, object string, predicate string", "intensity string")
+        self.early = handle.getMapState("early", "turn_index bigint", WAITING)
+        self.gaps = handle.getMapState("gaps", "low bigint", "high bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        session, flush = _Session(self), None
+        for r in rows:
+            session.take(r.turn_index, _plain((r.arrived_ms, r.candidates, r.links, r.technique, r.model_phase)))
+            if r.closes:
+                flush = 1 << 62
+        yield from session.run(key, flush)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        session, now = _Session(self), expiredTimerInfo.getExpiryTimeInMs()
+        waited = [turn for turn, row in session.early.items() if row[0] + self.patience <= now]
+        if waited:
+            yield from session.run(key, max(waited))
+
+    def close(self) -> None:
+        pass
+
+
+def turn_stream(turns: DataFrame, first: int | None = 1, patience: str = "10 minutes",
+                ontology: O.Ontology | None = None) -> DataFrame:
+    """Nodes, edges, phase and technique per applied turn; see TURN_SCHEMA and OUT_SCHEMA.
+
+    ``place`` numbers the turns of a session as they were applied.  The stream needs the RocksDB
+    state store (``start_turns`` sees to that).
     """
-    return turns.groupBy("session_id").applyInPandasWithState(
-        _session, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    have, onto = set(turns.columns), ontology or O.Ontology.of()
+    if "arrived" not in have:
+        turns = turns.withColumn("arrived", F.current_timestamp())
+    for name, kind in (("links", f"array<{LINK}>"), ("closes", "boolean")):
+        if name not in have:
+            turns = turns.withColumn(name, F.lit(None).cast(kind))
+    with_props = "props" in turns.schema["candidates"].dataType.elementType.names
+    none = F.lit(None).cast(ENTRIES)
+    candidates = F.transform("candidates", lambda c: F.struct(
+        c["label"].alias("label"), c["text"].alias("text"), (F.map_entries(c["props"]) if with_props else none).alias("props")))
+    rows = turns.select("session_id", F.col("turn_index").cast("bigint").alias("turn_index"), "arrived", F.unix_millis("arrived").alias("arrived_ms"),
+                        "closes", candidates.cast(CANDIDATES).alias("candidates"), "links", F.nullif("technique", F.lit("")).alias("technique"),
+                        "model_phase").withWatermark("arrived", "0 seconds")
+    # Arrival times never run back, so no turn is late for the watermark, however old its number.
+    signatures = {tuple(f) for f in [*onto.families, O.REINFORCES]}
+    out = rows.groupBy("session_id").transformWithState(
+        TurnProcessor(first, _milliseconds(patience), signatures), OUT_SCHEMA, "Append", "EventTime")
+    return out.withColumn("props", F.map_from_entries("props"))
 
 
-def utterance_stream(turns: DataFrame) -> DataFrame:
-    """Utterance rows of a stream of turns, each id once."""
+_UNITS = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
+
+
+def _milliseconds(duration: str) -> int:
+    number, unit = duration.split()
+    return int(float(number) * _UNITS[unit.rstrip("s")])
+
+
+class Utterances(StatefulProcessor):
+    """The last text of each utterance; state goes when ``keep`` has passed since it came."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.text = handle.getValueState("text", "arrived bigint, text string, version bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.text.get() if self.text.exists() else (None, None, 0)
+        last = max(((r.arrived_ms, r.text or "", r) for r in rows), key=lambda x: x[:2])[2]
+        if known[0] is not None and last.arrived_ms < known[0]:
+            return
+        changed = known[0] is None or known[1] != last.text
+        version = known[2] + changed
+        self.text.update((last.arrived_ms, last.text, version))
+        self.handle.registerTimer(last.arrived_ms + self.keep)
+        if changed:
+            yield Row(session_id=key[0], node_id=key[1], turn_index=last.turn_index, speaker=last.speaker, text=last.text,
+                      version=version)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.text.get() if self.text.exists() else None
+        if known and known[0] + self.keep <= expiredTimerInfo.getExpiryTimeInMs():
+            self.text.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def utterance_stream(turns: DataFrame, keep: str = "1 day") -> DataFrame:
+    """Utterance rows of a stream of turns: a new version of an id whenever its text changes.
+
+    Of rows with one id the last to arrive counts (``arrived``; of equal times the largest text).  An
+    id is forgotten when nothing came for ``keep``; ``latest`` picks the versions that count.
+    """
+    if "arrived" not in turns.columns:
+        turns = turns.withColumn("arrived", F.current_timestamp())
     node = F.concat(F.lit("utt_"), F.col("turn_index").cast("string"),
                     F.when(F.col("speaker") == "client", "").otherwise("_t"))
-    return turns.select("session_id", node.alias("node_id"), "turn_index", "speaker", "text"
-                        ).dropDuplicates(["session_id", "node_id"])
+    rows = turns.select("session_id", node.alias("node_id"), F.col("turn_index").cast("bigint").alias("turn_index"), "speaker", "text",
+                        "arrived", F.unix_millis("arrived").alias("arrived_ms")).withWatermark("arrived", "0 seconds")
+    return rows.groupBy("session_id", "node_id").transformWithState(
+        Utterances(_milliseconds(keep)), "session_id string, node_id string, turn_index bigint, speaker string, text string, version bigint",
+        "Append", "EventTime")
+
+
+def latest(utterances: DataFrame) -> DataFrame:
+    """Stored versions of utterances to one row per id."""
+    newest = F.max_by(F.struct("turn_index", "speaker", "text"), "version").alias("u")
+    return utterances.groupBy("session_id", "node_id").agg(newest).select("session_id", "node_id", "u.*")
+
+
+def with_row_state(spark):
+    """A context in which streams are started on the RocksDB state store, which holds state by rows."""
+    from contextlib import contextmanager
+
+    @contextmanager
+    def store():
+        before = spark.conf.get(_PROVIDER, None)
+        spark.conf.set(_PROVIDER, ROCKS)
+        try:
+            yield
+        finally:
+            spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+    return store()
 
 
 def start_turns(turns: DataFrame, out_path: str, checkpoint: str,
-                wide_pass: Callable[[DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:
+                wide_pass: Callable[[DataFrame, int], None] | None = None, first: int | None = 1,
+                patience: str = "10 minutes", ontology: O.Ontology | None = None, **trigger) -> StreamingQuery:
     """Run the turn stream into parquet, one folder per micro-batch.
 
     ``wide_pass`` is called with the sessions (session_id, turn_index) that have just
     crossed a consolidation turn; it is a batch job over their stored transcripts.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            batch.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-            if wide_pass is not None:
-                due = consolidation_turns(batch)
-                if not due.isEmpty():
-                    wide_pass(due, batch_id)
-        finally:
-            batch.unpersist()
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        if wide_pass is not None:
+            # What was written is what was applied; the batch is not worked out again.
+            stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{out_path}/batch={batch_id}")
+            due = consolidation_turns(stored)
+            if not due.isEmpty():
+                wide_pass(due, batch_id)
 
-    return (turn_stream(turns).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).start())
+    out = turn_stream(turns, first, patience, ontology)
+    with with_row_state(turns.sparkSession):
+        return (out.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+                .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def transcripts_due(turns: DataFrame, due: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+import os
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from dialoggraph import ontology as O
@@ -5,7 +8,7 @@ from dialoggraph.operators import guard as X
 from dialoggraph.operators import merge as M
 from dialoggraph.operators import phases as H
 from dialoggraph.streaming.guard_stream import start_guard
-from dialoggraph.streaming.turn_stream import TURN_SCHEMA, start_turns, transcripts_due, utterance_stream
+from dialoggraph.streaming.turn_stream import TURN_SCHEMA, latest, start_turns, transcripts_due, utterance_stream, with_row_state
 
 TURNS = [("s", 1, [("Problem", "work stress")], None, None), ("s", 2, [], "Assessment", None),
          ("s", 3, [("Situation", "exam tomorrow")], None, "Technique"), ("s", 4, [("Situation", "exam tomorrow morning")], None, None),
@@ -55,13 +58,70 @@ def test_guard_stream_equals_batch(spark, tmp_path):
     assert sorted(r.reply_id for r in spark.read.json(str(tmp_path / "log")).collect()) == [1, 3]
 
 
-def test_utterance_stream_keeps_each_id_once(spark, tmp_path):
-    df = spark.createDataFrame([("s", 1, "client", "a"), ("s", 1, "therapist", "b"), ("s", 1, "client", "a")], "session_id string, turn_index bigint, speaker string, text string")
-    df.write.parquet(str(tmp_path / "in"))
-    stream = utterance_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("utts").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+def _files(spark, path, schema, parts):
+    """One file per part, in order of arrival."""
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(path / f"f={i}"))
+        os.utime(next((path / f"f={i}").glob("*.parquet")), (1_700_000_000 + i, 1_700_000_000 + i))
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(path)))
+
+
+def test_utterance_stream_keeps_the_last_row_of_each_id(spark, tmp_path):
+    schema = "session_id string, turn_index bigint, speaker string, text string, arrived timestamp"
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    parts = [[("s", 1, "client", "a", at(0)), ("s", 1, "therapist", "b", at(0)), ("s", 1, "client", "b", at(1))],
+             [("s", 1, "client", "c", at(2)), ("s", 1, "therapist", "b", at(2))], [("t", 1, "client", "z", at(200))],
+             [("t", 1, "client", "z", at(201))], [("s", 1, "client", "new", at(202))]]
+    stream = utterance_stream(_files(spark, tmp_path / "in", schema, parts), keep="1 hour")
+    with with_row_state(spark):
+        q = (stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck"))
+             .trigger(availableNow=True).start())
     q.awaitTermination()
-    assert sorted(r.node_id for r in spark.sql("select * from utts").collect()) == ["utt_1", "utt_1_t"]
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    # Forgotten after an hour: the last text of s starts anew at version 1.
+    assert sorted((r.session_id, r.node_id, r.text, r.version) for r in rows.collect()) == [
+        ("s", "utt_1", "b", 1), ("s", "utt_1", "c", 2), ("s", "utt_1", "new", 1), ("s", "utt_1_t", "b", 1), ("t", "utt_1", "z", 1)]
+    kept = latest(rows.filter("text <> 'new'"))
+    assert sorted((r.session_id, r.node_id, r.text) for r in kept.collect()) == [("s", "utt_1", "c"), ("s", "utt_1_t", "b"), ("t", "utt_1", "z")]
+
+
+FULL = ("session_id string, turn_index bigint, arrived timestamp, closes boolean, "
+        "candidates array<struct<label:string,text:string,props:map<string,string>>>, "
+        "links array<struct<subject:int,predicate:string,object_label:string,object:int,reported_intensity:string>>, "
+        "technique string, model_phase string")
+
+
+def test_turn_stream_gaps_late_turns_properties_and_edges(spark, tmp_path):
+    """First number from the data, a gap flushed by its timer, a late turn as a correction, repeats ignored."""
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    belief = lambda t, c: ("CoreBelief", t, {"domain": "self", "category": c})
+    turn = lambda s, n, m, cands=(), links=(), closes=False: (s, n, at(m), closes, list(cands), list(links), None, None)
+    parts = [
+        [turn("s", 0, 0, [("Situation", "exam tomorrow", {"kind": ""})]), turn("s", 2, 1, [belief("I am a failure", "worthless")]),
+         turn("g", 5, 0, [("Goal", "rest", {})])],
+        [turn("s", 3, 2, [("AutomaticThought", "I will fail", {})], [(1, "stemsFrom", "CoreBelief", 1, None), (1, "stemsFrom", "CoreBelief", 9, None),
+                                                                    (1, "triggers", "CoreBelief", 1, None)])],
+        [turn("x", 1, 30)], [turn("x", 1, 31)],  # half an hour later: the gap at 1 has had its time
+        [turn("s", 1, 31, [belief("I am a failure today", "unlovable"), ("Reaction", "sad", {"channel": "behavioral", "valence": "negative"})]),
+         turn("s", 2, 31, [("Problem", "again", {})])],
+        [turn("s", 4, 32, [("Situation", "exam tomorrow morning", {"kind": "memory"})], [(1, "triggers", "AutomaticThought", 1, "8/10")]),
+         turn("s", 6, 32, [("Problem", "late", {})], closes=True), turn("x", 1, 33, closes=True)],
+    ]
+    stream = _files(spark, tmp_path / "in", FULL, parts)
+    start_turns(stream, str(tmp_path / "out"), str(tmp_path / "ck"), first=0).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    got = sorted((r.session_id, r.place, r.turn_index, r.late, r.kind, r.label or "", r.node_id or "", r.object_id or "") for r in rows)
+    assert got == [
+        ("g", 1, 5, False, "node", "Goal", "goal_1", ""),
+        ("s", 1, 0, False, "node", "Situation", "sit_1", ""), ("s", 2, 2, False, "node", "CoreBelief", "cb_1", ""),
+        ("s", 3, 3, False, "edge", "stemsFrom", "at_1", "cb_1"), ("s", 3, 3, False, "node", "AutomaticThought", "at_1", ""),
+        ("s", 4, 1, True, "node", "CoreBelief", "cb_2", ""), ("s", 4, 1, True, "node", "Reaction", "react_1", ""),
+        ("s", 5, 4, False, "edge", "triggers", "sit_1", "at_1"), ("s", 5, 4, False, "node", "Situation", "sit_1", ""),
+        ("s", 6, 6, False, "node", "Problem", "prob_1", ""), ("x", 1, 1, False, "turn", "", "", "")]
+    props = {(r.node_id, r.turn_index): r.props for r in rows if r.kind == "node"}
+    assert props["sit_1", 0] == {} and props["sit_1", 4] == {"kind": "memory"}
+    assert props["cb_2", 1] == {"domain": "self", "category": "unlovable"}
+    assert props["at_1", 3] == {"modality": "verbal"} and props["react_1", 1] == {"channel": "behavioral"}
 
 
 def test_transcripts_due(spark):
