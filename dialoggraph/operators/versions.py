@@ -5,12 +5,12 @@ Nothing is updated in place: edits are rows, and a state is a query over them.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_space
 from ..session import cut
+from ..sources.store import exists, merged_sessions
 from .graph import edge_id, empty_map
 
 MAX_CHECKPOINTS = 40
@@ -71,17 +71,15 @@ def write_replacing(df: DataFrame, path: str) -> None:
 
     Sessions are grouped into a fixed number of folders, as a folder per session would not
     scale.  The folders that ``df`` touches are read, merged, written aside, and then put
-    in place of the old ones.
+    in place of the old ones.  Columns go by name, also those that only one side has.
+    ``sources.store.SessionStore`` also survives a write that is killed half way.
     """
     spark = df.sparkSession
     new = df.withColumn("bucket", session_bucket())
-    try:
-        stored = spark.read.parquet(path).select(*new.columns)
-    except AnalysisException:  # nothing is stored yet
-        stored = None
-    if stored is not None:
-        touched = stored.join(new.select("bucket").distinct(), "bucket", "left_semi").select(*new.columns)
-        new = cut(replace_graph(touched, new))
+    if exists(spark, path):
+        stored = spark.read.option("mergeSchema", "true").parquet(path)
+        touched = stored.join(new.select("bucket").distinct(), "bucket", "left_semi")
+        new = cut(merged_sessions(touched, new))
     (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import ontology as O
@@ -9,9 +11,10 @@ from ..functions import props as P
 from ..operators import query as Q
 from ..operators import versions as V
 from ..operators.graph import Graph, edge_id, empty_map
-from ..session import cut
+from ..session import cut, ensure_checkpoint_dir
 from ..sources import readers as RD
 from ..sources import writers as W
+from ..sources.store import SessionStore
 from . import adapters as A
 from . import graphs as G
 from .registry import query
@@ -223,6 +226,31 @@ def replaced_graphs(spark, d):
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "Goal").alias("n_goals"))
 
 
+@query("V4", """
+WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS turn_index, md5(text) AS text_md5, conv_id FROM conversations)
+SELECT session_id, turn_index, text_md5, CASE WHEN conv_id % 3 = 0 THEN 'second' END AS note FROM t WHERE conv_id % 3 <> 0 OR turn_index > 0
+UNION ALL SELECT DISTINCT session_id || '/new', CAST(0 AS BIGINT), md5('opened'), 'second' FROM t WHERE conv_id % 5 = 0""")
+def replaced_store(spark, d):
+    """All turns stored; every third session replaced by one without its first turn, and new sessions
+    opened, by rows with a further column; a write that fails in between changes nothing."""
+    turns = A.positioned_turns(spark, d).select("session_id", "turn_index", F.md5("text").alias("text_md5"))
+    store = SessionStore(spark, f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}", buckets=16)
+    store.replace(turns)
+    number = F.col("session_id").cast("bigint")
+    broken = turns.withColumn("text_md5", F.when(F.col("turn_index") >= 0, F.raise_error(F.lit("the writer is lost"))))
+    try:
+        store.replace(broken.select("session_id", "turn_index", F.col("text_md5").cast("string").alias("text_md5")))
+    except Exception as e:  # noqa: BLE001 - whatever the writer died of, the store must not show it
+        if "the writer is lost" not in str(e):
+            raise
+    third = turns.filter((number % 3 == 0) & (F.col("turn_index") > 0))
+    opened = turns.filter(number % 5 == 0).select(
+        F.concat("session_id", F.lit("/new")).alias("session_id"), F.lit(0).cast("bigint").alias("turn_index"),
+        F.md5(F.lit("opened")).alias("text_md5")).distinct()
+    store.replace(third.unionByName(opened).withColumn("note", F.lit("second")))
+    return store.read().select("session_id", "turn_index", "text_md5", "note")
+
+
 @query("V5", f"""
 WITH {G.EVENTS_SQL},
 old AS (SELECT session_id, node_id, CASE WHEN last_turn % 3 = 0 THEN 'missing' ELSE 'found' END AS status, ord FROM nodes),

@@ -8,6 +8,7 @@ from dialoggraph.operators import candidates as C
 from dialoggraph.operators import guard as X
 from dialoggraph.operators import turns as T
 from dialoggraph.operators import versions as V
+from dialoggraph.sources.store import ConcurrentWrite, SessionStore
 
 CANDS = ("session_id string, cand_id long, label string, text string, group_key string, props map<string,string>, "
          "batch int, item int")
@@ -72,3 +73,27 @@ def test_other_sessions_stay_stored(spark, tmp_path):
 def test_no_nouns_means_the_default_nouns(spark):
     df = spark.createDataFrame([(0, "Contact the Northern Crisis Listening Centre.")], "reply_id int, text string")
     assert [r["removed"] for r in X.sanitise(df, X.GuardConfig(nouns=[])).collect()] != [[]]
+
+
+def test_a_further_column_loses_no_session(spark, tmp_path):
+    path = str(tmp_path / "store")
+    V.write_replacing(spark.range(2000).select(F.col("id").cast("string").alias("session_id"), F.lit(1).alias("v")), path)
+    V.write_replacing(spark.createDataFrame([("7", 2, "x")], "session_id string, v int, extra string"), path)
+    got = {r["session_id"]: (r["v"], r["extra"]) for r in spark.read.option("mergeSchema", "true").parquet(path).collect()}
+    assert len(got) == 2000 and got["7"] == (2, "x") and got["8"] == (1, None)
+
+
+def test_session_store_keeps_the_old_sessions_when_a_write_fails(spark, tmp_path):
+    store = SessionStore(spark, str(tmp_path / "store"), buckets=8)
+    assert store.read() is None
+    rows = spark.range(300).select(F.col("id").cast("string").alias("session_id"), F.lit(1).alias("v"))
+    assert store.replace(rows) == 1
+    with pytest.raises(Exception, match="lost"):
+        store.replace(rows.withColumn("v", F.when(F.col("session_id") == "5", F.raise_error(F.lit("lost"))).otherwise(2)))
+    assert {r["v"] for r in store.read().collect()} == {1} and store.read().count() == 300
+    assert store.replace(spark.createDataFrame([("5", 2, "x"), ("5", 3, "y")], "session_id string, v int, extra string")) == 2
+    got = store.read().collect()
+    assert len(got) == 301 and sorted((r["v"], r["extra"]) for r in got if r["session_id"] == "5") == [(2, "x"), (3, "y")]
+    with pytest.raises(ConcurrentWrite):
+        store._point(2, {})
+    assert store.read().count() == 301
