@@ -6,13 +6,19 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .. import ontology as O
+from ..functions import props as P
+from ..operators import candidates as C
 from ..operators import guard as X
 from ..session import ensure_checkpoint_dir
+from ..sources.store import SessionStore
 from ..streaming.guard_stream import start_guard
 from ..streaming.turn_stream import LINK, latest, start_turns, with_row_state
 from ..streaming.turn_stream import utterance_stream as versions_of
+from ..streaming.wide_pass import WidePass
 from . import adapters as A
 from . import graphs as G
+from .batch import whole_build
 from .registry import query
 
 CFG = X.GuardConfig(
@@ -259,3 +265,38 @@ def utterance_stream(spark, d):
                  .trigger(availableNow=True).start())
         q.awaitTermination()
     return latest(spark.read.parquet(out)).select("session_id", "node_id", F.md5("text").alias("text_md5"))
+
+
+@query("R3", f"""
+WITH {G.EVENTS_SQL},
+due AS (SELECT session_id, max(turn_index) // {O.CONSOLIDATE_EVERY} * {O.CONSOLIDATE_EVERY} AS upto FROM ev2 GROUP BY session_id HAVING max(turn_index) >= {O.CONSOLIDATE_EVERY}),
+seen AS (SELECT e.* FROM ev2 e JOIN due USING (session_id) WHERE turn_index <= upto),
+h AS (SELECT session_id, label, text, min(turn_index) AS head, count(*) AS n_evidence FROM seen GROUP BY ALL)
+SELECT session_id, {G._PREFIX_CASE} || '_' || row_number() OVER (PARTITION BY session_id, label ORDER BY head) AS node_id, label, text, n_evidence FROM h""")
+def wide_pass(spark, d):
+    """Every event as a streamed turn; sessions that cross a sixth turn are built anew from their
+    transcript so far.  The last batch is handed in again at the end and must change nothing."""
+    ev = A.events(spark, d)
+    said = ev.select("session_id", "turn_index", F.lit("client").alias("speaker"), F.concat("label", F.lit(": "), "text").alias("text"))
+    out, ck, src, kept, ledger = (_folder(spark, n) for n in ("wide-out", "wide-offsets", "wide-turns", "wide-store", "wide-ledger"))
+
+    def build(turns):
+        found = lambda t: C.line_candidates(t).withColumn("seq", F.col("line_no"))
+        return whole_build(turns, found).graph
+
+    work = WidePass(lambda: said, build, SessionStore(spark, kept, buckets=16), ledger)
+
+    rows = ev.select("session_id", "turn_index", F.array(F.struct("label", "text")).alias("candidates"),
+                     F.lit(None).cast("string").alias("technique"), F.lit(None).cast("string").alias("model_phase"))
+    for part in (rows.filter("turn_index <= 9"), rows.filter("turn_index > 9")):
+        part.write.mode("append").parquet(src)
+        start_turns(spark.readStream.schema(rows.schema).parquet(src), out, ck, wide_pass=work).awaitTermination()
+    before = work.store._pointer()[0]
+    work(spark.createDataFrame([], "session_id string, turn_index bigint"), 0)
+    if work.store._pointer()[0] != before:
+        raise AssertionError("a batch that is done was done again")
+    g = work.graph()
+    n = g.node_evidence.groupBy("session_id", F.col("owner_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n_evidence"))
+    content = g.nodes.filter(F.col("label").isin(*O.CONTENT_LABELS))
+    return content.join(n, ["session_id", "node_id"]).select(
+        "session_id", "node_id", "label", P.main_text(F.col("label"), F.col("props")).alias("text"), "n_evidence")

@@ -34,6 +34,31 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = files(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file that is there as a whole or not at all; False if another one is there already."""
+    folder, _, name = path.rpartition("/")
+    fs, aside = files(spark, f"{folder}/_{name}-{uuid.uuid4().hex}")
+    _, place = files(spark, path)
+    out = fs.create(aside, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if fs.exists(place) or not fs.rename(aside, place):
+        fs.delete(aside, False)
+        return False
+    return True
+
+
 def merged_sessions(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of new, and of all sessions that new does not have; columns by name, missing ones null."""
     kept = stored.join(new.select("session_id").distinct(), "session_id", "left_anti")
@@ -57,13 +82,7 @@ class SessionStore:
         last = max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith(("_", "."))), default=0)
         if not last:
             return 0, {}
-        _, p = files(self.spark, f"{self.path}/{POINTERS}/{last:012d}.json")
-        stream = fs.open(p)
-        try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return last, json.loads(text)
+        return last, json.loads(read_text(self.spark, f"{self.path}/{POINTERS}/{last:012d}.json"))
 
     def _read(self, versions: dict[str, str]) -> DataFrame | None:
         paths = [f"{self.path}/{v}/bucket={b}" for b, v in versions.items()]
@@ -89,13 +108,6 @@ class SessionStore:
         return number + 1
 
     def _point(self, number: int, versions: dict[str, str]) -> None:
-        fs, aside = files(self.spark, f"{self.path}/{POINTERS}/_{uuid.uuid4().hex}")
-        _, place = files(self.spark, f"{self.path}/{POINTERS}/{number:012d}.json")
-        out = fs.create(aside, False)
-        try:
-            out.write(bytearray(json.dumps(versions, sort_keys=True).encode()))
-        finally:
-            out.close()
-        if fs.exists(place) or not fs.rename(aside, place):
-            fs.delete(aside, False)
+        text = json.dumps(versions, sort_keys=True)
+        if not write_once(self.spark, f"{self.path}/{POINTERS}/{number:012d}.json", text):
             raise ConcurrentWrite(f"pointer {number} of {self.path} is taken")

@@ -1,3 +1,6 @@
+from dataclasses import replace
+
+import pytest
 from pyspark.sql import functions as F
 
 from dialoggraph import ontology as O
@@ -7,7 +10,8 @@ from dialoggraph.operators import evaluate as V
 from dialoggraph.operators import prompts as PR
 from dialoggraph.operators import query as Q
 from dialoggraph.operators import turns as T
-from dialoggraph.plans.batch import build_graph
+from dialoggraph.plans.batch import Answers, build_graph, whole_build
+from dialoggraph.plans.stages import StageGraph
 
 TURNS = [("s", 1, "client", "Situation: exam tomorrow\nAutomaticThought: I will fail"), ("s", 1, "therapist", "What then?"),
          ("s", 2, "client", "Situation: exam tomorrow morning\nReaction: so anxious\nGoal: pass"), ("s", 2, "therapist", ""),
@@ -65,3 +69,69 @@ def test_prompts(spark):
     assert "Question: what {happened}?" in PR.question_prompts(q, O.Ontology.of()).first().prompt
     a = spark.createDataFrame([("s", "Counts: Goal=1")], "session_id string, answer string")
     assert "Result:\nCounts: Goal=1" in PR.answer_prompts(q, a).first().prompt
+
+
+def lines(t):
+    return C.line_candidates(t).withColumn("seq", F.col("line_no"))
+
+
+def model(spark):
+    """Answers for every stage, from tables."""
+    frame = spark.createDataFrame
+    first = lambda df, cond, *cols: df.filter(cond).select("session_id", *cols)
+    return Answers(
+        session=lambda turns, cands: frame([("p0", "s", "CoreBelief", '[{"label": "CoreBelief", "text": "never enough", "evidence_turns": [1, 3, 99]}]'),
+                                            ("p1", "s", "CoreBelief", '[{"label": "CoreBelief", "text": "Never enough", "evidence_turns": [3, 1]}]'),
+                                            ("p2", "s", "Intervention", '[{"label": "Intervention", "text": "asks what then", "evidence_turns": [1]}]')],
+                                           "prompt_id string, session_id string, target string, raw string"),
+        split=lambda c: first(c, "text = 'I will fail'", "cand_id", F.lit('["I will fail maths", "so I am stupid"]').alias("raw")),
+        reword=lambda b: first(b, "label = 'Intervention'", "label", "batch", F.lit('[{"item": 1, "description": "guided discovery"}]').alias("raw")),
+        verdicts=lambda c: first(c, F.col("text").isin("pass", "so I am stupid"), "cand_id", F.when(F.col("text") == "pass", "drop").otherwise("reclassify").alias("verdict"),
+                                 F.lit("CoreBelief").alias("new_label"), F.lit("vague").alias("reason")),
+        subclasses=lambda c: first(c, "label = 'CoreBelief'", "cand_id", F.lit("self").alias("subclass")),
+        properties=lambda c: first(c, "text = 'so anxious'", "cand_id", F.lit("channel").alias("prop"), F.lit("emotional").alias("value"), F.lit("").alias("technique_label")),
+        edges=lambda n, l: n.filter("label = 'AutomaticThought'").select(
+            "session_id", F.col("node_id").alias("subject_id"), F.col("label").alias("subject_label"), F.lit(1).cast("bigint").alias("turn_index"), "ord",
+            F.lit("stemsFrom").alias("predicate"), F.explode(F.array(F.lit(1), F.lit(2))).alias("n"), F.lit(None).cast("string").alias("reported_intensity")),
+        reinforces=lambda l: l.filter("label = 'Reaction'").select("session_id", F.lit(1).cast("bigint").alias("ord"), F.col("n").alias("reaction"), F.lit(2).cast("bigint").alias("belief")),
+        edge_verdicts=lambda e: e.filter("edge_id = 'at_1__stemsFrom__cb_2'").select("session_id", "edge_id", F.lit(False).alias("keep")))
+
+
+def test_whole_build_goes_through_every_stage(spark):
+    b = whole_build(turns(spark), lines, model(spark))
+    got = {r.node_id: r for r in b.graph.nodes.filter("session_id = 's'").collect()}
+    text = lambda i: got[i].props[O.TEXT_PROP[got[i].label]]
+    assert text("at_1") == "I will fail maths" and text("intv_1") == "guided discovery"
+    assert {text("cb_1"), text("cb_2")} == {"so I am stupid", "never enough"} and "cb_3" not in got
+    assert got["cb_1"].props["domain"] == "self" and got["react_1"].props["channel"] == "emotional"
+    assert [(r.session_id, r.reason) for r in b.dropped_candidates.collect()] == [("s", "vague")] and "goal_1" not in got
+    belief = next(i for i in ("cb_1", "cb_2") if text(i) == "never enough")
+    assert {r.turn_index for r in b.graph.node_evidence.filter(F.col("owner_id") == belief).collect()} == {1, 3}
+    edges = {r.edge_id for r in b.graph.edges.filter("session_id = 's'").collect()}
+    assert {"at_1__stemsFrom__cb_1", "react_1__reinforces__cb_2", "session_1__hasIntervention__intv_1"} <= edges
+    assert "at_1__stemsFrom__cb_2" not in edges
+    assert V.conformance(b.graph.nodes, b.graph.edges).count() == 0
+
+
+def test_build_goes_on_behind_the_last_complete_stage(spark, tmp_path):
+    folder = str(tmp_path / "build")
+    good = model(spark)
+
+    def lost(c):
+        raise RuntimeError("the model is gone")
+
+    first = StageGraph(spark, folder, "v1")
+    with pytest.raises(RuntimeError):
+        whole_build(turns(spark), lines, replace(good, subclasses=lost), first)
+    assert first.made[-1] == "judged" and not first.reused
+    second = StageGraph(spark, folder, "v1")
+    again = whole_build(turns(spark), lines, good, second)
+    assert second.reused == first.made and second.made[0] == "subclassed"
+    third = StageGraph(spark, folder, "v1")
+    once_more = whole_build(turns(spark), lines, good, third)
+    assert not third.made
+    rows = lambda b: sorted(map(str, b.graph.nodes.collect())) + sorted(map(str, b.graph.edges.collect()))
+    assert rows(again) == rows(once_more) == rows(whole_build(turns(spark), lines, good))
+    fourth = StageGraph(spark, folder, "v2")
+    fourth.table("turns", lambda: turns(spark))
+    assert fourth.made == ["turns"]
