@@ -67,9 +67,9 @@ class Sparse:
         return out
 
 
-def collected(sample: DataFrame, features: Callable, n: int = 1) -> tuple[np.ndarray, list[Sparse]]:
-    """Labels and ``n`` sparse matrices of a bounded sample; features(batches) yields for each
-    block the labels and n lists of index arrays."""
+def feature_table(sample: DataFrame, features: Callable, n: int) -> DataFrame:
+    """y and n columns of feature numbers (32-bit integers) of a bounded sample, as a written table;
+    features(batches) yields for each block the labels and n lists of index arrays."""
     schema = pa.schema([("y", pa.int32())] + [(f"f{k}", pa.binary()) for k in range(n)])
 
     def rows(batches):
@@ -80,8 +80,30 @@ def collected(sample: DataFrame, features: Callable, n: int = 1) -> tuple[np.nda
 
     ddl = "y int, " + ", ".join(f"f{k} binary" for k in range(n))
     # Written by all tasks at once; then read back in a few parts, one at a time.
-    written = cut(sample.mapInArrow(rows, ddl)).coalesce(PARTS)
-    got = sorted((r["y"], *[bytes(r[f"f{k}"]) for k in range(n)]) for r in written.toLocalIterator())
+    return cut(sample.mapInArrow(rows, ddl)).coalesce(PARTS)
+
+
+def counted(table: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of each class, and in how many each feature of the first column stands."""
+    each, seen = np.zeros(2, np.int64), np.zeros((2, size), np.int32)
+    for r in table.select("y", "f0").toLocalIterator():
+        each[r["y"]] += 1
+        seen[r["y"], np.frombuffer(r["f0"], np.int32)] += 1
+    return each, seen
+
+
+def collected(table: DataFrame, n: int = 1, keep: np.ndarray | None = None) -> tuple[np.ndarray, list[Sparse]]:
+    """Labels and n sparse matrices of a feature table, rows sorted; with ``keep`` only those
+    features, numbered anew."""
+    number = None if keep is None else (np.cumsum(keep) - 1).astype(np.int32)
+
+    def kept(raw) -> bytes:
+        if keep is None:
+            return bytes(raw)
+        f = np.frombuffer(raw, np.int32)
+        return number[f[keep[f]]].tobytes()
+
+    got = sorted((r["y"], *[kept(r[f"f{k}"]) for k in range(n)]) for r in table.toLocalIterator())
     return (np.array([r[0] for r in got], np.int64),
             [Sparse([np.frombuffer(r[k + 1], np.int32) for r in got]) for k in range(n)])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import Sparse, collected, distinct_sums, labelled_sample, sigmoid
+from .labelled import Sparse, collected, distinct_sums, feature_table, labelled_sample, sigmoid
 from .words import Block, blocks, mix, window_hash, window_starts, words
 
 DIM = 1 << 20
@@ -142,7 +142,7 @@ def quality(docs: DataFrame, labels: DataFrame, train: Column, most: tuple[int,
             key = np.unique(row * DIM + feature)
             yield block.column("y"), [np.split(key % DIM, np.searchsorted(key // DIM, np.arange(1, block.n)))]
 
-    y, (x,) = collected(sample, gather, 1)
+    y, (x,) = collected(feature_table(sample, gather, 1))
     # Alternate the classes, so that the part kept back has both.
     order = np.argsort(np.concatenate([np.arange((y == k).sum()) / max((y == k).sum(), 1) for k in (0, 1)])
                        if len(y) else y, kind="stable")

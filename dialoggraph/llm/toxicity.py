@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import Sparse, collected, distinct_sums, labelled_sample, sigmoid
+from .labelled import Sparse, collected, counted, distinct_sums, feature_table, labelled_sample, sigmoid
 from .words import _BYTE_LOWER, Block, blocks, prefix_hash, span_hash, word_spans
 
 DIM = 1 << 20
@@ -89,35 +89,30 @@ def feature_rows(block: Block) -> list[np.ndarray]:
     return np.split(key % DIM, np.searchsorted(key // DIM, np.arange(1, block.n)))
 
 
-def fit(y: np.ndarray, x: Sparse, delta: list[Sparse], totals: np.ndarray, penalty: float, ridge: float,
-        selected: int, rounds: int) -> tuple[np.ndarray, float]:
-    """Weights and intercept; delta: features only of the texts, and only of their twins."""
-    share = totals / max(totals.sum(), 1)
-    if np.bincount(y, minlength=2).min() == 0 or not (totals > 0).all():
-        p = share[1] if totals.sum() else 0.0
-        return np.zeros(DIM), float(np.log(max(p, 1e-12) / max(1 - p, 1e-12)))
-    each = np.bincount(y, minlength=2)
-    weight = (share / each)[y]
-    # The features whose shares in the two classes differ most, in standard deviations.
-    seen = [np.bincount(x.index[(y == k)[x.row_of()]], minlength=DIM) for k in (0, 1)]
-    rate = [(s + 0.5) / (n + 1) for s, n in zip(seen, each)]
-    z = (rate[1] - rate[0]) / np.sqrt(rate[0] * (1 - rate[0]) / each[0] + rate[1] * (1 - rate[1]) / each[1])
-    z[seen[0] + seen[1] < 3] = 0
-    keep = np.zeros(DIM, bool)
-    keep[np.argsort(-np.abs(z), kind="stable")[:selected]] = True
-    keep &= np.abs(z) > 3
-    x, own, twin = x.only(keep), delta[0].only(keep), delta[1].only(keep)
-    w, b = np.zeros(DIM), float(np.log(share[1] / share[0]))
-    scale, scale_b = np.full(DIM, 1e-8), 1e-8
+def chosen(each: np.ndarray, seen: np.ndarray, selected: int) -> np.ndarray:
+    """Features whose shares in the two classes differ most, and by three standard deviations at least."""
+    rate = [(s + np.float32(0.5)) / np.float32(n + 1) for s, n in zip(seen, each)]
+    z = np.abs(rate[1] - rate[0]) / np.sqrt(rate[0] * (1 - rate[0]) / each[0] + rate[1] * (1 - rate[1]) / each[1])
+    z[(seen[0] + seen[1] < 3) | ~(z > 3)] = 0
+    keep = np.zeros(len(z), bool)
+    keep[np.argsort(-z, kind="stable")[:selected]] = True
+    return keep & (z > 0)
+
+
+def fit(y: np.ndarray, x: Sparse, own: Sparse, twin: Sparse, size: int, share: np.ndarray, penalty: float,
+        ridge: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Weights of ``size`` features and intercept; own, twin: features only of the texts, and only of their twins."""
+    weight = (share / np.bincount(y, minlength=2))[y]
+    w, b = np.zeros(size), float(np.log(share[1] / share[0]))
+    scale, scale_b = np.full(size, 1e-8), 1e-8
     for _ in range(rounds):  # gradient steps with per-feature rates
         g = weight * (sigmoid(x.dot(w) + b) - y)
         gap = weight * 2 * penalty * (own.dot(w) - twin.dot(w))
-        grad = x.sums(g, DIM) + own.sums(gap, DIM) - twin.sums(gap, DIM) + ridge * w
+        grad = x.sums(g, size) + own.sums(gap, size) - twin.sums(gap, size) + ridge * w
         scale += grad ** 2
         w -= 0.5 * grad / np.sqrt(scale)
         scale_b += g.sum() ** 2
         b -= 0.5 * g.sum() / np.sqrt(scale_b)
-    w[~keep] = 0
     return w, b
 
 
@@ -144,10 +139,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, most: tuple[int,
             yield block.column("y"), [own, [np.setdiff1d(a, b) for a, b in zip(own, twin)],
                                       [np.setdiff1d(b, a) for a, b in zip(own, twin)]]
 
-    y, (x, own, twin) = collected(sample, twins, 3)
-    w, b = fit(y, x, [own, twin], totals, penalty, ridge, selected, rounds)
-    used = np.flatnonzero(w)
-    model = docs.sparkSession.sparkContext.broadcast((used, w[used], b))  # at most ``selected`` weights
+    # Twice through the written sample: the driver holds the chosen features only.
+    table, share = feature_table(sample, twins, 3), totals / max(totals.sum(), 1)
+    each, seen = counted(table, DIM)
+    if (each > 0).all():
+        keep = chosen(each, seen, selected)
+        del seen
+        used = np.flatnonzero(keep)
+        y, (x, own, twin) = collected(table, 3, keep)
+        w, b = fit(y, x, own, twin, len(used), share, penalty, ridge, rounds)
+    else:
+        used, w = np.zeros(0, np.int64), np.zeros(0)
+        b = float(np.log(max(share[1], 1e-12) / max(1 - share[1], 1e-12)))
+    model = docs.sparkSession.sparkContext.broadcast((used, w, b))  # at most ``selected`` weights
 
     def scoring(batches):
         index, value, intercept = model.value
