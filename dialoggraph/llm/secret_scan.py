@@ -2,7 +2,7 @@
 
 All of it is column expressions: a row's text never leaves it.  Long tokens get an encoding by
 the characters they use, and three tests against what ordinary tokens of that encoding are
-like, each of which must be rejected:
+like:
 
 * chi-squared uniformity: ordinary tokens repeat their characters ``concentration`` times as
   often as a uniform alphabet would (the statistic is the index of coincidence, to which the
@@ -10,10 +10,14 @@ like, each of which must be rejected:
 * runs: the kind of character (digit, capital, small, sign) seldom changes;
 * serial correlation: neighbouring characters depend on each other.
 
-The p-value of a token is the largest of the three.  False discoveries are controlled over
-the whole corpus by Benjamini and Hochberg's rule in strata of encoding and length, since
-short tokens have less evidence to give: one aggregate of counts by stratum and p-value
-class, of fixed size, gives the stratum's limit.
+Their p-values are combined by Fisher's rule; a token of one kind of character has no runs to
+test and combines two.  What ordinary tokens are like differs from corpus to corpus (identifiers in
+camel case change kinds more often than prose), so the combined evidence is set against that of the
+corpus's own tokens of the same encoding and length: an empirical null, whose centre and spread come
+from the lower half of the stratum and are bounded, so that a stratum full of keys does not take
+keys for ordinary.  Both chances must be small.  False discoveries are controlled over the whole corpus by Benjamini and
+Hochberg's rule per stratum.  One aggregate of counts by stratum and evidence class, of fixed size,
+gives every stratum's limit.
 
 Defined results: a null text is empty and has no spans; a null id stays null; repeated rows
 are scanned alike; extra columns are kept, but for those named like an output.
@@ -22,6 +26,7 @@ Places are code points, the end is exclusive.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,8 +51,10 @@ ENCODINGS = (
 )
 LENGTHS = (24, 32, 40, 64)
 CORRELATION = 0.5
-# p-values are counted in classes of a tenth of a power of ten, down to 1e-6.
-CLASSES = 60
+# Combined p-values are counted in classes of a tenth of a power of ten, down to 1e-40.
+CLASSES = 400
+# Of ordinary tokens, in classes: the highest centre, the least and the highest spread.
+CENTRE, SPREAD = 45.0, (6.0, 14.0)
 
 SPANS = "array<struct<start:int,end:int,body:string>>"
 
@@ -93,6 +100,17 @@ def lower_tail(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1 - tail)
 
 
+def log_p(z: Column) -> Column:
+    """-ln of the lower tail, 75 at most."""
+    return -F.log(F.greatest(lower_tail(z), F.lit(2.7e-33)))
+
+
+def fisher(total: Column, tests: Column) -> Column:
+    """-log10 of the chance that three (or two) uniform p-values have -ln adding up to ``total`` or more."""
+    more = F.when(tests == 3, 1 + total + total * total / 2).otherwise(1 + total)
+    return (total - F.log(more)) / 2.302585092994046
+
+
 def by_encoding(e: Column, place: int) -> Column:
     return reduce(lambda c, k: c.when(e == k, F.lit(ENCODINGS[k][place])), range(1, len(ENCODINGS)),
                   F.when(e == 0, F.lit(ENCODINGS[0][place])))
@@ -118,6 +136,9 @@ def tested(tokens: Column) -> Column:
         return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["encoding"].alias("encoding"),
                         t["n"].alias("n"), squares.alias("squares"), kinds.alias("kinds"), values.alias("values"))
 
+    def one_kind(kinds: Column) -> Column:
+        return F.array_min(kinds) == F.array_max(kinds)
+
     def summed(t: Column) -> Column:
         m = F.size(t["kinds"]) - 1
         changes = F.aggregate(F.zip_with(F.slice(t["kinds"], 1, m), F.slice(t["kinds"], 2, m),
@@ -125,11 +146,12 @@ def tested(tokens: Column) -> Column:
         mean = F.aggregate(t["values"], F.lit(0.0), lambda s, x: s + x) / t["n"]
         return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["encoding"].alias("encoding"),
                         t["n"].alias("n"), t["squares"].alias("squares"), changes.alias("changes"),
+                        F.when(one_kind(t["kinds"]), 2).otherwise(3).alias("tests"),
                         t["values"].alias("values"), mean.alias("mean"))
 
     def centred(t: Column) -> Column:
         # The mean is a field by now; as an expression it would be formed anew for every value.
-        return F.struct(*[t[c].alias(c) for c in ("start", "end", "encoding", "n", "squares", "changes")],
+        return F.struct(*[t[c].alias(c) for c in ("start", "end", "encoding", "n", "squares", "changes", "tests")],
                         F.transform(t["values"], lambda v: v - t["mean"]).alias("off"))
 
     def judged(t: Column) -> Column:
@@ -146,19 +168,25 @@ def tested(tokens: Column) -> Column:
                             F.lit(0.0), lambda s, x: s + x)
         r = F.when(own > 0, F.abs(next_ / own)).otherwise(1.0)
         serial = (r - CORRELATION) * F.sqrt(n) / (1 - CORRELATION ** 2)
-        p = F.greatest(lower_tail((coincidence - kappa) / spread), lower_tail(runs), lower_tail(serial))
-        level = F.greatest(F.lit(0), F.least(F.lit(CLASSES), F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-9))))))
+        total = (log_p((coincidence - kappa) / spread) + log_p(serial)
+                 + F.when(t["tests"] == 3, log_p(runs)).otherwise(0.0))
         band = sum((F.when(n >= b, 1).otherwise(0) for b in LENGTHS), F.lit(0))
         return F.struct(t["start"].alias("start"), t["end"].alias("end"),
-                        (t["encoding"] * (len(LENGTHS) + 1) + band).alias("stratum"), level.cast("int").alias("level"))
+                        (t["encoding"] * (len(LENGTHS) + 1) + band).alias("stratum"), total.alias("total"), t["tests"].alias("tests"))
 
-    return reduce(F.transform, (encoded, measured, summed, centred, judged), tokens)
+    def classed(t: Column) -> Column:
+        level = F.greatest(F.lit(0), F.least(F.lit(CLASSES), F.floor(10 * fisher(t["total"], t["tests"]))))
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["stratum"].alias("stratum"),
+                        level.cast("int").alias("level"))
+
+    return reduce(F.transform, (encoded, measured, summed, centred, judged, classed), tokens)
 
 
 def limits(docs: DataFrame, rate: float, text: Column) -> dict[int, int]:
-    """For each stratum the least p-value class (10 * -log10 p) that is a discovery.
+    """For each stratum the least evidence class (10 * -log10 p) that is a discovery.
 
-    A class is a discovery if tokens * its largest p <= rate * tokens at least as extreme.
+    A class is a discovery if tokens * its chance <= rate * tokens at least as extreme; its
+    chance is the combined p-value, or that of ordinary tokens to reach it if that is larger.
     """
     rows = (docs.select(F.explode(tested(found(text, TOKEN))).alias("t"))
             .groupBy("t.stratum", "t.level").count().collect())
@@ -166,13 +194,29 @@ def limits(docs: DataFrame, rate: float, text: Column) -> dict[int, int]:
     for stratum in {r["stratum"] for r in rows}:
         own = sorted(((r["level"], r["count"]) for r in rows if r["stratum"] == stratum), reverse=True)
         total, beyond = sum(c for _, c in own), 0
+        centre, spread = ordinary(own[::-1], total)
         for level, count in own:
             beyond += count
-            if total * 10 ** (-level / 10) <= rate * beyond:
+            chance = max(10 ** (-level / 10), math.erfc((level - centre) / spread / math.sqrt(2)) / 2)
+            if total * chance <= rate * beyond:
                 out[stratum] = level
     return out
 
 
+def ordinary(counts: list[tuple[int, int]], total: int) -> tuple[float, float]:
+    """Centre and spread of the evidence of ordinary tokens: median, and median less the 16th percentile."""
+    def quantile(q: float) -> float:
+        upto = 0
+        for level, count in counts:
+            upto += count
+            if upto >= q * total:
+                return float(level)
+        return 0.0
+
+    middle = quantile(0.5)
+    return min(middle, CENTRE), min(max(middle - quantile(0.16), SPREAD[0]), SPREAD[1])
+
+
 def scan(docs: DataFrame, rate: float = 0.01, text: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (start, kind, end), kind a place in KINDS.
 
