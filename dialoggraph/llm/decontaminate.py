@@ -104,12 +104,12 @@ def document_counts(docs: DataFrame, vocabulary: Lookup) -> tuple[np.ndarray, in
 class Postings:
     """For each word the passages that it counts for, and how much."""
 
-    def __init__(self, table: np.ndarray):
-        word, self.passage = np.nonzero(table)
-        self.value = table[word, self.passage]
-        self.count = np.bincount(word, minlength=len(table))
+    def __init__(self, word: np.ndarray, passage: np.ndarray, value: np.ndarray, words: int, passages: int):
+        """Rows sorted by word."""
+        self.passage, self.value = passage, value
+        self.count = np.bincount(word, minlength=words)
         self.first = np.cumsum(self.count) - self.count
-        self.passages = table.shape[1]
+        self.passages = passages
 
     def sums(self, place: np.ndarray, stride: np.ndarray, strides: int) -> np.ndarray:
         """Sums (strides x passages) over words (places in the table) that stand in strides."""
@@ -183,10 +183,19 @@ class Index:
         self.owner, self.latent = np.array(owner), np.array(latent, np.float32).reshape(len(owner), -1)
         # What a word can add to the cosine with each passage, times the window's length.  Words of
         # many documents add little; for them, and where next to nothing is added, the most counts.
-        gain = (np.abs(self.space @ self.latent.T) * idf[:-1, None]).astype(np.float64)
-        listed = (gain > 1e-4 * gain.max(1, keepdims=True, initial=0)) & (idf[:-1] > 0.25 * unknown)[:, None]
-        self.gain = Postings(np.where(listed, gain, 0.0))
-        self.rest = np.r_[np.where(listed, 0.0, gain).max(1, initial=0), 0.0]
+        terms, word, passage, value = len(idf) - 1, [], [], []
+        self.rest = np.zeros(terms + 1)
+        for lo in range(0, terms, 256):  # some words at a time: no table of all words and passages
+            own = slice(lo, min(lo + 256, terms))
+            gain = (np.abs(self.space[own] @ self.latent.T) * idf[own][:, None]).astype(np.float64)
+            listed = (gain > 1e-4 * gain.max(1, keepdims=True, initial=0)) & (idf[own] > 0.25 * unknown)[:, None]
+            row, at = np.nonzero(listed & (gain != 0))
+            word.append(row + lo)
+            passage.append(at)
+            value.append(gain[row, at])
+            self.rest[own] = np.where(listed, 0.0, gain).max(1, initial=0)
+        joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (word, passage, value)]
+        self.gain = Postings(*joined, terms, len(self.latent))
         self.cover, self.least = self._cover(covered)
         self.answers = [self._answer(h) for _, h in items]
 
@@ -195,7 +204,7 @@ class Index:
         the share ``covered`` of all places of the passage: all but those it may lack."""
         passages = [p for _, h in self.items for p in item_passages(h)]
         self.terms, self.need = [], []
-        table, least = np.zeros((len(self.idf) - 1, len(passages))), np.zeros(len(passages))
+        word, passage, value, least = [], [], [], np.zeros(len(passages))
         for k, p in enumerate(passages):
             place, tf = np.unique(self.vocabulary(p), return_counts=True)
             place, tf = place[place >= 0], tf[place >= 0]
@@ -205,13 +214,17 @@ class Index:
             lack = len(p) - need  # words that are not in the vocabulary count as lacking or not at all
             order = np.argsort(-self.idf[place], kind="stable")
             upto = int(np.searchsorted(np.cumsum(tf[order]), lack + (need + 1) // 2)) + 1
-            table[place[order[:upto]], k] = tf[order[:upto]]
-            least[k] = max(table[:, k].sum() - lack, 1)
+            word.append(place[order[:upto]])
+            passage.append(np.full(len(word[-1]), k))
+            value.append(tf[order[:upto]].astype(float))
+            least[k] = max(value[-1].sum() - lack, 1)
         self.need = np.array(self.need)
         self.size = np.array([len(t) for t, _ in self.terms])
         self.begin = np.cumsum(self.size) - self.size
         self.terms = [np.concatenate(x) for x in zip(*self.terms)]
-        return Postings(table), least
+        word, passage, value = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (word, passage, value))
+        order = np.lexsort((passage, word))
+        return Postings(word[order], passage[order], value[order], len(self.idf) - 1, len(passages)), least
 
     def _held(self, pairs: np.ndarray, key: np.ndarray) -> np.ndarray:
         """How many places of the passage each pair (window, passage) shares, given the sorted
