@@ -1,35 +1,40 @@
 """Brown class-based bigram scoring.
 
-1. Vocabulary: the ``heads`` most frequent training words, from counts of all training texts
-   that every task merges and cuts back as it reads.  All other words fall into open classes
-   by their form (kind of last byte, length).
-2. Bigrams of heads, open classes and text ends are counted over all training texts: a
-   matrix of fixed size.  Exchange clustering on it moves one word at a time to the class
-   that raises the likelihood of class bigrams most.
-3. Scoring: log10 P(text) = sum of log10 P(class | class before) + log10 P(word | class).
-   Heads are scored where the text is read.  Words outside the frequent ones travel once,
-   hashed, to a partition that counts them over the whole training set and sends the sums of
-   log10(count + 1) back to the texts; nothing of that passes the driver.
+1. Vocabulary: exact counts of all training words; the ``frequent`` ones are known to every
+   task, all others stay in hashed partitions.  By its form (kind of last byte, length) every
+   word has an open class to start from.
+2. Exchange clustering.  The bigrams of the ``heads`` most frequent words are a matrix, on which
+   one word at a time moves to the class that raises the likelihood of class bigrams most.  Then
+   every other word with ``least`` training tokens, however many words these are, is exchanged
+   out of its open class against the same class bigrams: Spark groups its (word, neighbour
+   class) counts, each task moves the words of its partitions.
+3. Scoring: log10 P(text) = sum of log10 P(class | context) + log10 P(word | class).  The context
+   is the class of the word before; behind a word outside the frequent ones it is that word's open
+   class, so no text waits for another partition.  Words outside the frequent ones travel hashed to
+   the partition that knows their class and send sums back; nothing of that passes the driver.
 
 Transitions are smoothed after Witten and Bell towards class frequencies, emissions by one
-added count; an open class keeps one more for unseen words.
+added count; an open class keeps one more for unseen words.  The driver holds ``frequent`` words,
+``heads``^2 counts and the class bigrams; what grows with the corpus stays in partitions.
 
 Defined results: a null or empty text is its end token alone; a null id is in no fold: it is
-scored, not learned from, and its ``held_out`` is null; equal rows get equal scores; extra
-columns are ignored.  Words are known by 64-bit hashes.
+scored, not learned from, and its ``held_out`` is null; equal rows get equal scores; the split of
+the rows over tasks changes no score; extra columns are ignored.  Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import batch, by_key, pack, unpack, unpack_all
+from .blobs import batch, by_bucket, by_key, dealt, pack, unpack_all
 from .tables import cut, text_bytes
 from .words import Block, WIDE, blocks, mix, words
 
@@ -66,18 +71,26 @@ class Lookup:
 
 @dataclass
 class Model:
-    """What scoring needs of the training set, all of a size that parameters fix."""
+    """What every task needs of the training set, all of a size that parameters fix."""
 
-    words: Lookup            # frequent words; the first ``heads`` of them are clustered
-    heads: int
-    count: np.ndarray        # training count of each frequent word
-    common: np.ndarray       # frequent words of each open class that are not heads
-    klass: np.ndarray        # class of each symbol: heads, open classes, end
-    transition: np.ndarray   # log10 P(class | class before)
-    emission: np.ndarray     # log10 P(head | class), 0 for open classes and the end
-    open_tokens: np.ndarray  # training tokens of each open class
-    ends: int                # training texts
-    tokens: int              # training tokens, ends included
+    words: Lookup        # frequent words
+    count: np.ndarray    # training count of each frequent word
+    klass: np.ndarray    # class of each frequent word
+    learned: int         # learned classes; open classes and the end follow
+
+    @property
+    def size(self) -> int:
+        return self.learned + OPEN + 1
+
+
+@dataclass
+class Chances:
+    """The smoothed model: logarithms to base 10."""
+
+    transition: np.ndarray  # P(class | context)
+    room: np.ndarray        # denominator of the words of each class
+    ends: int               # training texts
+    tokens: int             # training tokens, ends included
 
 
 def open_class(block: Block, w) -> np.ndarray:
@@ -96,71 +109,111 @@ def with_ends(values: np.ndarray, rows: np.ndarray, end: int) -> tuple[np.ndarra
     return out, rows[:-1] + 2 * np.arange(n)
 
 
-def frequent_words(train: DataFrame, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and open classes of the most frequent words, most frequent first."""
-    schema = pa.schema([("h", pa.int64()), ("kind", pa.int64()), ("c", pa.int64())])
+BLOBS = "bucket long, blob binary"
+BLOB = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
+COUNTS = (np.uint64, np.int64, np.int64)
+# Distinct words a task holds before it sends them on.
+HELD = 1 << 19
+
+
+def frequent_words(train: DataFrame, keep: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, open classes and counts of the most frequent words, most frequent first."""
+    buckets = 16 * parts
+
+    def sent(h, kind, c):
+        return batch(BLOB, [(int(k), pack(a)) for k, a in by_key((h % np.uint64(buckets)).astype(np.int64), [h, kind, c])])
+
+    def merged(h, kind, c):
+        h, index, inverse = np.unique(h, return_index=True, return_inverse=True)
+        return h, kind[index], np.bincount(inverse, c, len(h)).astype(np.int64)
 
     def count(batches):
-        h, kind, c = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         for block in blocks(batches, "text", WIDE):
             w = words(block, lower=True)
             own, first, n = np.unique(w.hash, return_index=True, return_counts=True)
-            h, index, inverse = np.unique(np.r_[h, own], return_index=True, return_inverse=True)
-            kind = np.r_[kind, open_class(block, w)[first]][index]
-            c = np.bincount(inverse, np.r_[c, n]).astype(np.int64)
-            if len(h) > 16 * keep:
-                top = np.sort(np.argpartition(-c, 8 * keep)[:8 * keep])
-                h, kind, c = h[top], kind[top], c[top]
-        top = np.argsort(-c, kind="stable")[:2 * keep]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h[top].view(np.int64)), pa.array(kind[top]), pa.array(c[top])], schema=schema)
+            held = merged(*map(np.concatenate, zip(held, (own, open_class(block, w)[first], n))))
+            if len(held[0]) > HELD:
+                yield sent(*held)
+                held = none
+        yield sent(*held)
+
+    schema = pa.schema([("h", pa.int64()), ("kind", pa.int64()), ("c", pa.int64())])
+
+    def top(batches):
+        for _, blobs in by_bucket(batches):
+            h, kind, c = merged(*unpack_all(blobs, COUNTS)[:-1])
+            h = h.view(np.int64)
+            first = np.lexsort((h, -c))[:keep]
+            yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (h, kind, c)], schema=schema)
+
+    rows = (dealt(train.select("text").mapInArrow(count, BLOBS), parts).mapInArrow(top, "h long, kind long, c long")
+            .orderBy(F.desc("c"), "h").limit(keep).collect())
+    h, kind, c = (np.array([r[k] for r in rows], np.int64) for k in ("h", "kind", "c"))
+    return h.view(np.uint64), kind, c
+
+
+# Cells of a counted array in one row, and rows of one slice that are added before the last step.
+STEP = 1 << 16
+FAN = 32
 
-    rows = (train.select("text").mapInArrow(count, "h long, kind long, c long")
-            .groupBy("h").agg(F.max("kind").alias("kind"), F.sum("c").alias("c"))
-            .orderBy(F.desc("c"), "h").limit(keep).select("h", "kind").collect())
-    return np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["kind"] for r in rows], np.int64)
 
+def slices(total: np.ndarray, step: int = STEP) -> pa.RecordBatch:
+    """A counted array as rows (slice, counts), without slices of zeros."""
+    return batch(BLOB, [(k // step, zstandard.compress(total[k:k + step].astype(np.int64).tobytes(), 1))
+                        for k in range(0, len(total), step) if total[k:k + step].any()])
 
-def symbols(place: np.ndarray, heads: int, kind: np.ndarray) -> np.ndarray:
-    """Head number of every word, or heads + its open class."""
-    return np.where((place >= 0) & (place < heads), place, heads + kind)
 
+def opened(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(bytes(blob)), np.int64)
 
-def counted(train: DataFrame, known: Lookup, heads: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of neighbouring symbols, and of the frequent words, over all training texts."""
+
+def added(counts: DataFrame) -> DataFrame:
+    """Slices of all tasks added up: one row per slice, in two steps, so that no task takes all."""
+    def add(batches):
+        whole: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                whole[k] = whole.get(k, 0) + opened(blob.as_py())
+        yield batch(BLOB, [(k, zstandard.compress(v.tobytes(), 1)) for k, v in whole.items()])
+
+    fanned = counts.select("bucket", "blob", (F.spark_partition_id() % FAN).alias("fan")).repartition("bucket", "fan")
+    return fanned.select("bucket", "blob").mapInArrow(add, BLOBS).repartition("bucket").mapInArrow(add, BLOBS)
+
+
+def gathered(counts: DataFrame, size: int) -> np.ndarray:
+    """The whole counted array; its size is fixed by parameters."""
+    out = np.zeros(size, np.int64)
+    for r in added(counts).collect():
+        v = opened(r["blob"])
+        out[r["bucket"] * STEP:r["bucket"] * STEP + len(v)] = v
+    return out
+
+
+def bigrams(values: np.ndarray, rows: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value before, value) of every word and end of all texts, text by text."""
+    s, first = with_ends(values, rows, end)
+    inside = np.ones(max(len(s) - 1, 0), bool)
+    inside[first[1:] - 1] = False
+    return s[:-1][inside], s[1:][inside]
+
+
+def counted(train: DataFrame, known: Lookup, heads: int) -> np.ndarray:
+    """Counts of neighbouring heads, open classes and ends over all training texts."""
     size = heads + OPEN + 1
-    step = 1 << 16
-    schema = pa.schema([("part", pa.int64()), ("blob", pa.binary())])
 
     def count(batches):
-        total = np.zeros(size * size + len(known), np.int64)
+        total = np.zeros(size * size, np.int64)
         for block in blocks(batches, "text", WIDE):
             w = words(block, lower=True)
             place = known(w.hash)
-            s, first = with_ends(symbols(place, heads, open_class(block, w)), w.rows, size - 1)
-            code = s[:-1] * size + s[1:]
-            inside = np.ones(len(code), bool)
-            inside[first[1:] - 1] = False
-            total[:size * size] += np.bincount(code[inside], minlength=size * size)
-            total[size * size:] += np.bincount(place[place >= 0], minlength=len(known))
-        for k in range(0, len(total), step):
-            if total[k:k + step].any():
-                yield batch(schema, [(k // step, zstandard.compress(total[k:k + step].tobytes(), 1))])
-
-    def add(batches):
-        whole: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                whole[k] = whole.get(k, 0) + np.frombuffer(zstandard.decompress(blob), np.int64)
-        for k, v in whole.items():
-            yield batch(schema, [(k, zstandard.compress(v.tobytes(), 1))])
+            symbol = np.where((place >= 0) & (place < heads), place, heads + open_class(block, w))
+            before, after = bigrams(symbol, w.rows, size - 1)
+            code, n = np.unique(before * size + after, return_counts=True)
+            total[code] += n
+        yield slices(total)
 
-    ddl = "part long, blob binary"
-    out = np.zeros(size * size + len(known), np.int64)
-    for r in train.select("text").mapInArrow(count, ddl).repartition("part").mapInArrow(add, ddl).toLocalIterator():
-        v = np.frombuffer(zstandard.decompress(bytes(r["blob"])), np.int64)
-        out[r["part"] * step:r["part"] * step + len(v)] = v
-    return out[:size * size].reshape(size, size), out[size * size:]
+    return gathered(train.select("text").mapInArrow(count, BLOBS), size * size).reshape(size, size)
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -209,36 +262,113 @@ def exchange(counts: np.ndarray, movable: int, classes: int, sweeps: int) -> np.
     return klass
 
 
-def fit(train: DataFrame, heads: int, classes: int, frequent: int, sweeps: int) -> Model:
-    hashes, kinds = frequent_words(train, frequent)
+def reassigned(word: np.ndarray, context: np.ndarray, count: np.ndarray, home: np.ndarray, table: np.ndarray,
+               margins: Sequence[np.ndarray], learned: int) -> np.ndarray:
+    """One exchange of every word against fixed class counts: a learned class, or ``home``.
+
+    word, context, count: sorted rows; home: class of each distinct word; table: counts of contexts
+    with classes; margins: counts of classes, one array for each side that contexts come from.
+    """
+    out = home.copy()
+    begin = np.r_[np.flatnonzero(np.r_[True, word[1:] != word[:-1]]), len(word)] if len(word) else np.zeros(1, np.int64)
+    step = 512
+    for lo in range(0, len(begin) - 1 if learned else 0, step):
+        cuts = begin[lo:lo + step + 1]
+        ctx, n, h = context[cuts[0]:cuts[-1]], count[cuts[0]:cuts[-1]].astype(np.float64), home[lo:lo + step]
+        at = cuts[:-1] - cuts[0]
+        into, own = table[ctx, :learned], table[ctx, np.repeat(h, np.diff(cuts))]
+        gain = np.add.reduceat(xlogx(into + n[:, None]) - xlogx(into), at)
+        stay = np.add.reduceat(xlogx(own) - xlogx(own - n), at)
+        total = np.add.reduceat(n, at) / len(margins)
+        for m in margins:
+            gain -= xlogx(m[:learned] + total[:, None]) - xlogx(m[:learned])
+            stay -= xlogx(m[h]) - xlogx(m[h] - total)
+        best = gain.argmax(1)
+        out[lo:lo + step] = np.where(gain.max(1) > stay + 1e-9, best, h)
+    return out
+
+
+def exchanged(train: DataFrame, model: Model, heads: int, pair: np.ndarray, least: int) -> np.ndarray:
+    """Class of every frequent word behind the heads, from the classes on both of its sides."""
+    size, many = model.size, len(model.words) - heads
+    shared = train.sparkSession.sparkContext.broadcast((model, pair))
+    step = max(1, STEP // (2 * size)) * 2 * size  # whole words in every slice
+
+    def count(batches):
+        m = shared.value[0]
+        total, tokens = np.zeros(many * 2 * size, np.int32), 0
+        for block in blocks(batches, "text", WIDE):
+            w = words(block, lower=True)
+            place = m.words(w.hash)
+            s, _ = with_ends(visible(m, place, open_class(block, w)), w.rows, size - 1)
+            own = np.flatnonzero(place >= heads)
+            at, cell = own + 2 * w.row_of()[own] + 1, (place[own] - heads) * 2 * size
+            code, n = np.unique(np.r_[cell + s[at - 1], cell + size + s[at + 1]], return_counts=True)
+            tokens += len(w.hash)
+            if tokens >= 1 << 31:
+                yield slices(total, step)
+                total[:], tokens = 0, len(w.hash)
+            total[code] += n.astype(np.int32)
+        yield slices(total, step)
+
+    schema = pa.schema([("place", pa.int64()), ("klass", pa.int64())])
+
+    def move(batches):
+        m, counts = shared.value
+        table, margins = np.vstack([counts, counts.T]), [counts.sum(0), counts.sum(1)]
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                cells = opened(blob.as_py()).reshape(-1, 2 * size)
+                cells = np.where(cells[:, :size].sum(1, keepdims=True) >= least, cells, 0)
+                word, context = np.nonzero(cells)
+                place = heads + k * (step // (2 * size)) + np.unique(word)
+                klass = reassigned(word, context, cells[word, context], m.klass[place], table, margins, m.learned)
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(klass)], schema=schema)
+
+    klass = model.klass.copy()
+    if many and model.learned:
+        for r in added(train.select("text").mapInArrow(count, BLOBS)).mapInArrow(move, "place long, klass long").collect():
+            klass[r["place"]] = r["klass"]
+    return klass
+
+
+def visible(m: Model, place: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The class a word shows to the next one: its own, or its open class outside the frequent words."""
+    return np.where(place >= 0, np.r_[m.klass, 0][place], m.learned + kind)
+
+
+def fit(train: DataFrame, heads: int, classes: int, frequent: int, sweeps: int, least: int, parts: int) -> Model:
+    hashes, kinds, count = frequent_words(train, frequent, parts)
     known = Lookup(hashes)
+    kinds, count = kinds[known.kept], count[known.kept]
     heads = min(heads, len(known))
-    counts, known_count = counted(train, known, heads)
+    counts = counted(train, known, heads)
     klass = exchange(counts, heads, classes, sweeps)
-    k = int(klass.max()) + 1
-    member = np.zeros((len(counts), k))
+    learned = int(klass[heads])
+    model = Model(known, count, np.r_[klass[:heads], learned + kinds[heads:]], learned)
+    member = np.zeros((len(counts), model.size))
     member[np.arange(len(counts)), klass] = 1
-    pair = member.T @ counts @ member
+    model.klass = exchanged(train, model, heads, member.T @ counts @ member, least)
+    return model
+
+
+def chances(model: Model, pair: np.ndarray, distinct: np.ndarray) -> Chances:
+    """pair: training counts of (context, class); distinct: training words of each class."""
+    k = model.size
     arrive = pair.sum(0)
     base = (arrive + 1) / (arrive.sum() + k)
     varied = np.maximum((pair > 0).sum(1, keepdims=True), 1)
     transition = np.log10((pair + varied * base) / (pair.sum(1, keepdims=True) + varied))
-    symbol = counts.sum(0)
-    emission = np.zeros(len(counts))
-    own = np.arange(heads)
-    words_in = np.bincount(klass[own], minlength=k)
-    emission[own] = np.log10((symbol[own] + 1) / (arrive[klass[own]] + words_in[klass[own]]))
-    common = np.bincount(kinds[known.kept][heads:], minlength=OPEN)
-    return Model(known, heads, known_count, common, klass, transition, emission, symbol[heads:heads + OPEN],
-                 int(symbol[-1]), int(symbol.sum()))
+    unseen = np.r_[np.zeros(model.learned), np.ones(OPEN), 0]
+    return Chances(transition, np.log10(np.maximum(arrive + distinct + unseen, 1)), int(arrive[-1]), int(arrive.sum()))
 
 
-TAIL = (np.uint64, np.int64, np.int64, np.uint8)
-SUMS = (np.int64, np.int64, np.int64, np.int64, np.int64, np.float64, np.float64) + (np.int32,) * OPEN
+TAIL = (np.uint64, np.int64, np.int64, np.uint8, np.uint16)
+SUMS = (np.int64, np.int64, np.int64, np.int64, np.int64, np.float64, np.float64)
 
 
 def score(docs: DataFrame, train: Column, heads: int = 2048, classes: int = 64, frequent: int = 1 << 16,
-          sweeps: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+          sweeps: int = 3, least: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score (unigrams), score (class bigrams).
 
     ``train`` is true for the rows to learn from.
@@ -247,96 +377,122 @@ def score(docs: DataFrame, train: Column, heads: int = 2048, classes: int = 64,
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"),
                        F.xxhash64(text).alias("rid"), F.coalesce(train, F.lit(False)).alias("train"),
                        F.col(text).alias("text"))
-    model = fit(rows.filter("train"), heads, classes, frequent, sweeps)
-    shared = spark.sparkContext.broadcast(model)
     parts = max(8, text_bytes(rows) >> 25)
     buckets = 16 * parts
-    schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
-    ddl = "bucket long, blob binary"
-
-    def home(arrays: list[np.ndarray]) -> list[tuple[int, bytes]]:
-        key = (mix(arrays[0].view(np.uint64) ^ mix(arrays[1].view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
-        return [(-1 - int(k), pack(a)) for k, a in by_key(key, arrays)]
+    model = fit(rows.filter("train"), heads, classes, frequent, sweeps, least, parts)
+    k, learned = model.size, model.learned
+    shared = spark.sparkContext.broadcast(model)
 
-    def read(batches):
+    def part(batches):
+        """Words outside the frequent ones, to their partitions; class bigrams as they show."""
         m = shared.value
-        count_log = np.log10(m.count + 1.0)
+        total = np.zeros(k * k, np.int64)
         for block in blocks(batches, "text", WIDE):
-            w, n = words(block, lower=True), block.n
+            w = words(block, lower=True)
             row, place, kind = w.row_of(), m.words(w.hash), open_class(block, w)
-            common, open_ = place >= 0, (place < 0) | (place >= m.heads)
-            s, first = with_ends(symbols(place, m.heads, kind), w.rows, len(m.klass) - 1)
-            c = m.klass[s]
-            step = np.r_[m.transition[c[:-1], c[1:]] + m.emission[s[1:]], 0.0]
-            step[first[1:] - 1] = 0  # from one text's end to the next one's start
-            model_score = np.add.reduceat(step, first)
-            log_c = np.bincount(row[common], count_log[place[common]], n) + np.log10(m.ends + 1.0)
-            # A frequent word of an open class is emitted here, a rare one where it is counted.
-            here = common & open_
-            model_score += np.bincount(row[here], count_log[place[here]], n)
-            per = np.bincount(row[open_] * OPEN + kind[open_], minlength=n * OPEN).reshape(n, OPEN)
+            before, after = bigrams(visible(m, place, kind), w.rows, k - 1)
             doc, rid, train_ = block.ids(), block.column("rid"), block.column("train")
-            out = home([doc, rid, np.ones(n, np.int64), np.diff(w.rows) + 1,
-                        np.bincount(row[common], minlength=n).astype(np.int64) + int(m.ends > 0),
-                        log_c, model_score, *(per[:, k].astype(np.int32) for k in range(OPEN))])
-            rare = ~common
+            learn = np.repeat(train_.astype(bool), np.diff(w.rows) + 1)
+            total += np.bincount((before * k + after)[learn], minlength=k * k)
+            rare = np.flatnonzero(place < 0)
             r = row[rare]
-            tail = [w.hash[rare], doc[r], rid[r], (kind[rare] | (train_[r].astype(np.int64) << 7)).astype(np.uint8)]
-            out += [(int(k), pack(a)) for k, a in by_key((tail[0] % np.uint64(buckets)).astype(np.int64), tail)]
-            yield batch(schema, out)
-
-    def count(batches):
-        blobs = []
-        for b in batches:
-            done = b.filter(pa.compute.less(b.column(0), 0))
-            if done.num_rows:
-                yield done
-            blobs += b.filter(pa.compute.greater_equal(b.column(0), 0)).column(1).to_pylist()
-        if not blobs:
-            return
-        h, doc, rid, mark, _ = unpack_all(blobs, TAIL)
-        del blobs
+            tail = [w.hash[rare], doc[r], rid[r], (kind[rare] | (train_[r].astype(np.int64) << 7)).astype(np.uint8),
+                    before[rare + r].astype(np.uint16)]
+            yield batch(BLOB, [(int(b), pack(a)) for b, a in by_key((tail[0] % np.uint64(buckets)).astype(np.int64), tail)])
+        yield batch(BLOB, [(-1 - TaskContext.get().partitionId() % buckets, zstandard.compress(total.tobytes(), 1))])
+
+    apart = cut(rows.mapInArrow(part, BLOBS))
+    shown = gathered(apart.filter("bucket < 0").select(F.lit(0).cast("long").alias("bucket"), "blob"), k * k).reshape(k, k)
+    tails = dealt(apart.filter("bucket >= 0"), parts)
+    start = spark.sparkContext.broadcast(shown.astype(np.float64))
+
+    def moved(blobs):
+        """The rows of a bucket, each row's word, and count, open class and class of every word."""
+        h, doc, rid, mark, before, _ = unpack_all(blobs, TAIL)
         _, index, word = np.unique(h, return_index=True, return_inverse=True)
-        c = np.bincount(word, mark >> 7)
-        distinct = np.bincount((mark[index] & 127)[c > 0], minlength=OPEN)
-        order = np.lexsort((rid, doc))
-        doc, rid, word = doc[order], rid[order], word[order]
-        cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])])
-        logs = np.add.reduceat(np.log10(c[word] + 1.0), cuts)
-        seen = np.add.reduceat((c[word] > 0).astype(np.int64), cuts)
-        none = np.zeros(len(cuts), np.int64)
-        yield batch(schema, home([doc[cuts], rid[cuts], none, none, seen, logs, logs,
-                                  *[none.astype(np.int32)] * OPEN])
-                    + [(-1 - buckets, pack([np.arange(OPEN), distinct.astype(np.int64)]))])
-
-    sums = cut(rows.mapInArrow(read, ddl).repartition(parts, "bucket").mapInArrow(count, ddl))
-    # Distinct rare words of each open class: one short row for each partition.
-    distinct = np.zeros(OPEN, np.int64)
-    for r in sums.filter(F.col("bucket") == -1 - buckets).toLocalIterator():
-        distinct += unpack(bytes(r["blob"]), (np.int64, np.int64))[1]
-    vocabulary = len(model.words) + int(distinct.sum()) + int(model.ends > 0)
-    denominator = np.log10(model.tokens + vocabulary + 1.0)
-    open_log = np.log10(model.open_tokens + distinct + model.common + 1.0)
-    n_train = model.tokens
+        c = np.bincount(word, mark >> 7, len(index)).astype(np.int64)
+        home = learned + (mark[index] & 127).astype(np.int64)
+        klass = home.copy()
+        own = np.flatnonzero((mark >> 7 > 0) & (c[word] >= least))
+        code, n = np.unique(word[own] * k + before[own], return_counts=True)
+        chosen = np.unique(code // k)
+        klass[chosen] = reassigned(code // k, code % k, n, home[chosen], start.value, [start.value.sum(0)], learned)
+        return doc, rid, mark >> 7 > 0, before.astype(np.int64), word, c, home, klass
+
+    def shift(batches):
+        """What the classes of these words change in the class bigrams; words of each class."""
+        change, distinct = np.zeros(k * k, np.int64), np.zeros(k, np.int64)
+        for _, blobs in by_bucket(batches):
+            _, _, learn, before, word, c, home, klass = moved(blobs)
+            b, w = before[learn] * k, word[learn]
+            change += np.bincount(b + klass[w], minlength=k * k) - np.bincount(b + home[w], minlength=k * k)
+            distinct += np.bincount(klass[c > 0], minlength=k)
+        yield slices(np.r_[change, distinct])
+
+    shifted = gathered(tails.mapInArrow(shift, BLOBS), k * k + k)
+    distinct = shifted[k * k:] + np.bincount(model.klass, minlength=k)
+    known = chances(model, shown + shifted[:k * k].reshape(k, k), distinct)
+    final = spark.sparkContext.broadcast(known)
+
+    def home(arrays: list[np.ndarray]) -> list[tuple[int, bytes]]:
+        key = (mix(arrays[0].view(np.uint64) ^ mix(arrays[1].view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+        return [(int(b), pack(a)) for b, a in by_key(key, arrays)]
+
+    def rare(batches):
+        p = final.value
+        for _, blobs in by_bucket(batches):
+            doc, rid, _, before, word, c, _, klass = moved(blobs)
+            order = np.lexsort((before, word, rid, doc))
+            doc, rid, before, word = doc[order], rid[order], before[order], word[order]
+            at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])])
+            logs = np.log10(c[word] + 1.0)
+            whole = logs + p.transition[before, klass[word]] - p.room[klass[word]]
+            none = np.zeros(len(at), np.int64)
+            yield batch(BLOB, home([doc[at], rid[at], none, none, np.add.reduceat((c[word] > 0).astype(np.int64), at),
+                                    np.add.reduceat(logs, at), np.add.reduceat(whole, at)]))
+
+    def read(batches):
+        m, p = shared.value, final.value
+        log = np.r_[np.log10(m.count + 1.0), 0.0]
+        emission = np.r_[log[:-1] - p.room[m.klass], 0.0]
+        for block in blocks(batches, "text", WIDE):
+            w, n = words(block, lower=True), block.n
+            place = m.words(w.hash)
+            before, after = bigrams(visible(m, place, open_class(block, w)), w.rows, k - 1)
+            text_ = np.repeat(np.arange(n), np.diff(w.rows) + 1)
+            slot = np.full(len(text_), len(log) - 1, np.int64)  # ends: certain in their class
+            word_at = np.arange(len(place)) + w.row_of()
+            slot[word_at] = place
+            step = p.transition[before, after] + emission[slot]
+            step[slot < 0] = 0  # scored where they are counted
+            common = place >= 0
+            yield batch(BLOB, home([
+                block.ids(), block.column("rid"), np.ones(n, np.int64), np.diff(w.rows) + 1,
+                np.bincount(w.row_of()[common], minlength=n).astype(np.int64) + int(p.ends > 0),
+                np.bincount(w.row_of()[common], log[place[common]], n) + np.log10(p.ends + 1.0),
+                np.bincount(text_, step, n)]))
+
+    denominator = np.log10(known.tokens + int(distinct.sum()) + int(known.ends > 0) + 1.0)
+    n_train = known.tokens
 
     def finish(batches):
-        arrays = unpack_all([x for b in batches for x in b.column(1).to_pylist()], SUMS)[:-1]
-        if not len(arrays[0]):
-            return
-        order = np.lexsort((arrays[1], arrays[0]))
-        arrays = [a[order] for a in arrays]
-        doc, rid = arrays[:2]
-        cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])])
-        copies, tokens, seen, logs, model_score, *per = (np.add.reduceat(a, cuts) for a in arrays[2:])
-        base = logs - tokens * denominator
-        full = model_score - sum(per[k] * open_log[k] for k in range(OPEN))
-        # Equal rows have added up; each gets its share.
-        each = np.repeat(np.arange(len(cuts)), copies)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[cuts][each], mask=doc[cuts][each] == NO_ID), pa.array((tokens // copies)[each]),
-             pa.array((seen // copies)[each]), pa.array(np.full(len(each), n_train, np.int64)),
-             pa.array((base / copies)[each]), pa.array((full / copies)[each])],
-            names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return sums.filter(F.col("bucket") > -1 - buckets).repartition(parts, "bucket").mapInArrow(
+        for _, blobs in by_bucket(batches):
+            arrays = unpack_all(blobs, SUMS)[:-1]
+            # Sums are added in one order, however the parts arrived.
+            order = np.lexsort((arrays[6], arrays[5], arrays[1], arrays[0]))
+            arrays = [a[order] for a in arrays]
+            doc, rid = arrays[:2]
+            at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])])
+            copies, tokens, seen, logs, whole = (np.add.reduceat(a, at) for a in arrays[2:])
+            base = logs - tokens * denominator
+            # Equal rows have added up; each gets its share.
+            each = np.repeat(np.arange(len(at)), copies)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[at][each], mask=doc[at][each] == NO_ID), pa.array((tokens // copies)[each]),
+                 pa.array((seen // copies)[each]), pa.array(np.full(len(each), n_train, np.int64)),
+                 pa.array((base / copies)[each]), pa.array((whole / copies)[each])],
+                names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    sums = cut(tails.mapInArrow(rare, BLOBS).unionByName(rows.mapInArrow(read, BLOBS)))
+    return dealt(sums, parts).mapInArrow(
         finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
