@@ -248,7 +248,8 @@ def exchange(counts: np.ndarray, movable: int, classes: int, sweeps: int) -> np.
             corner = pair[diag, diag]
             gain = (row.sum(1) - row[diag, diag] + col.sum(1) - col[diag, diag]
                     + xlogx(corner + after[own] + before[own] + self_) - xlogx(corner))
-            left, right = pair.sum(1)[own], pair.sum(0)[own]
+            # what stands beside the word is there whatever class the word takes
+            left, right = (pair.sum(1) + before)[own], (pair.sum(0) + after)[own]
             gain -= xlogx(left + after.sum() + self_) - xlogx(left)
             gain -= xlogx(right + before.sum() + self_) - xlogx(right)
             b = int(np.argmax(gain)) if gain.max() > gain[a] + 1e-9 else int(a)

@@ -215,3 +215,101 @@ def conversation_repair(rows):
     found = repairs(damage(rows))
     return [(c, *(found[c][:7] if c in found else (0,) * 6 + ("",)), sha("\n".join(found[c][7] if c in found else []).encode()))
             for c in dict.fromkeys(r[0] for r in rows)]
+
+
+def brown_scores(rows, learn, order, heads, classes, sweeps, least):
+    """Class bigram scores of (id, text) rows; ``order``: the frequent words, most frequent first.
+
+    Sums over whole texts and dictionaries only; every likelihood is formed anew.
+    """
+    from collections import Counter
+    from math import log, log10
+
+    def form(w):
+        b = w.encode()
+        size = sum(len(b) >= x for x in (5, 9, 13))
+        c = b[-1]
+        kind = 1 if c > 127 else 2 if 48 <= c <= 57 else 0 if 65 <= c <= 90 or 97 <= c <= 122 or c < 33 or c == 127 else 3
+        return ("form", kind * 4 + size)
+
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    end = ("end",)
+    texts = {i: [end, *words(lower(t)), end] for i, t in rows}
+    pairs = Counter(p for i, t in texts.items() if i in learn for p in zip(t, t[1:]))
+    count = Counter()
+    for (_, w), n in pairs.items():
+        count[w] += n
+    lg = lambda n: n * log(n) if n else 0.0
+    known, head = set(order), order[:heads]
+    klass = {w: k % classes for k, w in enumerate(head)} | {end: end}
+    of = lambda w: klass.get(w) if w in klass else form(w)
+
+    def likelihood(table, left, right):
+        return sum(map(lg, table.values())) - sum(map(lg, left.values())) - sum(map(lg, right.values()))
+
+    def tables(show):
+        table, left, right = Counter(), Counter(), Counter()
+        for (a, b), n in pairs.items():
+            table[show(a), show(b)] += n
+            left[show(a)] += n
+            right[show(b)] += n
+        return table, left, right
+
+    for _ in range(sweeps):
+        moved = False
+        for w in head:
+            own, gains = klass[w], []
+            for c in range(classes):
+                klass[w] = c
+                gains.append(likelihood(*tables(of)))
+            best = max(range(classes), key=lambda c: (gains[c], -c))
+            klass[w] = best if gains[best] > gains[own] + 1e-9 else own
+            moved |= klass[w] != own
+        if not moved:
+            break
+
+    def exchange(chosen, sides, show):
+        table, left, right = tables(show)
+        out = {}
+        for w in chosen:
+            home, around = show(w), Counter()
+            for (a, b), n in pairs.items():
+                if b == w:
+                    around["left", show(a)] += n
+                if a == w and sides == 2:
+                    around["right", show(b)] += n
+            cell = lambda side, v, c: table[v, c] if side == "left" else table[c, v]
+            margins = [right, left][:sides]
+            value = {c: sum(lg(cell(s, v, c) + n) - lg(cell(s, v, c)) for (s, v), n in around.items())
+                     - sum(lg(m[c] + count[w]) - lg(m[c]) for m in margins) for c in range(classes)}
+            stay = (sum(lg(cell(s, v, home)) - lg(cell(s, v, home) - n) for (s, v), n in around.items())
+                    - sum(lg(m[home]) - lg(m[home] - count[w]) for m in margins))
+            best = max(value, key=lambda c: (value[c], -c))
+            if value[best] > stay + 1e-9:
+                out[w] = best
+        return out
+
+    klass |= exchange([w for w in order[heads:] if count[w] >= least], 2, of)
+    shown = dict(klass)
+    show = lambda w: shown[w] if w in shown else form(w)
+    klass |= exchange([w for w in count if w not in known and w != end and count[w] >= least], 1, show)
+    table = Counter()
+    for (a, b), n in pairs.items():
+        table[show(a), of(b)] += n
+    arrive, row, varied, distinct = Counter(), Counter(), Counter(), Counter(of(w) for w in count if w != end)
+    for (v, c), n in table.items():
+        arrive[c] += n
+        row[v] += n
+        varied[v] += 1
+    total, many = sum(arrive.values()), classes + 17
+    scores = {}
+    for i, t in texts.items():
+        s = 0.0
+        for a, b in zip(t, t[1:]):
+            v, c = show(a), of(b)
+            kinds = max(varied[v], 1)
+            s += log10((table[v, c] + kinds * (arrive[c] + 1) / (total + many)) / (row[v] + kinds))
+            if b != end:
+                s += log10((count[b] + 1) / (arrive[c] + distinct[c] + (c not in range(classes))))
+        scores[i] = s
+    return scores
