@@ -30,13 +30,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import batch, by_bucket, by_key, dealt, pack, unpack_all
 from .tables import cut, text_bytes
-from .words import Block, WIDE, blocks, mix, words
+from .words import Block, blocks, mix, words
 
 # Open classes: four kinds of last byte times four lengths.
 _KIND = np.zeros(256, np.uint8)
@@ -129,7 +128,7 @@ def frequent_words(train: DataFrame, keep: int, parts: int) -> tuple[np.ndarray,
 
     def count(batches):
         none = held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for block in blocks(batches, "text", WIDE):
+        for block in blocks(batches, "text"):
             w = words(block, lower=True)
             own, first, n = np.unique(w.hash, return_index=True, return_counts=True)
             held = merged(*map(np.concatenate, zip(held, (own, open_class(block, w)[first], n))))
@@ -204,7 +203,7 @@ def counted(train: DataFrame, known: Lookup, heads: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(size * size, np.int64)
-        for block in blocks(batches, "text", WIDE):
+        for block in blocks(batches, "text"):
             w = words(block, lower=True)
             place = known(w.hash)
             symbol = np.where((place >= 0) & (place < heads), place, heads + open_class(block, w))
@@ -298,7 +297,7 @@ def exchanged(train: DataFrame, model: Model, heads: int, pair: np.ndarray, leas
     def count(batches):
         m = shared.value[0]
         total, tokens = np.zeros(many * 2 * size, np.int32), 0
-        for block in blocks(batches, "text", WIDE):
+        for block in blocks(batches, "text"):
             w = words(block, lower=True)
             place = m.words(w.hash)
             s, _ = with_ends(visible(m, place, open_class(block, w)), w.rows, size - 1)
@@ -365,6 +364,8 @@ def chances(model: Model, pair: np.ndarray, distinct: np.ndarray) -> Chances:
 
 
 TAIL = (np.uint64, np.int64, np.int64, np.uint8, np.uint16)
+BEYOND = (np.uint64, np.uint16, np.uint8, np.uint32)
+CLASSED = (np.uint64, np.int64, np.uint16)
 SUMS = (np.int64, np.int64, np.int64, np.int64, np.int64, np.float64, np.float64)
 
 
@@ -384,94 +385,120 @@ def score(docs: DataFrame, train: Column, heads: int = 2048, classes: int = 64,
     k, learned = model.size, model.learned
     shared = spark.sparkContext.broadcast(model)
 
-    def part(batches):
-        """Words outside the frequent ones, to their partitions; class bigrams as they show."""
+    def show(batches):
+        """Class bigrams of training texts as the words show."""
         m = shared.value
         total = np.zeros(k * k, np.int64)
-        for block in blocks(batches, "text", WIDE):
+        for block in blocks(batches, "text"):
             w = words(block, lower=True)
-            row, place, kind = w.row_of(), m.words(w.hash), open_class(block, w)
-            before, after = bigrams(visible(m, place, kind), w.rows, k - 1)
-            doc, rid, train_ = block.ids(), block.column("rid"), block.column("train")
-            learn = np.repeat(train_.astype(bool), np.diff(w.rows) + 1)
-            total += np.bincount((before * k + after)[learn], minlength=k * k)
-            rare = np.flatnonzero(place < 0)
-            r = row[rare]
-            tail = [w.hash[rare], doc[r], rid[r], (kind[rare] | (train_[r].astype(np.int64) << 7)).astype(np.uint8),
-                    before[rare + r].astype(np.uint16)]
-            yield batch(BLOB, [(int(b), pack(a)) for b, a in by_key((tail[0] % np.uint64(buckets)).astype(np.int64), tail)])
-        yield batch(BLOB, [(-1 - TaskContext.get().partitionId() % buckets, zstandard.compress(total.tobytes(), 1))])
-
-    apart = cut(rows.mapInArrow(part, BLOBS))
-    shown = gathered(apart.filter("bucket < 0").select(F.lit(0).cast("long").alias("bucket"), "blob"), k * k).reshape(k, k)
-    tails = dealt(apart.filter("bucket >= 0"), parts)
+            before, after = bigrams(visible(m, m.words(w.hash), open_class(block, w)), w.rows, k - 1)
+            total += np.bincount(before * k + after, minlength=k * k)
+        yield slices(total)
+
+    learn = rows.filter("train").select("text")
+    shown = gathered(learn.mapInArrow(show, BLOBS), k * k).reshape(k, k)
     start = spark.sparkContext.broadcast(shown.astype(np.float64))
 
-    def moved(blobs):
-        """The rows of a bucket, each row's word, and count, open class and class of every word."""
-        h, doc, rid, mark, before, _ = unpack_all(blobs, TAIL)
-        _, index, word = np.unique(h, return_index=True, return_inverse=True)
-        c = np.bincount(word, mark >> 7, len(index)).astype(np.int64)
-        home = learned + (mark[index] & 127).astype(np.int64)
-        klass = home.copy()
-        own = np.flatnonzero((mark >> 7 > 0) & (c[word] >= least))
-        code, n = np.unique(word[own] * k + before[own], return_counts=True)
-        chosen = np.unique(code // k)
-        klass[chosen] = reassigned(code // k, code % k, n, home[chosen], start.value, [start.value.sum(0)], learned)
-        return doc, rid, mark >> 7 > 0, before.astype(np.int64), word, c, home, klass
-
-    def shift(batches):
-        """What the classes of these words change in the class bigrams; words of each class."""
+    def dealt_words(arrays: list[np.ndarray]) -> list[tuple[int, bytes]]:
+        key = (arrays[0] % np.uint64(buckets)).astype(np.int64)
+        return [(int(b), pack(a)) for b, a in by_key(key, arrays)]
+
+    def beyond(batches):
+        """Training counts of (word outside the frequent ones, context)."""
+        m = shared.value
+        for block in blocks(batches, "text"):
+            w = words(block, lower=True)
+            place, kind = m.words(w.hash), open_class(block, w)
+            before, _ = bigrams(visible(m, place, kind), w.rows, k - 1)
+            rare = np.flatnonzero(place < 0)
+            own, index, word = np.unique(w.hash[rare], return_index=True, return_inverse=True)
+            code, n = np.unique(word * k + before[rare + w.row_of()[rare]], return_counts=True)
+            yield batch(BLOB, dealt_words([own[code // k], (code % k).astype(np.uint16),
+                                           kind[rare][index][code // k].astype(np.uint8), n.astype(np.uint32)]))
+
+    def move(batches):
+        """Class and count of the words of each bucket, and what the classes change in the bigrams.
+
+        Rows (bucket, words), and in negative buckets slices of the changes and words of each class.
+        """
         change, distinct = np.zeros(k * k, np.int64), np.zeros(k, np.int64)
-        for _, blobs in by_bucket(batches):
-            _, _, learn, before, word, c, home, klass = moved(blobs)
-            b, w = before[learn] * k, word[learn]
-            change += np.bincount(b + klass[w], minlength=k * k) - np.bincount(b + home[w], minlength=k * k)
-            distinct += np.bincount(klass[c > 0], minlength=k)
-        yield slices(np.r_[change, distinct])
-
-    shifted = gathered(tails.mapInArrow(shift, BLOBS), k * k + k)
-    distinct = shifted[k * k:] + np.bincount(model.klass, minlength=k)
-    known = chances(model, shown + shifted[:k * k].reshape(k, k), distinct)
+        for bucket, blobs in by_bucket(batches):
+            h, before, kind, n, _ = unpack_all(blobs, BEYOND)
+            own, index, word = np.unique(h, return_index=True, return_inverse=True)
+            c = np.bincount(word, n, len(own)).astype(np.int64)
+            home = learned + kind[index].astype(np.int64)
+            klass = home.copy()
+            code, at = np.unique(word * k + before, return_inverse=True)
+            n = np.bincount(at, n, len(code)).astype(np.int64)
+            word, before = code // k, code % k
+            many = c[word] >= least
+            chosen = np.unique(word[many])
+            klass[chosen] = reassigned(word[many], before[many], n[many], home[chosen], start.value,
+                                       [start.value.sum(0)], learned)
+            np.add.at(change, before * k + klass[word], n)
+            np.subtract.at(change, before * k + home[word], n)
+            distinct += np.bincount(klass, minlength=k)
+            yield batch(BLOB, [(bucket, pack([own, c, klass.astype(np.uint16)]))])
+        table = slices(np.r_[change, distinct])
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - table.column(0).to_numpy()), table.column(1)], schema=BLOB)
+
+    classed = cut(dealt(learn.mapInArrow(beyond, BLOBS), parts).mapInArrow(move, BLOBS))
+    changes = classed.filter("bucket < 0").select((-1 - F.col("bucket")).alias("bucket"), "blob")
+    moved = gathered(changes, k * k + k)
+    distinct = moved[k * k:] + np.bincount(model.klass, minlength=k)
+    known = chances(model, shown + moved[:k * k].reshape(k, k), distinct)
     final = spark.sparkContext.broadcast(known)
 
     def home(arrays: list[np.ndarray]) -> list[tuple[int, bytes]]:
         key = (mix(arrays[0].view(np.uint64) ^ mix(arrays[1].view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
-        return [(int(b), pack(a)) for b, a in by_key(key, arrays)]
-
-    def rare(batches):
-        p = final.value
-        for _, blobs in by_bucket(batches):
-            doc, rid, _, before, word, c, _, klass = moved(blobs)
-            order = np.lexsort((before, word, rid, doc))
-            doc, rid, before, word = doc[order], rid[order], before[order], word[order]
-            at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])])
-            logs = np.log10(c[word] + 1.0)
-            whole = logs + p.transition[before, klass[word]] - p.room[klass[word]]
-            none = np.zeros(len(at), np.int64)
-            yield batch(BLOB, home([doc[at], rid[at], none, none, np.add.reduceat((c[word] > 0).astype(np.int64), at),
-                                    np.add.reduceat(logs, at), np.add.reduceat(whole, at)]))
+        return [(-1 - int(b), pack(a)) for b, a in by_key(key, arrays)]
 
     def read(batches):
+        """Sums of the frequent words of every text, on their way home; all other words to their buckets."""
         m, p = shared.value, final.value
         log = np.r_[np.log10(m.count + 1.0), 0.0]
         emission = np.r_[log[:-1] - p.room[m.klass], 0.0]
-        for block in blocks(batches, "text", WIDE):
+        for block in blocks(batches, "text"):
             w, n = words(block, lower=True), block.n
-            place = m.words(w.hash)
-            before, after = bigrams(visible(m, place, open_class(block, w)), w.rows, k - 1)
-            text_ = np.repeat(np.arange(n), np.diff(w.rows) + 1)
-            slot = np.full(len(text_), len(log) - 1, np.int64)  # ends: certain in their class
-            word_at = np.arange(len(place)) + w.row_of()
-            slot[word_at] = place
+            row, place, kind = w.row_of(), m.words(w.hash), open_class(block, w)
+            doc, rid = block.ids(), block.column("rid")
+            before, after = bigrams(visible(m, place, kind), w.rows, k - 1)
+            at = np.arange(len(place)) + row
+            slot = np.full(len(before), len(log) - 1, np.int64)  # ends: certain in their class
+            slot[at] = place
             step = p.transition[before, after] + emission[slot]
-            step[slot < 0] = 0  # scored where they are counted
-            common = place >= 0
-            yield batch(BLOB, home([
-                block.ids(), block.column("rid"), np.ones(n, np.int64), np.diff(w.rows) + 1,
-                np.bincount(w.row_of()[common], minlength=n).astype(np.int64) + int(p.ends > 0),
-                np.bincount(w.row_of()[common], log[place[common]], n) + np.log10(p.ends + 1.0),
-                np.bincount(text_, step, n)]))
+            step[slot < 0] = 0  # scored in their buckets
+            common, rare = place >= 0, np.flatnonzero(place < 0)
+            out = home([doc, rid, np.ones(n, np.int64), np.diff(w.rows) + 1,
+                        np.bincount(row[common], minlength=n).astype(np.int64) + int(p.ends > 0),
+                        np.bincount(row[common], log[place[common]], n) + np.log10(p.ends + 1.0),
+                        np.bincount(np.repeat(np.arange(n), np.diff(w.rows) + 1), step, n)])
+            r = row[rare]
+            yield batch(BLOB, out + dealt_words([w.hash[rare], doc[r], rid[r], kind[rare].astype(np.uint8),
+                                                 before[at[rare]].astype(np.uint16)]))
+
+    def rare(batches):
+        p = final.value
+        for bucket, blobs in by_bucket(batches):
+            if bucket < 0:
+                yield batch(BLOB, [(bucket, x) for x in blobs])
+                continue
+            lists = [x[1:] for x in blobs if x[:1] == b"\1"]
+            own, c, klass, _ = unpack_all(lists, CLASSED)
+            h, doc, rid, kind, before, _ = unpack_all([x[1:] for x in blobs if x[:1] != b"\1"], TAIL)
+            at = np.searchsorted(own, h)
+            seen = np.r_[own, np.uint64(0)][at] == h
+            seen &= at < len(own)
+            c = np.where(seen, np.r_[c, 0][at], 0)
+            klass = np.where(seen, np.r_[klass, np.uint16(0)][at], learned + kind).astype(np.int64)
+            order = np.lexsort((before, h, rid, doc))
+            doc, rid, before, c, klass = (x[order] for x in (doc, rid, before, c, klass))
+            at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])]) if len(doc) else order
+            logs = np.log10(c + 1.0)
+            whole = logs + p.transition[before, klass] - p.room[klass]
+            none = np.zeros(len(at), np.int64)
+            sums = [np.add.reduceat(x, at) if len(at) else x for x in ((c > 0).astype(np.int64), logs, whole)]
+            yield batch(BLOB, home([doc[at], rid[at], none, none, *sums]))
 
     denominator = np.log10(known.tokens + int(distinct.sum()) + int(known.ends > 0) + 1.0)
     n_train = known.tokens
@@ -494,6 +521,11 @@ def score(docs: DataFrame, train: Column, heads: int = 2048, classes: int = 64,
                  pa.array((base / copies)[each]), pa.array((whole / copies)[each])],
                 names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    sums = cut(tails.mapInArrow(rare, BLOBS).unionByName(rows.mapInArrow(read, BLOBS)))
-    return dealt(sums, parts).mapInArrow(
+    # The first byte of a row tells classes of words (1) from their occurrences (0).
+    occurring = rows.mapInArrow(read, BLOBS)
+    occurring = occurring.select("bucket", F.when(F.col("bucket") < 0, F.col("blob")).otherwise(
+        F.concat(F.lit(b"\0"), "blob")).alias("blob"))
+    both = occurring.unionByName(
+        classed.filter("bucket >= 0").select("bucket", F.concat(F.lit(b"\1"), "blob").alias("blob")))
+    return dealt(dealt(both, parts).mapInArrow(rare, BLOBS), parts).mapInArrow(
         finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
