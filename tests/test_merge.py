@@ -230,3 +230,32 @@ def test_hot_links_equal_all_pairs(spark, seed):
     as_comp = lambda links: {r.id: r.root for r in S.components(links, ["k"]).collect()}
     pairs = S.similar_pairs(df, ["k"], 3, 5).select("k", "a", "b")
     assert as_comp(S.similarity_links(df, ["k"], 3, 5, hot=2, block=4)) == as_comp(pairs)
+
+
+@pytest.mark.parametrize("num,den", [(3, 5), (1, 2), (4, 5)])
+def test_sets_meet_in_small_rows(spark, num, den):
+    """Pairs equal those of all sets; prefixes are rows of a fixed size, dealt once for both sides,
+    and what meets is close to the result, though every set holds frequent words."""
+    rng = random.Random(num * 10 + den)
+    words = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    rows, sets = [], {}
+    for i in range(260):
+        if i % 4 and i > 8:
+            w = list(rows[rng.randrange(i // 2)][2])
+            w = [x for x in w if rng.random() > 0.08] + rng.choices(words, k=rng.randint(0, len(w) // 6 + 1))
+        else:
+            w = rng.choices(words, weights, k=rng.choice([1, 2, 3, 5, 40, 90]))
+        rows.append(("s" if i % 5 else "t", i, sorted(set(w))))
+    df = spark.createDataFrame([r for r in rows if r[2]], "k string, ord bigint, tokens array<string>")
+    distinct = S.distinct_sets(df, ["k"], "tokens", "ord").cache()
+    for r in distinct.collect():
+        sets[(r.k, r.set_id)] = set(r.tokens)
+    want = {(k, a, b) for (k, a), x in sets.items() for (q, b), y in sets.items()
+            if k == q and a < b and len(x & y) * den > len(x | y) * num}
+    got = S.similar_pairs(distinct, ["k"], num, den)
+    assert {(r.k, r.a, r.b) for r in got.collect()} == want and want
+    prefixes = S._prefixes(distinct, ["k"], num, den)
+    assert all(kind in ("string", "bigint", "int") for _, kind in prefixes.dtypes)
+    met = S._meetings(prefixes, ["k"], num, den)
+    assert len(want) <= met.count() <= 2 * len(want) + 50
