@@ -223,7 +223,7 @@ def merge(cands: DataFrame, guard_category: bool = True, fold_rows: int = FOLD_R
     session_id, label, node_id, node_no, props, turn_acquired, ord (first candidate).
     """
     assigned = cut(assign_nodes(cands, guard_category, fold_rows))
-    names = number_nodes(assigned)
+    names = cut(number_nodes(assigned))
     full = cands.join(assigned, [*KEY, "ord"])
     withtext = full.withColumn("props", P.set_default(
         F.coalesce("props", empty_map()), "_text", F.col("text"), F.lit(True)))

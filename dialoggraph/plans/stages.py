@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored_table
 from ..sources.store import exists, read_text, write_once
 
 
@@ -44,4 +44,4 @@ class StageGraph:
             self.reused.append(name)
         found = json.loads(read_text(self.spark, manifest))
         schema = StructType.fromJson(found["schema"])
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{found['table']}")
+        return stored_table(self.spark, f"{self.folder}/{found['table']}", schema)

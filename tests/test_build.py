@@ -135,3 +135,14 @@ def test_build_goes_on_behind_the_last_complete_stage(spark, tmp_path):
     fourth = StageGraph(spark, folder, "v2")
     fourth.table("turns", lambda: turns(spark))
     assert fourth.made == ["turns"]
+
+
+def test_written_tables_are_broadcast_by_their_rows(spark):
+    """Files of ids are far smaller than their rows; only what is small in memory goes to the driver."""
+    from dialoggraph.session import cut
+    wide = spark.range(300_000).selectExpr("'session' AS session_id", "id")
+    plan = lambda a, b: a.join(b, ["session_id", "id"])._jdf.queryExecution().executedPlan().toString()
+    many, few = cut(wide), cut(wide.limit(100))
+    assert "BroadcastHashJoin" not in plan(many, many.groupBy("session_id", "id").count())
+    assert "BroadcastHashJoin" in plan(many.filter("id > 5"), few.drop("x").hint("broadcast"))
+    assert "BroadcastHashJoin" in plan(few, few.groupBy("session_id", "id").count())
