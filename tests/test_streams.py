@@ -128,3 +128,30 @@ def test_transcripts_due(spark):
     turns = spark.createDataFrame([("s", i) for i in range(1, 9)] + [("t", 1)], "session_id string, turn_index bigint")
     due = spark.createDataFrame([("s", 6)], "session_id string, turn_index bigint")
     assert transcripts_due(turns, due).count() == 6
+
+
+def test_state_is_looked_into_as_little_as_possible():
+    """A new session asks once; a repeated turn reads neither nodes nor edges and writes no head."""
+    from types import SimpleNamespace
+
+    from dialoggraph.streaming.turn_stream import _Session
+
+    calls = []
+
+    def table(name, rows=(), value=None):
+        log = lambda what, back=None: (lambda *a: calls.append((name, what)) or back)
+        return SimpleNamespace(get=log("get", value), exists=log("exists", value is not None), update=log("update"),
+                               updateValue=log("updateValue"), removeKey=log("removeKey"), iterator=log("iterator", iter(rows)))
+
+    def session(head):
+        calls.clear()
+        p = SimpleNamespace(head=table("head", value=head), first=1, patience=0, signatures=set(),
+                            **{n: table(n) for n in ("nodes", "edges", "early", "gaps")})
+        return _Session(p)
+
+    session(None)
+    assert calls == [("head", "get")]
+    known = session((5, 5, 0, "none"))
+    known.take(3, (0, [], [], None, None))
+    assert list(known.run(("s",), None)) == []
+    assert sorted(calls) == [("early", "iterator"), ("gaps", "iterator"), ("head", "get")]
