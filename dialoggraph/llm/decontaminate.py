@@ -29,12 +29,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import by_bucket, dealt
 from .brown import Lookup
 from .encode import ragged
 from .words import Block, blocks, words
 
 PASSAGE, WINDOW, STRIDE = 32, 64, 32
 OVERSAMPLING, SEED = 8, 7
+# Tasks of a sum over a round's passages, and numbers of a piece of it (1 MiB).
+SUMS, PIECE = 4, 1 << 17
 
 
 def lowered(batches):
@@ -124,7 +127,7 @@ def latent_space(benchmark: DataFrame, low: int, high: int, vocabulary: Lookup,
     """Right singular vectors (words x rank) of the TF-IDF passages of items low to high."""
     terms = len(vocabulary)
     items = (benchmark.filter(F.col("item_id").between(low, high) & F.col("text").isNotNull())
-             .select("item_id", "text").distinct().repartition(4, "item_id"))
+             .select("item_id", "text").distinct().repartition(SUMS))
 
     def matrices(batches):
         for block in lowered_blocks(batches):
@@ -137,20 +140,28 @@ def latent_space(benchmark: DataFrame, low: int, high: int, vocabulary: Lookup,
                     a[i, place[place >= 0]] = np.log2(1 + tf[place >= 0]) * idf[place[place >= 0]]
                 yield a
 
+    def added(batches):
+        for piece, sums in by_bucket(batches):
+            # In a fixed order, so that a rerun adds alike.
+            total = sum(np.frombuffer(x) for x in sorted(sums))
+            yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([total.tobytes()], pa.binary())], names=["bucket", "blob"])
+
     def summed(step):
-        """Sum over all partitions of step(matrix of passages), an array."""
+        """Sum over all partitions of step(matrix of passages), an array; the driver gets the sum alone, piece by piece."""
         def partial(batches):
             total = None
             for a in matrices(batches):
                 x = step(a)
                 total = x if total is None else total + x
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sum"])
-
-        total = 0.0
-        for r in items.mapInArrow(partial, "sum binary").toLocalIterator():
-            total = total + np.frombuffer(r["sum"])
-        return total
+            for k, lo in enumerate(range(0, 0 if total is None else total.size, PIECE)):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total.ravel()[lo:lo + PIECE].tobytes()], pa.binary())],
+                                                 names=["bucket", "blob"])
+
+        rows = "bucket long, blob binary"
+        # Read in a few parts, into however many the pieces were dealt.
+        pieces = dealt(items.mapInArrow(partial, rows), SUMS).mapInArrow(added, rows).coalesce(SUMS)
+        found = {r["bucket"]: np.frombuffer(r["blob"]) for r in pieces.toLocalIterator()}
+        return np.concatenate([found[k] for k in sorted(found)])
 
     r = min(rank + OVERSAMPLING, terms)
     draw = lambda: np.random.default_rng(SEED).standard_normal((terms, r))

@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
+import numpy as np
 import plain
 import pytest
 from pyspark.sql import functions as F
@@ -266,3 +267,19 @@ def test_labelled_samples_are_bounded_rows_with_texts(spark):
     assert [sum(r["y"] == k for r in rows) for k in (0, 1)] == [6, 10]
     assert len({r["doc_id"] for r in rows}) == len(rows)
     assert [r["text"] for r in rows if r["doc_id"] == 7] == ["a text"]
+
+
+def test_the_driver_gets_each_sum_of_the_latent_space_once(spark, monkeypatch):
+    """However many tasks the passages are dealt to."""
+    rng = np.random.default_rng(3)
+    items = [(k, " ".join(f"w{w}" for w in rng.integers(0, 200, 40))) for k in range(24)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(8)
+    words = np.unique(np.concatenate([decontaminate.text_words(t) for _, t in items]))
+    rows, frame = [], type(bench)
+    real = frame.toLocalIterator
+    monkeypatch.setattr(frame, "toLocalIterator", lambda self, *a: iter(rows.extend(got := list(real(self, *a))) or got))
+    space = decontaminate.latent_space(bench, 0, 23, decontaminate.Lookup(words), np.ones(len(words)), 8)
+    terms, r = len(words), 8 + decontaminate.OVERSAMPLING
+    sizes = [len(x) for row in rows for x in row if isinstance(x, (bytes, bytearray))]
+    assert sum(sizes) == 8 * (terms * r + r * (r + terms))
+    assert np.allclose(space.T @ space, np.eye(8))
