@@ -20,15 +20,17 @@ def start_guard(replies: DataFrame, cfg: GuardConfig, out_path: str, log_path: s
     A micro-batch that is replayed after a failure overwrites its own folder, so neither
     output holds a batch twice.
     """
-    guarded = guard_stream(replies, cfg, user_message)
+    spark = replies.sparkSession
+    # A file may be one row group, which one task reads; the work on it is dealt to all.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    guarded = guard_stream(replies.repartition(parts), cfg, user_message)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            batch.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-            log_rows(batch).write.mode("overwrite").json(f"{log_path}/batch={batch_id}")
-        finally:
-            batch.unpersist()
+        folder = f"{out_path}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(folder)
+        # The log is taken from what was written; the batch is neither held nor worked out again.
+        stored = batch.sparkSession.read.schema(batch.schema).parquet(folder)
+        log_rows(stored).write.mode("overwrite").json(f"{log_path}/batch={batch_id}")
 
     return (guarded.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -58,6 +58,16 @@ def test_guard_stream_equals_batch(spark, tmp_path):
     assert sorted(r.reply_id for r in spark.read.json(str(tmp_path / "log")).collect()) == [1, 3]
 
 
+def test_guard_stream_deals_the_rows_of_one_file(spark, tmp_path):
+    df = spark.range(400).select(F.col("id").alias("reply_id"), F.concat(F.lit("Call 12345 now. Reply "), F.col("id").cast("string"), F.lit(".")).alias("text"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    start_guard(stream, X.GuardConfig(), str(tmp_path / "out"), str(tmp_path / "log"), str(tmp_path / "ck")).awaitTermination()
+    assert len(list((tmp_path / "out" / "batch=0").glob("*.parquet"))) >= 4
+    logged = spark.read.json(str(tmp_path / "log"))
+    assert logged.count() == 400 and logged.select("reply_id").distinct().count() == 400
+
+
 def _files(spark, path, schema, parts):
     """One file per part, in order of arrival."""
     for i, part in enumerate(parts):
