@@ -1,6 +1,7 @@
 import os
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from dialoggraph import ontology as O
@@ -8,7 +9,7 @@ from dialoggraph.operators import guard as X
 from dialoggraph.operators import merge as M
 from dialoggraph.operators import phases as H
 from dialoggraph.streaming.guard_stream import start_guard
-from dialoggraph.streaming.turn_stream import TURN_SCHEMA, latest, start_turns, transcripts_due, utterance_stream, with_row_state
+from dialoggraph.streaming.turn_stream import TURN_SCHEMA, Utterances, latest, start_turns, transcripts_due, utterance_stream, with_row_state
 
 TURNS = [("s", 1, [("Problem", "work stress")], None, None), ("s", 2, [], "Assessment", None),
          ("s", 3, [("Situation", "exam tomorrow")], None, "Technique"), ("s", 4, [("Situation", "exam tomorrow morning")], None, None),
@@ -165,3 +166,26 @@ def test_state_is_looked_into_as_little_as_possible():
     known.take(3, (0, [], [], None, None))
     assert list(known.run(("s",), None)) == []
     assert sorted(calls) == [("early", "iterator"), ("gaps", "iterator"), ("head", "get")]
+
+
+def test_utterances_of_a_few_turns_look_into_the_state_once():
+    calls = []
+
+    class State:
+        value = None
+        get = lambda self: calls.append("get") or self.value
+        exists = lambda self: calls.append("exists") or self.value is not None
+        update = lambda self, v: calls.append("update") or setattr(self, "value", v)
+
+    class Handle:
+        getValueState = lambda self, *a: State()
+        registerTimer = lambda self, at: calls.append(at)
+
+    p = Utterances(1000)
+    p.init(Handle())
+    row = lambda node, at, text: Row(node_id=node, turn_index=1, speaker="client", text=text, arrived_ms=at)
+    got = list(p.handleInputRows(("s", 0), iter([row("utt_1", 5, "a"), row("utt_1", 5, "b"), row("utt_2", 5, "c")]), None))
+    assert [(r.node_id, r.text, r.version) for r in got] == [("utt_1", "b", 1), ("utt_2", "c", 1)]
+    assert calls == ["get", "update", 1005]
+    got = list(p.handleInputRows(("s", 0), iter([row("utt_1", 4, "x"), row("utt_2", 6, "d")]), None))
+    assert [(r.node_id, r.text, r.version) for r in got] == [("utt_2", "d", 2)]
