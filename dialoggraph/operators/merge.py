@@ -15,6 +15,7 @@ node can never leave its connected component of the similarity graph.  Hence:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -97,20 +98,22 @@ def _fold_block(guarded: bool):
 
 
 def assign_nodes(cands: DataFrame, guard_category: bool = True,
-                 fold_rows: int = FOLD_ROWS, hot: int | None = None) -> DataFrame:
+                 fold_rows: int = FOLD_ROWS, hot: int | None = None,
+                 keep: Sequence[str] = ()) -> DataFrame:
     """session_id, label, ord, head: the ord of the first candidate of the node joined.
 
     cands: session_id, label, ord (unique per session and label), text, props.  A
-    candidate with no token resembles nothing and is a node of its own.
+    candidate with no token resembles nothing and is a node of its own.  ``keep`` names columns
+    of the candidates that come back too, so that nobody has to look the candidates up again.
     """
     tokens = token_set(F.col("text"))
     marked = cands.select(*KEY, F.col("ord").cast("bigint").alias("ord"), tokens.alias("tokens"),
                           F.nullif(P.get_prop(F.col("props"), "domain"), F.lit("")).alias("domain"),
-                          F.nullif(P.get_prop(F.col("props"), "category"), F.lit("")).alias("category"))
+                          F.nullif(P.get_prop(F.col("props"), "category"), F.lit("")).alias("category"), *keep)
     # from here on a text is its digest; the words themselves exist once per distinct set
     digest = F.unhex(F.sha2(F.array_join("tokens", "\u0001"), 256))
     base = cut(marked.select(*KEY, "ord", "domain", "category", digest.alias("sig"),
-                             (F.size("tokens") == 0).alias("blank")))
+                             (F.size("tokens") == 0).alias("blank"), *keep))
     sets = cut(distinct_sets(marked, KEY, "tokens", "ord").withColumn("sig", digest))
     links = similarity_links(sets, KEY, *THRESHOLD, **({} if hot is None else {"hot": hot}))
     roots = cut(components(links, KEY).select(*KEY, F.col("id").alias("set_id"), "root"))
@@ -126,11 +129,14 @@ def assign_nodes(cands: DataFrame, guard_category: bool = True,
     linked = cut(linked)
     single = (sets.join(linked.select(*KEY, "sig"), [*KEY, "sig"], "left_anti")
               .select(*KEY, "sig", F.col("set_id").alias("head")))
-    easy = base.filter("not blank").join(single, [*KEY, "sig"]).select(*KEY, "ord", "head")
-    blank = base.filter("blank").select(*KEY, "ord", F.col("ord").alias("head"))
-    hard = base.join(linked.drop("tokens"), [*KEY, "sig"])
+    easy = base.filter("not blank").join(single, [*KEY, "sig"]).select(*KEY, "ord", "head", *keep)
+    blank = base.filter("blank").select(*KEY, "ord", F.col("ord").alias("head"), *keep)
+    hard = cut(base.join(linked.drop("tokens"), [*KEY, "sig"]))
     words = linked.select(*KEY, "sig", "tokens")
-    return easy.unionByName(blank).unionByName(_fold(hard, words, guard_category, fold_rows))
+    folded = _fold(hard.drop(*keep), words, guard_category, fold_rows)
+    if keep:
+        folded = folded.join(hard.select(*KEY, "ord", *keep), [*KEY, "ord"])
+    return easy.unionByName(blank).unionByName(folded)
 
 
 def _fold(hard: DataFrame, words: DataFrame, guard_category: bool, fold_rows: int) -> DataFrame:
@@ -188,8 +194,12 @@ def fold_props(rows: DataFrame, keys: list[str]) -> DataFrame:
     has stayed open since it was set, because the gate is applied after every candidate.
     Both parts are aggregates (max_by), so a node with very many candidates is cheap.
     """
-    kv = rows.select(*keys, "label", "ord", F.explode("props").alias("k", "v")).filter(
-        F.coalesce("v", F.lit("")) != "")
+    def values(some: DataFrame) -> DataFrame:
+        return some.select(*keys, "label", "ord", F.explode("props").alias("k", "v")).filter(
+            F.coalesce("v", F.lit("")) != "")
+
+    # classes without a gate are not read again for the gates
+    kv, guarded = values(rows), values(rows.filter(F.col("label").isin(*[l for l, *_ in P.GATES])))
     gates = {(l, g): v for l, _, g, v in P.GATES}
     gated = {(l, p): g for l, p, g, _ in P.GATES}
     is_gate = F.lit(False)
@@ -199,16 +209,16 @@ def fold_props(rows: DataFrame, keys: list[str]) -> DataFrame:
         is_gate |= here
         closes |= here & (F.col("v") != v)
     by_label = [*keys, "label"]
-    last_closed = kv.filter(is_gate).groupBy(*by_label).agg(
+    last_closed = guarded.filter(is_gate).groupBy(*by_label).agg(
         F.max(F.when(closes, F.col("ord"))).alias("_closed"))
-    opened = (kv.filter(is_gate & ~closes).join(last_closed, by_label)
+    opened = (guarded.filter(is_gate & ~closes).join(last_closed, by_label)
               .filter(F.col("_closed").isNull() | (F.col("ord") > F.col("_closed")))
               .groupBy(*by_label).agg(F.min("ord").alias("_open")))
     is_gated = F.lit(False)
     for (l, p) in gated:
         is_gated |= (F.col("label") == l) & (F.col("k") == p)
     plain = kv.filter(~is_gated)
-    kept = (kv.filter(is_gated).join(opened, by_label).filter(F.col("ord") >= F.col("_open"))
+    kept = (guarded.filter(is_gated).join(opened, by_label).filter(F.col("ord") >= F.col("_open"))
             .select(*plain.columns))
     latest = plain.unionByName(kept).groupBy(*keys, "label", "k").agg(F.max_by("v", "ord").alias("v"))
     maps = latest.groupBy(*keys, "label").agg(F.map_from_entries(F.collect_list(
@@ -222,29 +232,27 @@ def merge(cands: DataFrame, guard_category: bool = True, fold_rows: int = FOLD_R
     cands: session_id, label, ord, text, props, turn_index.  Nodes come back as
     session_id, label, node_id, node_no, props, turn_acquired, ord (first candidate).
     """
-    assigned = cut(assign_nodes(cands, guard_category, fold_rows))
-    names = cut(number_nodes(assigned))
-    full = cands.join(assigned, [*KEY, "ord"])
-    withtext = full.withColumn("props", P.set_default(
-        F.coalesce("props", empty_map()), "_text", F.col("text"), F.lit(True)))
-    # the text lives under the property of its class
+    assigned = cut(assign_nodes(cands, guard_category, fold_rows, keep=["text", "props", "turn_index"]))
+    # every candidate with its node, written once: all that follows are aggregates of this table
+    full = cut(assigned.join(cut(number_nodes(assigned)), [*KEY, "head"]))
+    # the text lives under the property of its class and is gated by nothing
     own = P.text_prop(F.col("label"))
-    renamed = withtext.withColumn("props", F.map_from_entries(F.transform(
-        F.filter(F.map_entries("props"), lambda e: e["key"] != own),
-        lambda e: F.struct(F.when(e["key"] == "_text", own).otherwise(e["key"]), e["value"]))))
-    props = fold_props(renamed, ["session_id", "head"])
-    acquired = full.groupBy(*KEY, "head").agg(F.max_by("turn_index", "ord").alias("turn_acquired"))
-    nodes = (acquired.join(names, [*KEY, "head"])
-             .join(props, [*KEY, "head"], "left")
-             .select("session_id", "label", node_name(F.col("label"), F.col("node_no")).alias("node_id"),
-                     "node_no", F.coalesce("props", P.gate(F.col("label"), empty_map())).alias("props"),
+    other = full.withColumn("props", F.map_filter("props", lambda k, v: (k != own) & (v != ""))).filter(F.size("props") > 0)
+    props = fold_props(other, ["session_id", "head"])
+    found = full.groupBy(*KEY, "head").agg(
+        F.max("node_no").alias("node_no"), F.max_by("turn_index", "ord").alias("turn_acquired"),
+        F.max_by("text", F.when(F.col("text") != "", F.col("ord"))).alias("_text"))
+    said = F.when(own.isNotNull() & F.col("_text").isNotNull(), F.create_map(
+        F.coalesce(own, F.lit("")), F.col("_text"))).otherwise(empty_map())
+    nodes = (found.join(props, [*KEY, "head"], "left")
+             .select("session_id", "label", node_name(F.col("label"), F.col("node_no")).alias("node_id"), "node_no",
+                     F.map_concat(F.coalesce("props", P.gate(F.col("label"), empty_map())), said).alias("props"),
                      F.col("turn_acquired").cast("int").alias("turn_acquired"),
                      F.col("head").alias("ord")))
-    first_seen = full.groupBy(*KEY, "head", "turn_index").agg(F.min("ord").alias("pos"))
-    evidence = (first_seen.join(names, [*KEY, "head"])
+    evidence = (full.groupBy(*KEY, "head", "node_no", "turn_index").agg(F.min("ord").alias("pos"))
                 .select("session_id", node_name(F.col("label"), F.col("node_no")).alias("owner_id"),
                         "pos", F.col("turn_index").cast("bigint").alias("turn_index")))
-    return Merged(assigned.join(names, [*KEY, "head"]).select(*KEY, "ord", "node_no"), nodes, evidence)
+    return Merged(full.select(*KEY, "ord", "node_no"), nodes, evidence)
 
 
 # ── scaffold, edges, counts ───────────────────────────────────────────────

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Positions per block.  A key with 10^11 positions has about 1.5 million block summaries,
 # which one window task scans easily; more sizes add more levels.
 TURN_BLOCKS = (65_536,)
@@ -83,6 +85,21 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return out.select(*df.columns, *aggs)
 
 
+def one_block(df: DataFrame, keys: Sequence[str], pos: str, most: int = TURN_BLOCKS[0]) -> DataFrame:
+    """``pos`` becomes 0 for keys of at most ``most`` rows, so each of them is a single block.
+
+    Cut by time, sparse rows are almost a block each, and the summary is as long as the data.  Only
+    keys with more rows keep their positions; there are rows / ``most`` of them, so joining them is cheap.
+    """
+    crowded = cut(df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_rows"))
+                  .filter(F.col("_rows") > most))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return df.join(crowded, same, "left").withColumn(
+        pos, F.when(F.col("_rows").isNotNull(), F.col(pos)).otherwise(F.lit(0).cast("bigint"))).select(*df.columns)
+
+
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, pos: str,
              sizes: Sequence[int] = TURN_BLOCKS) -> DataFrame:
     """1-based row number per ``keys`` along ``order``, block-parallel."""

@@ -36,8 +36,11 @@ def distinct_sets(df: DataFrame, keys: Sequence[str], tokens: str, order: str) -
 
 # Buckets of the sketch of token frequencies, and of one row of it.
 SKETCH, SKETCH_ROW = 1 << 22, 1 << 16
-# Shared tokens asked for where two sets meet; the prefixes are longer by as many tokens.
+# Shared tokens asked for at most where two sets meet; the prefixes are longer by as many tokens.
 SHARED = 4
+# Tokens in common that one more shared token is asked for.  Short sets meet by their rarest token
+# alone: asked for more, two words would meet by the frequent one as well.
+PER_SHARED = 4
 
 
 def _least_common(size_a: Column, size_b: Column, num: int, den: int) -> Column:
@@ -45,6 +48,11 @@ def _least_common(size_a: Column, size_b: Column, num: int, den: int) -> Column:
     return F.floor((size_a + size_b) * num / (num + den)).cast("int") + 1
 
 
+def _shared(least: Column) -> Column:
+    """Shared tokens asked for of sets that need ``least`` in common; it grows slower than ``least``."""
+    return F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(least / PER_SHARED).cast("int")))
+
+
 def _hashed(sets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sets with their tokens as 64-bit hashes that differ from key to key."""
     return sets.select(*keys, "set_id", F.array_distinct(F.transform(
@@ -87,8 +95,8 @@ def _prefixes(sets: DataFrame, keys: Sequence[str], num: int, den: int) -> DataF
 
     Two sets that share c tokens or more share the l-th of them, in any fixed global order, no
     later than at place size - c + l - 1 of either.  With the smallest c that a set of the
-    smallest size in question asks for, these rows hold the first ``SHARED`` common tokens of
-    every pair above the threshold.  Tokens that stand in one set only are left out.
+    smallest size in question asks for, these rows hold the first common tokens of every pair above
+    the threshold, as many as ``_shared`` says.  Tokens that stand in one set only are left out.
     """
     import numpy as np
     import pyarrow as pa
@@ -121,7 +129,8 @@ def _prefixes(sets: DataFrame, keys: Sequence[str], num: int, den: int) -> DataF
             h, level = h[order], level[order]
             at = np.arange(len(h)) - (np.cumsum(size) - size)[row]
             common = (size + size * num // den + 1) * num // (num + den) + 1
-            keep = np.flatnonzero((at < (size - common + SHARED)[row]) & (level > 1))
+            shared = np.clip(common // PER_SHARED, 1, SHARED)
+            keep = np.flatnonzero((at < (size - common + shared)[row]) & (level > 1))
             for lo in range(0, len(keep), 1 << 17):
                 k = keep[lo:lo + (1 << 17)]
                 own = [b.column(i).take(pa.array(row[k])) for i in range(len(names))]
@@ -140,7 +149,7 @@ def _meetings(pre: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
     """Pairs (a < b) that share so many of their rarest tokens that they may exceed the threshold.
 
     A pair that shares c tokens, the least it needs, has the first l of them at places below
-    size - c + l on both sides.  With l = ``SHARED`` (or c, if that is less) a pair with fewer
+    size - c + l on both sides.  With l as ``_shared`` says (never more than c) a pair with fewer
     common tokens there is below the threshold.  This cannot lose a pair, and what is left is
     close to the result; rows are the prefixes alone, dealt once for both sides.
     """
@@ -148,14 +157,15 @@ def _meetings(pre: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
     c = lambda side, name: F.col(f"{side}.{name}")
     sa, sb = c("x", "size"), c("y", "size")
     least = _least_common(sa, sb, num, den)
+    need = _shared(least)
     same = F.lit(True)
     for k in [*keys, "token"]:
         same &= c("x", k) == c("y", k)
     met = (x.join(y, same & (c("x", "set_id") < c("y", "set_id"))
                   & (F.least(sa, sb) * den > F.greatest(sa, sb) * num)
-                  & (c("x", "at") < sa - least + SHARED) & (c("y", "at") < sb - least + SHARED))
+                  & (c("x", "at") < sa - least + need) & (c("y", "at") < sb - least + need))
            .select(*[c("x", k).alias(k) for k in keys], c("x", "set_id").alias("a"), c("y", "set_id").alias("b"),
-                   F.least(least, F.lit(SHARED)).alias("_need")))
+                   need.alias("_need")))
     return (met.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("_n"), F.min("_need").alias("_need"))
             .filter("_n >= _need").select(*keys, "a", "b"))
 

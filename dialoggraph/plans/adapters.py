@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lookup import lookup
-from ..operators.ordered import TIME_BLOCKS, numbered
+from ..operators.ordered import TIME_BLOCKS, numbered, one_block
 from ..operators.turns import client_turn_numbers
 from ..session import cut, spread_small
 
@@ -91,7 +91,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", F.col("user_id").cast("string").alias("session_id"),
         F.col("ts").cast("timestamp").alias("ts"), "event_type", "value",
         F.get_json_object("props", "$.k").alias("k"))
-    e = e.withColumn("_pos", F.unix_micros("ts"))
+    e = one_block(e.withColumn("_pos", F.unix_micros("ts")), ["session_id"], "_pos")
     e = numbered(e, ["session_id"], ["ts", "event_id"], "turn_index", "_pos", TIME_BLOCKS)
     return cut(e.select("event_id", "session_id", "turn_index",
                         lookup(EVENT_LABEL, F.col("event_type")).alias("label"),

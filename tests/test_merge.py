@@ -259,3 +259,35 @@ def test_sets_meet_in_small_rows(spark, num, den):
     assert all(kind in ("string", "bigint", "int") for _, kind in prefixes.dtypes)
     met = S._meetings(prefixes, ["k"], num, den)
     assert len(want) <= met.count() <= 2 * len(want) + 50
+
+
+def test_short_sets_meet_by_their_rare_word_alone(spark):
+    """Two-word texts of one class share its word; none of them is similar, so none is a row of the join."""
+    sets = spark.createDataFrame([("s", ["error", f"k{i}"], i) for i in range(300)], "k string, tokens array<string>, set_id bigint")
+    assert S._prefixes(sets, ["k"], 3, 5).count() == 0
+    words = [["a", f"b{i % 40}", f"c{i % 7}", f"d{i}"] for i in range(120)] + [["a", f"b{i}", "c0", "x", f"y{i % 3}"] for i in range(40)]
+    mixed = spark.createDataFrame([("s", w, i) for i, w in enumerate(words)], "k string, tokens array<string>, set_id bigint")
+    for num, den in [(3, 5), (1, 3)]:
+        want = {(i, j) for i, x in enumerate(words) for j, y in enumerate(words)
+                if i < j and len(set(x) & set(y)) * den > len(set(x) | set(y)) * num}
+        assert {(r.a, r.b) for r in S.similar_pairs(mixed, ["k"], num, den).collect()} == want and want
+
+
+def test_merge_reads_the_candidates_before_its_tables_only(spark):
+    """Nodes and evidence are aggregates of one written table: what made the candidates is not run again for each."""
+    rows = random_rows(3, 40, [f"w{i}" for i in range(14)], ["CoreBelief", "Situation"], sessions=2)
+    made = cands(spark, rows).withColumn("text", F.udf(lambda t: t, "string")(F.col("text")))
+    m = M.merge(made, fold_rows=9)
+    for table in (m.assigned, m.nodes, m.evidence):
+        assert "EvalPython" not in table._jdf.queryExecution().toString()
+    heads = {}
+    for s in ("s0", "s1"):
+        one = [(o, l, t, p.get("domain"), p.get("category")) for x, l, o, t, p in rows if x == s]
+        heads |= {(s, l, o): h for (l, o), h in merge_in_order(one).items()}
+    want = {}
+    for s, l, o, t, p in sorted(rows, key=lambda r: r[2]):
+        want.setdefault((s, l, heads[(s, l, o)]), []).append((o, {**p, O.TEXT_PROP[l]: t}))
+    got = {(r.session_id, r.label, r.ord): (dict(r.props), r.turn_acquired) for r in m.nodes.collect()}
+    assert got == {k: (fold_props(steps, k[1]), max(o for o, _ in steps)) for k, steps in want.items()}
+    n_ev = {(r.session_id, r.owner_id): r["count"] for r in m.evidence.groupBy("session_id", "owner_id").count().collect()}
+    assert sorted(n_ev.values()) == sorted(len(v) for v in want.values())

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from dialoggraph import ontology as O
 from dialoggraph.operators import phases as H
 from dialoggraph.operators import turns as T
-from dialoggraph.operators.ordered import numbered, run_states, running
+from dialoggraph.operators.ordered import numbered, one_block, run_states, running
 
 from helpers import bisect_chunks, phases
 
@@ -133,3 +133,16 @@ def test_windows_and_views(spark):
     view = T.transcript_view(many)
     assert view.count() == 60 and view.agg(F.min("turn_index")).first()[0] == 11
     assert view.first().text == "y" * 400 + "…"
+
+
+def test_sparse_keys_are_one_block(spark):
+    """Blocks of time only for keys with many rows; the numbers are the same, and so are those of a null key."""
+    rng = random.Random(4)
+    made = [(k, rng.randrange(10 ** 9), i) for k, n in (("big", 90), ("small", 12), (None, 40)) for i in range(n)]
+    df = spark.createDataFrame(made, "k string, at bigint, id int").withColumn("pos", F.col("at"))
+    placed = one_block(df, ["k"], "pos", most=20)
+    assert placed.columns == df.columns and placed.count() == len(made)
+    blocks = {r.k: r.n for r in placed.groupBy("k").agg(F.count_distinct("pos").alias("n")).collect()}
+    assert blocks["small"] == 1 and blocks["big"] > 80 and blocks[None] > 30
+    got = {(r.k, r.id): r.n for r in numbered(placed, ["k"], ["at", "id"], "n", "pos", (10 ** 7,)).collect() if r.k}
+    assert got == {(k, i): n for k in ("big", "small") for n, (_, i) in enumerate(sorted((p, i) for x, p, i in made if x == k), 1)}
