@@ -44,13 +44,14 @@ def rule_candidates(turns: DataFrame, rules: Sequence) -> DataFrame:
     """
     sents = turns.select("session_id", "turn_index", "speaker",
                          F.posexplode(sentences(F.col("text"))).alias("sent_no", "sentence"))
-    low = F.lower("sentence")
-    hits = [F.when(low.rlike(r.pattern) & (F.lit(True) if r.speaker is None
-                                           else F.col("speaker") == r.speaker),
-                   F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority")))
-            for r in rules]
-    found = sents.select("session_id", "turn_index", "speaker", "sent_no", "sentence",
-                         F.explode(F.array_compact(F.array(*hits))).alias("h"))
+    sents = sents.withColumn("_low", F.lower("sentence"))
+    # a rule is a column of its own, so that it is compiled; the pattern is looked for in sentences of its speaker
+    said = lambda r: (F.lit(True) if r.speaker is None else F.col("speaker") == r.speaker)
+    hits = {f"_hit{i}": F.when(said(r) & F.col("_low").rlike(r.pattern),
+                               F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority")))
+            for i, r in enumerate(rules)}
+    found = sents.withColumns(hits).select("session_id", "turn_index", "speaker", "sent_no", "sentence",
+                                           F.explode(F.array_compact(F.array(*hits))).alias("h"))
     if len({r.label for r in rules}) == len(list(rules)):
         best = found.select("*", "h.*").drop("h")
     else:

@@ -59,7 +59,7 @@ def _hashed(sets: DataFrame, keys: Sequence[str]) -> DataFrame:
         "tokens", lambda t: F.xxhash64(*[F.col(k) for k in keys], t))).alias("hashes"))
 
 
-def _levels(hashed: DataFrame) -> bytes:
+def _levels(sets: DataFrame, keys: Sequence[str]) -> bytes:
     """How frequent tokens are, one byte for each bucket of their hashes: 8 * log2 of the count.
 
     A fixed size whatever the input.  Tokens of one bucket count together, which makes some
@@ -68,7 +68,9 @@ def _levels(hashed: DataFrame) -> bytes:
     import numpy as np
     import pyarrow as pa
 
-    counts = (hashed.select(F.explode("hashes").alias("h")).groupBy(F.pmod("h", F.lit(SKETCH)).alias("bucket"))
+    # a row per token before it is hashed: that is compiled, other than a function over an array
+    tokens = sets.select(*keys, F.explode("tokens").alias("_t"))
+    counts = (tokens.groupBy(F.pmod(F.xxhash64(*keys, "_t"), F.lit(SKETCH)).alias("bucket"))
               .agg(F.count(F.lit(1)).alias("n"))
               .select(F.expr(f"cast(bucket div {SKETCH_ROW} as int)").alias("line"),
                       F.expr(f"cast(bucket % {SKETCH_ROW} as int)").alias("place"), "n"))
@@ -103,7 +105,7 @@ def _prefixes(sets: DataFrame, keys: Sequence[str], num: int, den: int) -> DataF
 
     hashed = _hashed(sets, keys)
     names = [*keys, "set_id"]
-    levels = sets.sparkSession.sparkContext.broadcast(_levels(hashed))
+    levels = sets.sparkSession.sparkContext.broadcast(_levels(sets, keys))
     types = {f.name: f.dataType.simpleString() for f in hashed.schema}
     ddl = ", ".join([*(f"`{n}` {types[n]}" for n in names), "token bigint, size int, at int"])
 

@@ -15,6 +15,7 @@ from ..operators import merge as M
 from ..operators import turns as T
 from ..operators.graph import Graph, empty_map
 from ..operators.ordered import numbered
+from ..session import cut
 from .stages import StageGraph
 
 Extractor = Callable[[DataFrame], DataFrame]
@@ -58,7 +59,8 @@ class Built:
 def found_candidates(found: DataFrame) -> DataFrame:
     """Extracted candidates with ids in the order of their turns."""
     rows = found.select("session_id", "label", "text", F.col("turn_index").cast("bigint").alias("turn_index"), F.col("seq").cast("bigint").alias("seq"))
-    named = numbered(rows, ["session_id"], ["turn_index", "seq", "label", "text"], "cand_id", "turn_index")
+    # numbering reads its rows twice; the extractor runs once
+    named = numbered(cut(rows), ["session_id"], ["turn_index", "seq", "label", "text"], "cand_id", "turn_index")
     return named.select(
         "session_id", "cand_id", "label", "text", F.lit(None).cast("string").alias("group_key"), empty_map().alias("props"),
         F.array("turn_index").alias("evidence"), "turn_index", "seq")
@@ -115,9 +117,14 @@ def whole_build(turns: DataFrame, extractor: Extractor, answers: Answers = Answe
     stage("subclassed", answers.subclasses, lambda: C.assign_discriminator(cands, answers.subclasses(cands), onto.enums))
     stage("classified", answers.properties, lambda: C.classify(cands, answers.properties(cands)).select(*CANDIDATE))
 
-    # A number for every candidate, unique in its session, along turns.
-    ready = st.table("ordered", lambda: numbered(
-        C.prepared(with_subclass(cands)), ["session_id"], ["turn_index", "seq", "cand_id"], "ord", "turn_index"), last)
+    # A number for every candidate, unique in its session, along turns; candidates as found have it as their id.
+    def in_order() -> DataFrame:
+        rows = C.prepared(with_subclass(cands))
+        if last == "found":
+            return rows.withColumn("ord", F.col("cand_id"))
+        return numbered(rows, ["session_id"], ["turn_index", "seq", "cand_id"], "ord", "turn_index")
+
+    ready = st.table("ordered", in_order, last)
     merged = M.merge(ready.select("session_id", "label", "ord", "text", "props", "turn_index"))
     nodes = st.table("nodes", lambda: merged.nodes.select(
         "session_id", "node_id", "label", "props", F.lit("found").alias("status"), "turn_acquired", "ord"), "ordered")

@@ -146,3 +146,31 @@ def test_written_tables_are_broadcast_by_their_rows(spark):
     assert "BroadcastHashJoin" not in plan(many, many.groupBy("session_id", "id").count())
     assert "BroadcastHashJoin" in plan(many.filter("id > 5"), few.drop("x").hint("broadcast"))
     assert "BroadcastHashJoin" in plan(few, few.groupBy("session_id", "id").count())
+
+
+def test_the_extractor_runs_once(spark):
+    """Every candidate is extracted once, however often its number is looked at, and counts along the turns."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        calls.add(1)
+        return text != ""
+
+    extractor = lambda t: lines(t).filter(F.udf(seen, "boolean").asNondeterministic()(F.col("text")))
+    stages = StageGraph(spark)
+    built = whole_build(turns(spark), extractor, stages=stages)
+    n = lines(turns(spark)).count()
+    assert calls.value == n
+    again = stages.table("ordered", lambda: None, "found")
+    assert [r.ord for r in again.orderBy("turn_index", "seq").collect()] == list(range(1, n + 1))
+    assert built.graph.nodes.filter(F.col("label").isin("Situation", "Goal", "Problem")).count() == 3
+
+
+def test_rules_look_at_sentences_of_their_speaker(spark):
+    from dialoggraph.plans.adapters import Rule
+    t = spark.createDataFrame([("s", 1, "client", "I SAW that. And the rest"), ("s", 1, "therapist", "The end! that"), ("s", 2, None, "that the")],
+                              "session_id string, turn_index bigint, speaker string, text string")
+    got = C.rule_candidates(t, [Rule("Problem", "client", "that", 1), Rule("Goal", "therapist", "the", 2), Rule("Situation", None, "that|rest", 3)])
+    assert {(r.turn_index, r.speaker, r.sent_no, r.label, r.text) for r in got.collect()} == {
+        (1, "client", 0, "Problem", "I SAW that."), (1, "client", 0, "Situation", "I SAW that."), (1, "client", 1, "Situation", "And the rest"),
+        (1, "therapist", 0, "Goal", "The end!"), (1, "therapist", 1, "Situation", "that"), (2, None, 0, "Situation", "that the")}
