@@ -291,3 +291,42 @@ def test_merge_reads_the_candidates_before_its_tables_only(spark):
     assert got == {k: (fold_props(steps, k[1]), max(o for o, _ in steps)) for k, steps in want.items()}
     n_ev = {(r.session_id, r.owner_id): r["count"] for r in m.evidence.groupBy("session_id", "owner_id").count().collect()}
     assert sorted(n_ev.values()) == sorted(len(v) for v in want.values())
+
+
+def test_words_of_near_copies_are_dealt_once_for_all_their_pairs(spark):
+    """60 near copies are 1,770 pairs; their words go to one block, so to one place for each set."""
+    rows = [("k", sorted([f"w{j}" for j in range(40)] + [f"own{i}"]), i) for i in range(60)] + [("k", [f"x{i}", "w1"], 100 + i) for i in range(40)]
+    sets = spark.createDataFrame(rows, "k string, tokens array<string>, set_id bigint")
+    met = S._meetings(S._prefixes(sets, ["k"], 3, 5), ["k"], 3, 5)
+    blocks = S._blocks(met, ["k"])
+    dealt = blocks.select("_g", "_i", "_j", F.explode(F.array("a", "b")).alias("id")).distinct()
+    assert blocks.count() == 1770 and dealt.count() == 60
+    kept = {r.set_id for r in S.narrowed(sets, dealt.select(F.lit("k").alias("k"), F.col("id").alias("set_id")), ["k", "set_id"]).collect()}
+    assert set(range(60)) <= kept and len(kept) < 70
+    got = S.similar_pairs(sets, ["k"], 3, 5)
+    assert {(r.a, r.b, r.common, r.size_a, r.size_b) for r in got.collect()} == {(a, b, 40, 41, 41) for a in range(60) for b in range(a + 1, 60)}
+
+
+def test_blocks_of_many_words_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_TOKENS", 100)
+    rng = random.Random(5)
+    sets = {i: sorted({f"w{rng.randrange(14)}" for _ in range(12)}) for i in range(60)}
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(tuple(s), i)
+    df = spark.createDataFrame([("k", list(s), i) for s, i in first.items()], "k string, tokens array<string>, set_id bigint")
+    want = {(i, j) for s, i in first.items() for t, j in first.items() if i < j and len(set(s) & set(t)) * 5 > len(set(s) | set(t)) * 3}
+    assert {(r.a, r.b) for r in S.similar_pairs(df, ["k"], 3, 5).collect()} == want and len(want) > 100
+
+
+def test_distinct_sets_are_dealt_as_text_only_if_it_tells_them_apart(spark):
+    rows = [["a", "b"], ["a b"], ["a", "b c"], ["a b", "c"], ["a", "b"], [""], ["", "a"], ["x" * 9]]
+    df = spark.createDataFrame([("k", i, t) for i, t in enumerate([*rows, []])], "k string, ord bigint, tokens array<string>")
+    out = S.distinct_sets(df, ["k"], "tokens", "ord")
+    want = {}
+    for i, t in enumerate(rows):
+        want.setdefault(tuple(t), []).append(i)
+    assert {(tuple(r.tokens), r.set_id, r.n) for r in out.collect()} == {(t, i[0], len(i)) for t, i in want.items()}
+    # the usual set is one text in the shuffle, not an array
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [k" in plan and "_line" in plan
