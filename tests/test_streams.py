@@ -189,3 +189,92 @@ def test_utterances_of_a_few_turns_look_into_the_state_once():
     assert calls == ["get", "update", 1005]
     got = list(p.handleInputRows(("s", 0), iter([row("utt_1", 4, "x"), row("utt_2", 6, "d")]), None))
     assert [(r.node_id, r.text, r.version) for r in got] == [("utt_2", "d", 2)]
+
+
+def _kept_state(first=0):
+    """A processor's state as plain dictionaries, with the calls that were made."""
+    import json
+    from types import SimpleNamespace
+
+    calls = []
+
+    class Table(dict):
+        def __init__(self, name):
+            self.name = name
+
+        def iterator(self):
+            calls.append((self.name, "iterator"))
+            return iter(list(self.items()))
+
+        def updateValue(self, key, value):
+            calls.append((self.name, "write"))
+            self[key] = value
+
+        def removeKey(self, key):
+            calls.append((self.name, "write"))
+            del self[key]
+
+    head = SimpleNamespace(value=None)
+    head.get = lambda: calls.append(("head", "get")) or head.value
+    head.update = lambda v: calls.append(("head", "write")) or setattr(head, "value", v)
+    p = SimpleNamespace(head=head, first=first, patience=10, signatures={("Situation", "triggers", "AutomaticThought")},
+                        handle=SimpleNamespace(registerTimer=lambda at: calls.append(("timer", at))),
+                        **{n: Table(n) for n in ("nodes", "edges", "early", "gaps")})
+
+    def said(turn):
+        label = "Situation" if turn % 2 else "AutomaticThought"
+        link = {"subject": 1, "predicate": "triggers", "object_label": "AutomaticThought", "object": 1, "reported_intensity": f"{turn}/10"}
+        return json.dumps({"candidates": [{"label": label, "text": f"n{turn % 14} m{turn % 14}", "props": None}], "links": [link], "technique": None, "model_phase": None})
+
+    return p, calls, said
+
+
+def test_a_new_session_writes_pages_not_rows():
+    from dialoggraph.streaming.turn_stream import _Session
+
+    p, calls, said = _kept_state()
+    s = _Session(p)
+    for turn in [*range(30), *range(31, 60)]:
+        s.take(turn, (5, said(turn)))
+    assert len(list(s.run(("s",), None))) == 30 + 15 and p.head.value[0] == 29
+    # 14 nodes, 7 edges, 29 turns that wait behind a gap, the numbers before 0: six rows of state and one timer
+    assert sorted(calls) == [("early", "write")] * 2 + [("edges", "write"), ("gaps", "write"), ("head", "get"), ("head", "write"),
+                                                        ("nodes", "write"), ("timer", 15)]
+
+
+def test_pages_hold_what_one_call_would(monkeypatch):
+    """Turns out of order, twice, behind a gap and late, over tiny pages: calls with few turns end as the plain order does."""
+    import random
+
+    from dialoggraph.streaming import turn_stream as T
+
+    for name in ("PAGE", "TURN_PAGE", "GAP_PAGE"):
+        monkeypatch.setattr(T, name, 2)
+    for seed in range(6):
+        rng = random.Random(seed)
+        p, calls, said = _kept_state()
+        turns = [t for t in range(40) if t % 9 != 5]
+        order, out = sorted(turns + rng.sample(turns, 8), key=lambda t: t + rng.randrange(6)), []
+        while order:
+            part, order = order[:4], order[4:]
+            s = T._Session(p)
+            for t in part:
+                s.take(t, (1, said(t)))
+            out += s.run(("s",), None if order else 1 << 62)
+        applied = [r["turn_index"] for r in out if r["kind"] == "node"]
+        assert applied == turns and [r["place"] for r in out if r["kind"] == "node"] == list(range(1, len(turns) + 1))
+        late = T._Session(p)
+        late.take(14, (2, said(14)))
+        late.take(13, (2, said(13)))
+        out += late.run(("s",), None)
+        assert [(r["turn_index"], r["late"], r["kind"]) for r in out if r["late"]] == [(14, True, "node")] and not p.early
+        q, _, _ = _kept_state()
+        whole = T._Session(q)
+        for t in turns:
+            whole.take(t, (1, said(t)))
+        want = list(whole.run(("s",), 1 << 62))
+        assert out[:len(want)] == want
+        again = T._Session(p)
+        assert {(n.label, n.number): n.text for n in again.order} == {(r["label"], int(r["node_id"].split("_")[1])): r["text"] for r in out if r["kind"] == "node"}
+        assert list(again.edges.items()) == list(late.edges.items()) and len(again.edges) > 2
+        assert sorted(again.gaps) == sorted(late.gaps) and 14 not in again.gaps
